@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import chat, linededup, neardup, packing, sharding
+from winnow.llm import chat, langid, linededup, neardup, packing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,13 @@ FROM n GROUP BY conv_id
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(langid.training_rows(docs))
+    rows = docs.select("doc_id", "text", langid.held_out(F.col("doc_id"), 4, 2).alias("held_out"))
+    return langid.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), neardup.Plan(ngram=3, percent=85))
 
@@ -113,7 +120,7 @@ def op8_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_format, op4_minhash_hamming, op5_line_dedup, op6_shard_balance, op8_pack_windows)}
+    return {f.__name__: f for f in (op2_chat_format, op3_language_id, op4_minhash_hamming, op5_line_dedup, op6_shard_balance, op8_pack_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
