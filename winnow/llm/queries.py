@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import chat, langid, linededup, neardup, packing, sharding
+from winnow.llm import chat, langid, linededup, lm, neardup, packing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,8 +119,13 @@ def op8_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", langid.held_out(F.col("doc_id"), 5, 1).alias("held_out"))
+    return lm.score(docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_format, op3_language_id, op4_minhash_hamming, op5_line_dedup, op6_shard_balance, op8_pack_windows)}
+    return {f.__name__: f for f in (op2_chat_format, op3_language_id, op4_minhash_hamming, op5_line_dedup, op6_shard_balance, op8_pack_windows, op10_suffix_tree_score)}
 
 
 def oracle_sql() -> dict[str, str]:
