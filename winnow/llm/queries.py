@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import chat, langid, linededup, lm, neardup, packing, sharding
+from winnow.llm import ann, chat, langid, linededup, lm, neardup, packing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_rotated_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -125,7 +129,7 @@ def op10_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_format, op3_language_id, op4_minhash_hamming, op5_line_dedup, op6_shard_balance, op8_pack_windows, op10_suffix_tree_score)}
+    return {f.__name__: f for f in (op1_rotated_bits, op2_chat_format, op3_language_id, op4_minhash_hamming, op5_line_dedup, op6_shard_balance, op8_pack_windows, op10_suffix_tree_score)}
 
 
 def oracle_sql() -> dict[str, str]:
