@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import ann, chat, langid, linededup, lm, neardup, packing, sharding
+from winnow.llm import ann, chat, langid, linededup, lm, media, neardup, packing, pieces, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,18 +118,30 @@ def op6_shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_streaming_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return pieces.decode(coded, path).select(
+        "doc_id", F.col("n_ids"), F.crc32("ids").alias("ids_crc32"), F.length("decoded").cast("long").alias("n_chars"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op8_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("word_bpe_49k.json"), window=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(*media.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op10_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", langid.held_out(F.col("doc_id"), 5, 1).alias("held_out"))
     return lm.score(docs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rotated_bits, op2_chat_format, op3_language_id, op4_minhash_hamming, op5_line_dedup, op6_shard_balance, op8_pack_windows, op10_suffix_tree_score)}
+    return {f.__name__: f for f in (op1_rotated_bits, op2_chat_format, op3_language_id, op4_minhash_hamming, op5_line_dedup, op6_shard_balance, op7_streaming_pieces, op8_pack_windows, op9_media_chunks, op10_suffix_tree_score)}
 
 
 def oracle_sql() -> dict[str, str]:
