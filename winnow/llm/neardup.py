@@ -11,9 +11,10 @@ and all pairs within that radius share a key. With 48 symbols of width 4 and one
 two sets of similarity 0.85 differ in more with a probability of about 1e-8, of similarity 0.8 of 4e-6.
 
 A key's documents aren't paired with each other. Every one is compared with one pivot of the key, chosen by
-a hash that differs from key to key; the confirmed links give components. Only keys whose documents still
-lie in different components are then compared in bounded blocks, and only across components, so that no
-link between components is lost and no group of copies is expanded. Links are confirmed on full sets.
+a hash that differs from key to key; the confirmed links give components. Keys whose documents still lie in
+different components are then compared in blocks of bounded size, only across components and each pair only
+at the first key it shares; a block hands on no more links than rows. So no link between components is lost
+and no group of copies is expanded. Links are confirmed on full sets.
 Equal sets are found by a 128-bit fingerprint first and are represented by their smallest doc_id.
 
 Defined cases: rows that repeat a doc_id are separate texts of one node and get the same component; a null
@@ -38,7 +39,7 @@ from winnow.llm.components import components
 
 FETCH = 2048
 #: Rows of a block of a key that is compared in full.
-BLOCK = 512
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -205,39 +206,102 @@ def confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     return both.mapInArrow(_confirm(plan), "a long, b long").distinct()
 
 
-def _blocks(plan: Plan) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _met(sig: np.ndarray, key: int, comp: np.ndarray, side: np.ndarray, plan: Plan) -> Iterator[tuple[int, np.ndarray]]:
+    """Per row outside the block's largest component the rows of other components that it meets here.
+
+    Met are rows within the radius, of the other side where two blocks meet, and only if `key` is the first key
+    that both share, so that a pair is looked at once.
+    """
+    keys = chunk_keys(sig, plan)
+    at = (keys == key).argmax(axis=1)
+    labels, n = np.unique(comp, return_counts=True)
+    for i in np.flatnonzero(comp != labels[n.argmax()]):
+        other = comp != comp[i] if side[i] == 2 else (comp != comp[i]) & (side != side[i])
+        near = np.flatnonzero(other & ((sig != sig[i]).sum(axis=1) <= plan.radius))
+        yield int(i), near[(keys[near] == keys[i]).argmax(axis=1) == at[i]]
+
+
+def _flag(plan: Plan) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The rows of a block that meet any."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sig = np.frombuffer(b"".join(pdf.sig), "<u2").reshape(len(pdf), -1)
+        flagged = np.zeros(len(pdf), bool)
+        for i, near in _met(sig, pdf.key.iloc[0], pdf.comp.to_numpy(), pdf.side.to_numpy(), plan):
+            flagged[near] = True
+            flagged[i] |= bool(len(near))
+        return pdf.loc[flagged, ["key", "id"]]
+
+    return run
+
+
+def _link(plan: Plan) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Links of a block by full sets: as many as it takes to join what they connect, fewer than its rows."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(pdf.sig), "<u2").reshape(len(pdf), -1)
-        ids, comp, side = pdf.id.to_numpy(), pdf.comp.to_numpy(), pdf.side.to_numpy()
+        comp, ids = pdf.comp.to_numpy().copy(), pdf.id.to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(sizes)
+        holds = np.zeros(int(code.max()) + 1, bool)
         found = []
-        for i in range(len(pdf)):
-            if side[i] == 1:
+        for i, near in _met(sig, pdf.key.iloc[0], pdf.comp.to_numpy(), pdf.side.to_numpy(), plan):
+            near = near[comp[near] != comp[i]]
+            if not len(near):
                 continue
-            other = (side > 0) | (ids > ids[i]) if side[i] == 2 else side == 1
-            far = (sig != sig[i]).sum(axis=1)
-            hit = np.flatnonzero(other & (comp != comp[i]) & (far <= plan.radius))
-            found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in hit]
-        return pd.DataFrame(found, columns=["a", "b"])
+            mine = code[ends[i] - sizes[i] : ends[i]]
+            holds[mine] = True
+            both = np.array([np.count_nonzero(holds[code[ends[j] - sizes[j] : ends[j]]]) for j in near])
+            holds[mine] = False
+            for j in near[100 * both >= plan.percent * (sizes[i] + sizes[near] - both)]:
+                if comp[j] != comp[i]:
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    comp[comp == comp[j]] = comp[i]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def across(members: DataFrame, sigs: DataFrame, comp: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs (a, b) within the radius that share a key and lie in different components.
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """members (key, id, ...) dealt to blocks of about BLOCK rows of a key; every two blocks of a key meet in one
+    group (key, lo, hi). side: 2 if both are the same block, else 0 in the lower and 1 in the upper one."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    m = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
+    m = m.withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    m = m.withColumn("lo", F.least("mine", "theirs")).withColumn("hi", F.greatest("mine", "theirs"))
+    return m.withColumn("side", F.when(F.col("lo") == F.col("hi"), 2).when(F.col("mine") == F.col("lo"), 0).otherwise(1)).drop("n", "blocks", "mine", "theirs")
 
-    members: (key, id, n) with n the key's size. Large keys are dealt to blocks of about BLOCK rows by a hash
-    and every two blocks meet in one group of bounded size.
+
+def _sets(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                sets = [shingles(t, plan.ngram).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                word_hashes().trim()
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    return run
+
+
+def across(members: DataFrame, sigs: DataFrame, comp: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """Links (a, b) between different components of documents that share a key: members is (key, id).
+
+    First the members that meet any are flagged by signatures, then only these meet again with their full sets.
+    A group hands on at most its rows, never its pairs.
     """
     label = comp.select(F.col("a").alias("id"), F.col("b").alias("comp"))
-    m = members.join(label, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
-    open_keys = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    m = m.join(open_keys, "key").join(sigs.select(F.col("doc_id").alias("id"), "sig"), "id")
-    m = m.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
-    m = m.withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    m = m.withColumn("lo", F.least("mine", "theirs")).withColumn("hi", F.greatest("mine", "theirs"))
-    # 2: both ends in this block; 0 and 1: the lower and the upper block of two
-    m = m.withColumn("side", F.when(F.col("lo") == F.col("hi"), 2).when(F.col("mine") == F.col("lo"), 0).otherwise(1))
-    return m.select("key", "lo", "hi", "id", "comp", "side", "sig").groupBy("key", "lo", "hi").applyInPandas(_blocks(plan), "a long, b long").distinct()
+    m = members.join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    open_keys = m.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key")
+    m = stash(m.join(open_keys, "key").join(sigs.select(F.col("doc_id").alias("id"), "sig"), "id"), "open")
+    flagged = stash(_in_blocks(m).groupBy("key", "lo", "hi").applyInPandas(_flag(plan), "key long, id long").distinct(), "flagged")
+    ids = stash(flagged.select("id").distinct(), "flagged-ids")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(small(ids), "id", "left_semi")
+    sets = stash(texts.mapInArrow(_sets(plan), "id long, set binary"), "sets")
+    full = m.join(flagged, ["key", "id"]).join(sets, "id")
+    return _in_blocks(full).groupBy("key", "lo", "hi").applyInPandas(_link(plan), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
@@ -261,9 +325,9 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     links = stash(confirmed(stash(within_radius(stars, reps, plan), "stars"), docs, plan), "links")
     edges = links.unionAll(repeated)
     comp = components(edges)
-    more = stash(across(members.where("n > 2").select("key", "id", "n"), reps, comp, plan), "across")
+    more = stash(across(members.where("n > 2").select("key", "id"), reps, comp, docs, plan), "across")
     if more.head(1):
-        comp = components(edges.unionAll(confirmed(more, docs, plan)))
+        comp = components(edges.unionAll(more))
     label = comp.select(F.col("a").alias("rep"), F.col("b").alias("comp"))
     by_doc = copies.select("doc_id", "rep").join(label, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("comp"))
     out = prints.select("doc_id", "n_shingles").join(by_doc, "doc_id", "left")
