@@ -10,8 +10,9 @@ most `errors` (pigeonhole); so each chunk is indexed once for every choice of `e
 and all pairs within that radius share a key. With 48 symbols of width 4 and one error the radius is 23;
 two sets of similarity 0.85 differ in more with a probability of about 1e-8, of similarity 0.8 of 4e-6.
 
-A key's documents aren't paired with each other. Every one is compared with one pivot of the key, chosen by
-a hash that differs from key to key; the confirmed links give components. Keys whose documents still lie in
+A key's documents aren't paired with each other. Every one is compared with one pivot of the key, its first
+in one shuffled order of all documents, so that keys of the same documents have the same pivot; the confirmed
+links give components. Keys whose documents still lie in
 different components are then compared in blocks of bounded size, only across components and each pair only
 at the first key it shares; a block hands on no more links than rows. So no link between components is lost
 and no group of copies is expanded. Links are confirmed on full sets.
@@ -40,6 +41,8 @@ from winnow.llm.components import components
 FETCH = 2048
 #: Rows of a block of a key that is compared in full.
 BLOCK = 256
+#: Any odd number: ids are ordered by their exclusive or with it.
+SHUFFLED = 0x5BD1E9955BD1E995
 
 
 @dataclass(frozen=True)
@@ -317,7 +320,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     repeated = copies.join(same_id.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     keys = reps.mapInArrow(_keys(plan), "key long, id long")
-    mask = F.xxhash64("key")
+    mask = F.lit(SHUFFLED)
     pivots = keys.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("least"), F.count("*").alias("n")).where("n >= 2")
     pivots = pivots.select("key", "n", F.col("least").bitwiseXOR(mask).alias("pivot"))
     members = stash(keys.join(pivots, "key"), "members")
