@@ -32,15 +32,15 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm.common import WordHashes, small, stash
 from winnow.llm.components import components
 
 FETCH = 2048
-#: Rows of a block of a key that is compared in full.
-BLOCK = 256
+#: A block of a key that is compared in full holds about so many rows, by signatures and by full sets, and bytes of sets.
+FLAG_ROWS, LINK_ROWS, LINK_BYTES = 2048, 1024, 16 << 20
 #: Any odd number: ids are ordered by their exclusive or with it.
 SHUFFLED = 0x5BD1E9955BD1E995
 
@@ -267,14 +267,14 @@ def _link(plan: Plan) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def _in_blocks(members: DataFrame) -> DataFrame:
-    """members (key, id, ...) dealt to blocks of about BLOCK rows of a key; every two blocks of a key meet in one
-    group (key, lo, hi). side: 2 if both are the same block, else 0 in the lower and 1 in the upper one."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    m = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
+def _in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
+    """members (key, id, ...) dealt to `blocks` (an aggregate over a key's rows); every two blocks of a key meet in
+    one group (key, lo, hi). side: 2 if both are the same block, else 0 in the lower and 1 in the upper one."""
+    sizes = members.groupBy("key").agg(F.greatest(F.ceil(blocks), F.lit(1)).cast("long").alias("blocks"))
+    m = members.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
     m = m.withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     m = m.withColumn("lo", F.least("mine", "theirs")).withColumn("hi", F.greatest("mine", "theirs"))
-    return m.withColumn("side", F.when(F.col("lo") == F.col("hi"), 2).when(F.col("mine") == F.col("lo"), 0).otherwise(1)).drop("n", "blocks", "mine", "theirs")
+    return m.withColumn("side", F.when(F.col("lo") == F.col("hi"), 2).when(F.col("mine") == F.col("lo"), 0).otherwise(1)).drop("blocks", "mine", "theirs")
 
 
 def _sets(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -299,12 +299,13 @@ def across(members: DataFrame, sigs: DataFrame, comp: DataFrame, docs: DataFrame
     m = members.join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     open_keys = m.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key")
     m = stash(m.join(open_keys, "key").join(sigs.select(F.col("doc_id").alias("id"), "sig"), "id"), "open")
-    flagged = stash(_in_blocks(m).groupBy("key", "lo", "hi").applyInPandas(_flag(plan), "key long, id long").distinct(), "flagged")
+    flagged = stash(_in_blocks(m, F.count("*") / FLAG_ROWS).groupBy("key", "lo", "hi").applyInPandas(_flag(plan), "key long, id long").distinct(), "flagged")
     ids = stash(flagged.select("id").distinct(), "flagged-ids")
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(small(ids), "id", "left_semi")
     sets = stash(texts.mapInArrow(_sets(plan), "id long, set binary"), "sets")
     full = m.join(flagged, ["key", "id"]).join(sets, "id")
-    return _in_blocks(full).groupBy("key", "lo", "hi").applyInPandas(_link(plan), "a long, b long")
+    blocks = F.greatest(F.count("*") / LINK_ROWS, F.sum(F.octet_length("set")) / LINK_BYTES)
+    return _in_blocks(full, blocks).groupBy("key", "lo", "hi").applyInPandas(_link(plan), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
