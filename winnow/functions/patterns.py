@@ -108,6 +108,12 @@ SHIFTS = (
 )
 # End of the fixed values.
 
+# Every match of the patterns above holds one of these words.
+YEARS_HOLD = ("year", "лет", "год", "г.")
+ENGLISH_HOLD = ("english", "английск", "носителя")
+NIGHT_HOLD = ("night", "ноч", "graveyard", "сутки")
+SHIFTS_HOLD = ("смен", "shift", "график", "режим", "schedule")
+
 
 def union(forms: tuple[str, ...] | str) -> str:
     """One pattern of alternatives, in order, with the common flags."""

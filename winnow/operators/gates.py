@@ -15,7 +15,12 @@ U = P.union
 def years_asked(blob: Column) -> Column:
     """Seven years or more: as a lower bound, or near a word about experience and none about the firm's past."""
     asked = F.exists(spans.finditer(blob, U(P.YEARS)), lambda m: _near(blob, m, 40).rlike(U(P.YEARS_ASKED)) & ~_near(blob, m, 40).rlike(U(P.YEARS_TOLD)))
-    return blob.rlike(U(P.YEARS_AT_LEAST)) | (blob.rlike(U(P.YEARS)) & asked)
+    return _holds(blob, P.YEARS_HOLD) & (blob.rlike(U(P.YEARS_AT_LEAST)) | (blob.rlike(U(P.YEARS)) & asked))
+
+
+def _holds(blob: Column, words: tuple[str, ...]) -> Column:
+    """A cheap test before patterns all of whose matches hold one of the words; blob is in lower case."""
+    return tx.contains_any(blob, words)
 
 
 def _near(blob: Column, m: Column, span: int) -> Column:
@@ -78,7 +83,7 @@ def english_mode(blob: Column, russian_terms: list[str]) -> Column:
     asked = F.filter(spans.finditer(blob, U(P.ENGLISH)), lambda m: ~optional_near(blob, m) & ~in_optional_part(m, optional, required))
     labels = F.transform(asked, label)
     winner = F.coalesce(*[F.when(F.array_contains(labels, k), F.lit(k)) for k in ("spoken", "level_c", "level_b", "generic", "written")])
-    return F.when(blob.rlike(U(P.ENGLISH)) & ~russian, winner)
+    return F.when(_holds(blob, P.ENGLISH_HOLD) & blob.rlike(U(P.ENGLISH)) & ~russian, winner)
 
 
 def foreign_language_asked(blob: Column) -> Column:
@@ -100,7 +105,8 @@ def unreadable(blob: Column) -> Column:
 
 
 def shift_mode(blob: Column) -> Column:
-    return F.when(blob.rlike(U(P.NIGHT_RARE)), "occasional").when(blob.rlike(U(P.NIGHT)), "core").when(blob.rlike(U(P.SHIFTS)), "shift")
+    night, shifts = _holds(blob, P.NIGHT_HOLD), _holds(blob, P.SHIFTS_HOLD)
+    return F.when(night & blob.rlike(U(P.NIGHT_RARE)), "occasional").when(night & blob.rlike(U(P.NIGHT)), "core").when(shifts & blob.rlike(U(P.SHIFTS)), "shift")
 
 
 def place_rejects(blob: Column, relocation: list[str]) -> Column:

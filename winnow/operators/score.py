@@ -56,6 +56,12 @@ def _verdict(role, pack, order: int) -> Column:
     )
 
 
+def spread(postings: DataFrame) -> DataFrame:
+    """postings over all cores before the patterns run. An input of at least as many partitions, any large one, stays as it is."""
+    cores = postings.sparkSession.sparkContext.defaultParallelism
+    return postings if postings.rdd.getNumPartitions() >= cores else postings.repartition(cores)
+
+
 def verdicts(postings: DataFrame, pack) -> DataFrame:
     """One row per posting and role: the posting's columns, role, ord, passed_gate, score, recommend, reasons.
 

@@ -125,11 +125,11 @@ RULES = pack_sql(PACK)
 
 
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.best(postings(spark, sf_dir), PACK)
+    return score.best(score.spread(postings(spark, sf_dir)), PACK)
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.verdicts(postings(spark, sf_dir), PACK)
+    return score.verdicts(score.spread(postings(spark, sf_dir)), PACK)
 
 
 # --- scoring ---
@@ -171,7 +171,7 @@ def recommend_threshold(spark, sf_dir):
     return _best(spark, sf_dir).where("recommend").select("id", "role", "score")
 
 
-@query(RULES + "SELECT lpad(CAST(score // 10 * 10 AS VARCHAR), greatest(2, length(CAST(score // 10 * 10 AS VARCHAR))), '0') || '-' || lpad(CAST(score // 10 * 10 + 9 AS VARCHAR), 2, '0') AS band, CAST(count(*) AS BIGINT) AS n FROM best WHERE score < 100 GROUP BY 1")
+@query(RULES + "SELECT lpad(CAST(score // 10 * 10 AS VARCHAR), CAST(greatest(2, length(CAST(score // 10 * 10 AS VARCHAR))) AS INT), '0') || '-' || lpad(CAST(score // 10 * 10 + 9 AS VARCHAR), 2, '0') AS band, CAST(count(*) AS BIGINT) AS n FROM best WHERE score < 100 GROUP BY 1")
 def score_hist_decile(spark, sf_dir):
     return reports.deciles(_best(spark, sf_dir).where("score < 100"))
 
@@ -228,8 +228,8 @@ def hits_list(spark, sf_dir):
 
 
 @query(r"""WITH s AS (SELECT doc_id, text, regexp_extract_all(text, '\([0-9]+\)') AS m, regexp_split_to_array(text, '\([0-9]+\)') AS g FROM documents),
-x AS (SELECT doc_id, text, unnest(m) AS m1, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda q: length(q))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda q: length(q))), 0))) AS at FROM s WHERE len(m) > 0)
-SELECT doc_id, CAST(at AS INT) AS at, m1 AS number, substr(text, CAST(greatest(at - 20, 0) AS BIGINT) + 1, CAST(at + length(m1) + 20 - greatest(at - 20, 0) AS BIGINT)) AS around FROM x""")
+x AS (SELECT doc_id, text, unnest(m) AS m1, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda q: length(q))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda q: length(q))), 0))) AS "at" FROM s WHERE len(m) > 0)
+SELECT doc_id, CAST("at" AS INT) AS "at", m1 AS number, substr(text, CAST(greatest("at" - 20, 0) AS BIGINT) + 1, CAST("at" + length(m1) + 20 - greatest("at" - 20, 0) AS BIGINT)) AS around FROM x""")
 def number_window(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\([0-9]+\)"))
     rows = rows.select("doc_id", "text", F.explode(spans.finditer(F.col("text"), r"\([0-9]+\)")).alias("m"))
