@@ -257,6 +257,50 @@ def test_op10_odd_docs(spark):
     assert lm.score(table.withColumn("held_out", F.lit(True))).count() == 10
 
 
+def brute_tree_scores(texts, held, depth, least):
+    """Scores by a suffix tree kept in dictionaries, with words as symbols."""
+    end, docs = b"", [[b"", *lm.words_of(t.encode()), b""] for t in texts]
+    train = [d for d, h in zip(docs, held, strict=True) if not h]
+    c = Counter(w for d in train for w in d[1:])
+    n, v = sum(c.values()), len(c)
+    follow = defaultdict(Counter)
+    for d in train:
+        for p in range(1, len(d)):
+            for k in range(1, min(depth, p) + 1):
+                follow[tuple(d[p - k : p])][d[p]] += 1
+    kept = set()
+
+    def prob(ctx, w):
+        while ctx and ctx not in kept:
+            ctx = ctx[1:]
+        if not ctx:
+            return (c[w] + 0.5) / (n + 0.5 * (v + 1))
+        f = follow[ctx]
+        return (f[w] + len(f) * prob(ctx[1:], w)) / (sum(f.values()) + len(f))
+
+    for ctx in sorted(follow, key=len):
+        f, total = follow[ctx], sum(follow[ctx].values())
+        if total >= least and sum(m * np.log(m / total / prob(ctx[1:], w)) for w, m in f.items()) >= 0.5 * len(f) * np.log(total):
+            kept.add(ctx)
+    return [sum(np.log10(prob(tuple(d[max(0, p - depth) : p]), d[p])) for p in range(1, len(d))) for d in docs], kept
+
+
+@pytest.mark.parametrize("room", [200_000, 20])
+def test_op10_tree_grows_with_the_input(spark, monkeypatch, room):
+    """Every context of the least count takes part, however small its share; rare ones are looked up by joins."""
+    monkeypatch.setattr(lm, "ROOM", room)
+    rng, texts = np.random.default_rng(5), []
+    for i in range(800):
+        a = i % 50
+        texts.append(" ".join([f"x{rng.integers(0, 4000)}" for _ in range(20)] + [f"a{a}", f"b{a % 5}", f"c{a}", f"d{(a * 7) % 50}"] + [f"x{rng.integers(0, 4000)}" for _ in range(20)]))
+    held = [i >= 600 for i in range(800)]
+    table = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(zip(texts, held, strict=True))], "doc_id long, text string, held_out boolean").repartition(3)
+    want, kept = brute_tree_scores(texts, held, 3, 8)
+    assert len({k for k in kept if len(k) == 1}) >= 50 and any(len(k) == 2 for k in kept)  # 12 of 27,000 tokens are a share below 5e-4
+    found = lm.score(table).toPandas().sort_values("doc_id")
+    assert found.score.to_numpy() == pytest.approx(np.array(want), rel=1e-9)
+
+
 def test_pipeline(spark, sf):
     """Each stage against a plain version of it on what its predecessor kept."""
     import corpus_pipeline as cp

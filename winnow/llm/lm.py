@@ -1,15 +1,20 @@
-"""Language-model scores from a probabilistic suffix tree.
+"""Language-model scores from a probabilistic suffix tree over words.
 
-Tokens are words `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, then one end per document. A token is seen as one of
-SYMBOLS symbols: the end and the most frequent words have one each, all other words share CLASSES symbols by
-the crc32 of their last three bytes. The probability of a token is that of its symbol after the longest
-context in the tree, times that of the word within its symbol, (c + 0.5) / (C + 0.5 (V + 1)).
+Tokens are words `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, then one end per document; every distinct word is
+a symbol of its own, known by its 64-bit hash. The root's distribution is (c + 0.5) / (N + 0.5 (V + 1)). The
+probability of a token is that after the longest retained context of up to `depth` tokens before it; before a
+text stands one end, and no context reaches further back.
 
-The tree: a context of up to `depth` symbols is a candidate if it holds at least `least_share` of all tokens,
-so there are at most 1 / least_share candidates of a length, whatever the input's size. It is retained if its
-next-symbol distribution diverges from that of its longest retained suffix: tokens * KL >= half the number
-of its distinct next symbols * ln(tokens), a minimum-description-length test. Next-symbol distributions are
-smoothed with the distribution of the retained suffix, weighted by the number of distinct next symbols.
+The tree: a context is a candidate if it occurs at least `least` times in the training part, a fixed count, so the
+tree grows with the input. It is retained if its next-token distribution diverges from that of its longest
+retained suffix: tokens * KL >= half the number of its distinct next tokens * ln(tokens), a
+minimum-description-length test. Distributions are smoothed with that of the retained suffix, weighted by the
+number of distinct next tokens. So a context changes a token's log-probability by a value of the pair (context,
+token), or by one of the context if the pair is new, and a score is the base score plus looked-up values.
+
+Contexts, pairs and values are tables: counted level by level, tested by joins with the level below, looked up by
+shuffle joins. Only keys with a count of at least the threshold that leaves at most a fixed number of them go to
+the workers, and bitmaps of a fixed size that save most rows which no context can match.
 
 All counts cover the whole training part. Words with a count of at least the threshold that leaves at most
 `head` words go to the workers; all others are counted and looked up by shuffle joins.
@@ -21,40 +26,39 @@ rows that repeat a doc_id are scored row by row; a null doc_id is held out; furt
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import stash
+from winnow.llm.common import stash, unstash
 
-SYMBOLS, CLASSES = 256, 64
 END = b""  # no word is empty
 FETCH = 2048
 #: Distinct words of a task that are counted before they are passed on.
 FLUSH = 400_000
 #: Buckets per doubling of the count, for the threshold of the head words.
 BANDS = 8
+#: Rows of a lookup table that go to every worker, those of the largest counts.
+ROOM = 200_000
+#: log2 of a bitmap's bits: 8 MB.
+BITS = 26
+STEP, PAIR = np.uint64(0x9E3779B97F4A7C15), 0x2545F4914F6CDD1D
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def class_of(word: bytes) -> int:
-    """The shared symbol of a word that has none of its own."""
-    return SYMBOLS - CLASSES + zlib.crc32(word[-3:]) % CLASSES
-
-
-def class_column(word: Column) -> Column:
-    tail = F.when(F.length(word) <= 3, word).otherwise(F.substr(word, F.length(word) - 2, F.lit(3)))
-    return (F.crc32(tail) % CLASSES + SYMBOLS - CLASSES).cast("int")
+def id_of(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,76 +78,55 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Vocabulary:
-    """tokens N and distinct V of the training part; head: count by frequent word; own: symbol by most frequent word."""
+    """tokens N and distinct V of the training part; head: count by frequent word."""
 
     tokens: int
     distinct: int
     head: dict[bytes, int]
-    own: dict[bytes, int]
     threshold: int
-    class_tokens: list[int] = field(default_factory=lambda: [0] * SYMBOLS)
-    class_words: list[int] = field(default_factory=lambda: [0] * SYMBOLS)
 
     def base_log(self, c: int) -> float:
         return math.log10((c + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
-    def within(self, symbol: int, c: int) -> float:
-        """log10 of the word's probability within its symbol."""
-        if symbol < SYMBOLS - CLASSES:
-            return 0.0
-        return math.log10((c + 0.5) / (self.class_tokens[symbol] + 0.5 * (self.class_words[symbol] + 1)))
 
+def _bands(table: DataFrame, n: str) -> list:
+    return table.groupBy(F.floor(F.log2(n) * BANDS).alias("band")).agg(F.count("*").alias("rows"), F.sum(n).alias("n"), F.min(n).alias("least")).collect()
 
-def vocabulary(training: DataFrame, head: int) -> tuple[Vocabulary, DataFrame]:
-    """Counts over all training texts, as a table (word, c) and what the workers need of them."""
-    counts = stash(training.select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
-    bands = counts.groupBy(F.floor(F.log2("c") * BANDS).alias("band")).agg(F.count("*").alias("words"), F.sum("c").alias("c"), F.min("c").alias("least")).collect()
-    total, distinct = sum(b.c for b in bands), sum(b.words for b in bands)
-    room, threshold = head, None
+
+def _threshold(bands: list, room: int) -> int:
+    """The count that at most `room` rows reach."""
+    threshold = None
     for b in sorted(bands, key=lambda b: -b.band):
-        room -= b.words
+        room -= b.rows
         if room < 0:
             break
         threshold = b.least
     if threshold is None:  # not even the top band fits
         threshold = 1 + max((b.least for b in bands), default=0) * 2
-    rows = counts.where(F.col("c") >= threshold).collect()
-    frequent = {bytes(r.word): r.c for r in rows}
-    ranked = sorted(frequent.items(), key=lambda x: (-x[1], x[0]))
-    own = {END: 0}
-    for w, _ in ranked:
-        if w != END and len(own) < SYMBOLS - CLASSES:
-            own[w] = len(own)
-    vocab = Vocabulary(total, distinct, frequent, own, threshold)
-    for r in counts.groupBy(class_column(F.col("word")).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
-        vocab.class_tokens[r.k], vocab.class_words[r.k] = r.c, r.n
-    for w in own:
-        if w in frequent:
-            vocab.class_tokens[class_of(w)] -= frequent[w]
-            vocab.class_words[class_of(w)] -= 1
-    if END not in frequent and total:  # the end is in no class, even if it isn't among the head
-        ends = counts.where(F.length("word") == 0).first()
-        if ends:
-            vocab.class_tokens[class_of(END)] -= ends.c
-            vocab.class_words[class_of(END)] -= 1
-    return vocab, counts
+    return threshold
+
+
+def vocabulary(training: DataFrame, head: int) -> tuple[Vocabulary, DataFrame]:
+    """Counts over all training texts, as a table (word, c) and what the workers need of them."""
+    counts = stash(training.select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
+    bands = _bands(counts, "c")
+    threshold = _threshold(bands, head)
+    frequent = {bytes(r.word): r.c for r in counts.where(F.col("c") >= threshold).collect()}
+    return Vocabulary(sum(b.n for b in bands), sum(b.rows for b in bands), frequent, threshold), counts
 
 
 class Known(dict):
-    """Memo from a word to (symbol, base log, log within the symbol, is it rare)."""
+    """Memo from a word to (id, base log, is it rare)."""
 
     def __init__(self, vocab: Vocabulary):
         super().__init__()
         self.vocab = vocab
 
-    def __missing__(self, word: bytes) -> tuple[int, float, float, bool]:
-        v = self.vocab
-        c = v.head.get(word)
-        s = v.own.get(word)
-        s = class_of(word) if s is None else s
-        found = (s, 0.0, 0.0, True) if c is None else (s, v.base_log(c), v.within(s, c), False)
-        if c is not None:
-            self[word] = found
+    def __missing__(self, word: bytes) -> tuple[int, float, bool]:
+        c = self.vocab.head.get(word)
+        if c is None:
+            return id_of(word), 0.0, True
+        found = self[word] = (id_of(word), self.vocab.base_log(c), False)
         return found
 
 
@@ -153,16 +136,14 @@ def _code(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
         for whole in batches:
             for lo in range(0, whole.num_rows, FETCH):
                 batch = whole.slice(lo, FETCH)
-                n, base, inner, heads, syms, rare, times = [], [], [], [], [], [], []
+                n, base, heads, ids, rare, times = [], [], [], [], [], []
                 for t in batch.column("text").cast(pa.binary()).to_pylist():
                     words = words_of(t)
                     words.append(END)
-                    found = [known[w] for w in words]
-                    s, b, i, r = zip(*found, strict=True)
-                    syms.append(bytes(s))
+                    i, b, r = zip(*[known[w] for w in words], strict=True)
+                    ids.append(np.array((i[-1], *i), np.uint64).tobytes())
                     n.append(len(words))
                     base.append(math.fsum(b))
-                    inner.append(math.fsum(i))
                     c = Counter(w for w, x in zip(words, r, strict=True) if x)
                     heads.append(len(words) - sum(c.values()))
                     rare.append(list(c))
@@ -171,129 +152,141 @@ def _code(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
                 rid = pa.array(np.arange(at, at + rows, dtype=np.int64))
                 at += rows
                 yield pa.RecordBatch.from_arrays(
-                    [rid, batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(heads, pa.int64()), pa.array(base), pa.array(inner), pa.array(syms, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
-                    names=["rid", "doc_id", "held_out", "n_tokens", "n_head", "base", "inner", "syms", "rare", "times"],
+                    [rid, batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(heads, pa.int64()), pa.array(base, pa.float64()), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
+                    names=["rid", "doc_id", "held_out", "n_tokens", "n_head", "base", "ids", "rare", "times"],
                 )
 
     return run
 
 
-@dataclass
-class Tree:
-    """Candidate contexts as a trie from the nearest symbol outwards: child[node, symbol before] or -1; 0 is the root.
+def _keyed(vocab: Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = batch.column("c").to_numpy()
+            logs = np.log10((c + 0.5) / (vocab.tokens + 0.5 * (vocab.distinct + 1)))
+            ids = np.fromiter(map(id_of, batch.column("word").to_pylist()), np.uint64, len(c))
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(c), pa.array(logs)], names=["key", "n", "logp"])
 
-    A node's parent is its context without the farthest symbol, that is, its longest proper suffix.
-    logs: log10 of the next-symbol distribution of every node's state, its longest retained suffix.
-    """
+    return run
+
+
+def grams(ids: np.ndarray, longest: int) -> list[np.ndarray]:
+    """At k - 1 the keys of the k tokens up to each place. They hold where a text has so many."""
+    found = [ids]
+    for _ in range(1, longest):
+        key = ids.copy()
+        key[1:] += STEP * found[-1][:-1]
+        found.append(key)
+    return found
 
-    child: np.ndarray
-    depth: int = 0
-    logs: np.ndarray | None = None
-    retained: int = 0
 
-    def walk(self, syms: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
-        """Per level the node of every position's context of that length, or -1. Before a text stand ends."""
-        place = np.arange(len(syms)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        node = np.zeros(len(syms), np.int32)
-        yield node
-        for d in range(1, self.depth + 1):
-            node = np.where(node >= 0, self.child[node, before(syms, place, d)], -1)
-            yield node
+def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token ids of all texts, each after one end, the row of each and its place in the text."""
+    blobs = batch.column("ids").to_pylist()
+    n = np.fromiter((len(b) // 8 for b in blobs), np.int64, len(blobs))
+    return np.frombuffer(b"".join(blobs), np.uint64), np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def before(syms: np.ndarray, place: np.ndarray, back: int) -> np.ndarray:
-    """The symbol `back` places before each position; the end's before a text's start."""
-    out = np.zeros(len(syms), np.uint8)
-    out[back:] = syms[:-back]
-    out[place < back] = 0
-    return out
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """A bit for each value of the keys' top bits: whether a key has it."""
+    words = keys.select(F.shiftrightunsigned("key", 64 - BITS).alias("i")).groupBy(F.shiftright("i", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(i & 63 as int)))").alias("bits")).toPandas()
+    found = np.zeros(1 << (BITS - 6), np.uint64)
+    found[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return found
 
 
-def _blobs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    blobs = batch.column("syms").to_pylist()
-    return np.frombuffer(b"".join(blobs), np.uint8), np.fromiter(map(len, blobs), np.int64, len(blobs))
+def may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys >> np.uint64(64 - BITS)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _survey(shared, first: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts for the nodes from `first`, those of the deepest level: (0, node, next symbol) and (1, node, symbol before the context)."""
+def _pairs(shared, length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of a context of that length and its next token; `short` is the pair without the farthest token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
-        cells = (len(tree.child) - first) * SYMBOLS
-        total = np.zeros((2, cells), np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, FETCH):
-                syms, n = _blobs(batch.slice(lo, FETCH))
-                *_, node = tree.walk(syms, n)
-                place = np.arange(len(syms)) - np.repeat(np.cumsum(n) - n, n)
-                at = node >= 0
-                cell = (node[at].astype(np.int64) - first) * SYMBOLS
-                total[0] += np.bincount(cell + syms[at], minlength=cells)
-                total[1] += np.bincount(cell + before(syms, place, tree.depth + 1)[at], minlength=cells)
-        kind, cell = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(cell), pa.array(total[kind, cell])], names=["kind", "cell", "n"])
+                ids, _, place = _places(batch.slice(lo, FETCH))
+                keys = grams(ids, length + 1)
+                at = np.flatnonzero(place >= length)
+                at = at[may_have(shared.value, keys[length - 1][at - 1])]
+                key, first, n = np.unique(keys[length][at], return_index=True, return_counts=True)
+                at = at[first]
+                longs = [pa.array(x.view(np.int64)) for x in (key, keys[length - 1][at - 1], keys[length - 1][at])]
+                yield pa.RecordBatch.from_arrays([*longs, pa.array(n, pa.int64())], names=["key", "ctx", "short", "n"])
 
     return run
 
 
-def grow(training: DataFrame, tokens: int, depth: int, least_share: float) -> Tree:
-    """A pass over the training symbols per level, then the divergence tests; everything gathered is bounded by
-    SYMBOLS / least_share cells a level."""
-    spark = training.sparkSession
-    least = max(2.0, least_share * tokens)
-    tree, parent, follow, first = Tree(np.full((1, SYMBOLS), -1, np.int32)), [0], [], 0
-    while True:
-        shared = spark.sparkContext.broadcast(tree)
-        found = training.select("syms").mapInArrow(_survey(shared, first), "kind long, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toPandas()
+def lookup(rows: DataFrame, on: str, table: DataFrame) -> DataFrame:
+    """rows with the values of table (key, n, value...) at key = `on`, where it has them. At most ROOM rows of the
+    largest counts are broadcast, the rest is a shuffle join of keys with small counts."""
+    threshold = _threshold(_bands(table, "n"), ROOM)
+    values = [c for c in table.columns if c not in ("key", "n")]
+    side = lambda which: table.where(which).select(F.col("key").alias(on), *[F.col(c).alias(f"_{c}") for c in values])
+    found = rows.join(F.broadcast(side(F.col("n") >= threshold)), on, "left")
+    some = F.col(f"_{values[0]}").isNotNull()
+    rest = found.where(~some).select(*rows.columns).join(side(F.col("n") < threshold), on)
+    return found.where(some).unionByName(rest)
+
+
+def grow(training: DataFrame, words: DataFrame, depth: int, least: int) -> DataFrame:
+    """(key, n, value) of retained contexts and of their pairs (under key ^ PAIR), from training (ids) and words (key,
+    n, logp): what a token's log10 probability gains where it follows the context, and besides, where it is that pair."""
+    spark, below, parts = training.sparkSession, words, []
+    for length in range(1, depth + 1):
+        shared = spark.sparkContext.broadcast(bitmap(below.where(F.col("n") >= least)))
+        pairs = training.select("ids").mapInArrow(_pairs(shared, length), "key long, ctx long, short long, n long")
+        pairs = stash(pairs.groupBy("key").agg(F.first("ctx").alias("ctx"), F.first("short").alias("short"), F.sum("n").alias("n")), "pairs")
         shared.destroy()
-        total = np.zeros((2, (len(tree.child) - first) * SYMBOLS))
-        total[found.kind.to_numpy(), found.cell.to_numpy()] = found.n.to_numpy()
-        follow.append(total[0].reshape(-1, SYMBOLS))
-        longer = np.flatnonzero(total[1] >= least) if tree.depth < depth else []
-        if not len(longer):
-            break
-        child = np.concatenate([tree.child, np.full((len(longer), SYMBOLS), -1, np.int32)])
-        child[first + longer // SYMBOLS, longer % SYMBOLS] = len(tree.child) + np.arange(len(longer))
-        parent += (first + longer // SYMBOLS).tolist()
-        first, tree = len(tree.child), Tree(child, tree.depth + 1)
-    return retain(tree, parent, np.concatenate(follow))
-
-
-def retain(tree: Tree, parent: list[int], follow: np.ndarray) -> Tree:
-    """The divergence tests, from the root outwards."""
-    state = list(range(len(parent)))
-    dist = np.empty_like(follow)
-    dist[0] = (follow[0] + 0.5) / (follow[0].sum() + 0.5 * SYMBOLS)
-    for node in range(1, len(parent)):
-        suffix, seen = state[parent[node]], follow[node]
-        n, some = seen.sum(), seen > 0
-        kinds = int(some.sum())
-        gain = float((seen[some] * np.log(seen[some] / n / dist[suffix][some])).sum())
-        if n and gain >= 0.5 * kinds * math.log(n):
-            dist[node] = (seen + kinds * dist[suffix]) / (n + kinds)
-        else:
-            state[node] = suffix
-            dist[node] = dist[suffix]
-    return Tree(tree.child, tree.depth, np.log10(dist), len(set(state)))
-
-
-def _score(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        held = stash(lookup(pairs, "short", below).select("key", "ctx", "n", F.col("_logp").alias("under")), "held-pairs")
+        unstash(pairs)
+        n, kinds = F.col("n"), F.col("kinds")
+        sums = held.groupBy("ctx").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.sum(n * (F.log10("n") - F.col("under"))).alias("gain")).where(n >= least)
+        keep = math.log(10) * (F.col("gain") - n * F.log10("n")) >= 0.5 * kinds * F.log("n")
+        tested = stash(sums.select(F.col("ctx").alias("key"), "n", F.col("n").alias("total"), "kinds", keep.alias("keep")), "contexts")
+        back = F.log10(kinds / (n + kinds))
+        parts.append(tested.where("keep").select("key", "n", back.alias("value")))
+        own = F.log10((n + F.col("_kinds") * F.pow(F.lit(10.0), F.col("under"))) / (F.col("_total") + F.col("_kinds")))
+        more = F.when(F.col("_keep"), own - F.col("under") - F.log10(F.col("_kinds") / (F.col("_total") + F.col("_kinds"))))
+        below = stash(lookup(held, "ctx", tested).select("key", "n", F.when(F.col("_keep"), own).otherwise(F.col("under")).alias("logp"), more.alias("value")), "levels")
+        unstash(held)
+        parts.append(below.where("value is not null").select(F.col("key").bitwiseXOR(F.lit(PAIR)).alias("key"), "n", "value"))
+    return stash(reduce(DataFrame.unionAll, parts), "tree")
+
+
+def _score(shared, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per row the sum of values known here, and the keys that must be looked up."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
+        bits, head, values = shared.value
         for whole in batches:
             for lo in range(0, whole.num_rows, FETCH):
                 batch = whole.slice(lo, FETCH)
-                syms, n = _blobs(batch)
-                state = np.zeros(len(syms), np.int32)
-                for node in tree.walk(syms, n):
-                    state = np.where(node >= 0, node, state)
-                logs = np.add.reduceat(tree.logs[state, syms], np.cumsum(n) - n) if len(n) else np.empty(0)
-                yield pa.RecordBatch.from_arrays([*batch.select(["rid", "doc_id", "held_out", "n_tokens", "n_head", "base", "inner"]).columns, pa.array(logs)], names=["rid", "doc_id", "held_out", "n_tokens", "n_head", "base", "inner", "outer"])
+                ids, row, place = _places(batch)
+                keys, found, rows = grams(ids, depth + 1), [], []
+                for d in range(1, depth + 1):
+                    at = np.flatnonzero(place >= d)
+                    at = at[may_have(bits, keys[d - 1][at - 1])]
+                    pair = keys[d][at] ^ np.uint64(PAIR)
+                    some = may_have(bits, pair)
+                    found += [keys[d - 1][at - 1], pair[some]]
+                    rows += [row[at], row[at[some]]]
+                key, of = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (found, rows))
+                of = of.astype(np.int64)
+                i = np.minimum(np.searchsorted(head, key), max(len(head) - 1, 0))
+                here = head[i] == key if len(head) else np.zeros(len(key), bool)
+                outer = np.bincount(of[here], values[i[here]], batch.num_rows)
+                far, of = key[~here], of[~here]
+                order = np.argsort(of, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=batch.num_rows))])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(far[order].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(outer, pa.float64()), lists], names=["rid", "outer", "far"])
 
     return run
 
 
-def score(docs: DataFrame, head: int = 150_000, depth: int = 3, least_share: float = 5e-4) -> DataFrame:
+def score(docs: DataFrame, head: int = 150_000, depth: int = 3, least: int = 8) -> DataFrame:
     """docs (doc_id, text, held_out; learnt from where not held_out) -> doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score (by single words) and score (by the tree), in log10.
     """
@@ -301,22 +294,29 @@ def score(docs: DataFrame, head: int = 150_000, depth: int = 3, least_share: flo
     docs = docs.select("doc_id", "text", "held_out")
     vocab, counts = vocabulary(docs.where(~F.col("held_out")), head)
     shared = spark.sparkContext.broadcast(vocab)
-    fields = "rid long, doc_id long, held_out boolean, n_tokens long, n_head long, base double, inner double"
-    coded = stash(docs.mapInArrow(_code(shared), fields + ", syms binary, rare array<binary>, times array<long>"), "coded")
-    tree = grow(coded.where(~F.col("held_out")), vocab.tokens, depth, least_share)
+    fields = "rid long, doc_id long, held_out boolean, n_tokens long, n_head long, base double"
+    coded = stash(docs.mapInArrow(_code(shared), fields + ", ids binary, rare array<binary>, times array<long>"), "coded")
+    bare = Vocabulary(vocab.tokens, vocab.distinct, {}, vocab.threshold)
+    words = stash(counts.mapInArrow(_keyed(bare), "key long, n long, logp double"), "words")
+    tree = grow(coded.where(~F.col("held_out")), words, depth, least)
 
     rare = coded.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.times").alias("m"))
     c = F.coalesce("c", F.lit(0))
-    k = class_column(F.col("word")) - (SYMBOLS - CLASSES)
-    below = F.array(*[F.lit(t + 0.5 * (n + 1)) for t, n in zip(vocab.class_tokens[-CLASSES:], vocab.class_words[-CLASSES:], strict=True)])
     found = rare.join(counts.where(F.col("c") < vocab.threshold), "word", "left").select(
         "rid", F.when(c > 0, F.col("m")).otherwise(0).alias("known"), (F.col("m") * F.log10((c + 0.5) / F.lit(vocab.tokens + 0.5 * (vocab.distinct + 1)))).alias("rare_base"),
-        (F.col("m") * F.log10((c + 0.5) / F.get(below, k))).alias("rare_inner"),
     )
-    sums = found.groupBy("rid").agg(F.sum("known").alias("known"), F.sum("rare_base").alias("rare_base"), F.sum("rare_inner").alias("rare_inner"))
-    scored = coded.drop("rare", "times").mapInArrow(_score(spark.sparkContext.broadcast(tree)), fields + ", outer double")
+    sums = found.groupBy("rid").agg(F.sum("known").alias("known"), F.sum("rare_base").alias("rare_base"))
+
+    threshold = _threshold(_bands(tree, "n"), ROOM)
+    top = tree.where(F.col("n") >= threshold).select("key", "value").toPandas()
+    keys = top["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    shared = spark.sparkContext.broadcast((bitmap(tree), keys[order], top["value"].to_numpy(np.float64)[order]))
+    scored = stash(coded.select("rid", "ids").mapInArrow(_score(shared, depth), "rid long, outer double, far array<long>"), "scored")
+    far = scored.select("rid", F.explode("far").alias("key")).join(tree.where(F.col("n") < threshold).select("key", "value"), "key").groupBy("rid").agg(F.sum("value").alias("far_sum"))
     zero = F.lit(0.0)
-    return scored.join(sums, "rid", "left").select(
+    base = F.col("base") + F.coalesce("rare_base", zero)
+    return coded.select("rid", "doc_id", "held_out", "n_tokens", "n_head", "base").join(scored.select("rid", "outer"), "rid").join(sums, "rid", "left").join(far, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", zero)).alias("base_score"), (F.col("outer") + F.col("inner") + F.coalesce("rare_inner", zero)).alias("score"),
+        base.alias("base_score"), (base + F.col("outer") + F.coalesce("far_sum", zero)).alias("score"),
     )
