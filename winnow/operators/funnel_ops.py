@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from winnow.functions import text as tx
+from winnow.tables import numbered
 
 
 def keep_first(rows: DataFrame, key: Column, order: list[Column | str]) -> DataFrame:
@@ -30,14 +31,13 @@ def batches(rows: DataFrame, size: int, order: list[Column | str], deal: int = 6
     """rows with `batch`: at most `size` rows each. Rows are numbered within `deal` parts of a hash of the first
     order column, never all in one task; batch ids are dense within a part."""
     part = F.pmod(F.xxhash64(order[0]), F.lit(deal)).cast("int")
-    numbered = rows.withColumn("_part", part).withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    return numbered.withColumn("batch", F.floor((F.col("_n") - 1) / size) * deal + F.col("_part")).drop("_n", "_part")
+    counted = rows.withColumn("_part", part).withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    return counted.withColumn("batch", F.floor((F.col("_n") - 1) / size) * deal + F.col("_part")).drop("_n", "_part")
 
 
-def ranked_batches(scored: DataFrame, size: int, order: list[Column | str], bound: int = 100_000) -> DataFrame:
-    """The first `bound` rows by order in dense batches of `size`: what a scorer can take in one run."""
-    top = scored.orderBy(*order).limit(bound)
-    return top.withColumn("batch", F.floor((F.row_number().over(W.orderBy(*order)) - 1) / size))
+def ranked_batches(scored: DataFrame, size: int, order: list[Column | str]) -> DataFrame:
+    """All rows in dense batches of `size` by order."""
+    return numbered(scored, order, "_place").withColumn("batch", F.floor((F.col("_place") - 1) / size)).drop("_place")
 
 
 def near_misses(best: DataFrame, least: int = 40, n: int = 3) -> DataFrame:
