@@ -229,6 +229,22 @@ def test_op9_odd_docs(spark):
     assert media.read_back(*media.store(no_docs(spark))).count() == 0
 
 
+def test_op9_shared_passages_are_stored_once(spark):
+    """Near copies of other lengths, and passages of 100 words in pairs of texts that have nothing else in common."""
+    rng = np.random.default_rng(3)
+    some = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 100_000, n))
+    base, passages = some(400), [some(100) for _ in range(30)]
+    rows = [base, base + " and more", base[:-300]]
+    for p in passages:
+        rows += [f"{some(60)} {p} {some(70)}", f"{some(81)} {p} {some(20)}"]
+    kept, owners = media.store(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    media_right(media.read_back(kept, owners).toPandas(), dict(enumerate(rows)))
+    stored = [sum(len(c) for c in r.chunks if c is not None) for r in kept.orderBy("id").collect()]
+    assert sum(stored[:3]) < 1.4 * len(base)
+    saved = sum(len(media.payload_of(t.encode())) for t in rows[3:]) - sum(stored[3:])
+    assert saved > 0.4 * sum(map(len, passages))
+
+
 def test_op10_base_scores(spark, sf, docs):
     found = queries.op10_suffix_tree_score(spark, sf).toPandas().set_index("doc_id")
     tokens = {i: [*lm.words_of((t or "").encode()), b""] for i, t in zip(docs.doc_id, docs.text, strict=True)}

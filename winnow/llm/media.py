@@ -1,13 +1,14 @@
 """Content-defined chunking of media payloads.
 
 A payload (a text's UTF-8 bytes with zero bytes up to a positive multiple of 64) becomes a media file: a
-44-byte WAV header for 8-bit mono samples and the payload as samples. Files are cut by a rolling gear hash
-over the last 32 bytes: a cut stands where its low bits are zero, at least `least` and at most `most` bytes
-after the one before. So equal passages give equal chunks wherever they stand.
+44-byte WAV header for 8-bit mono samples and the payload as samples. Payloads are cut by a rolling gear hash
+over the last 32 bytes: a cut stands where its high bits are zero, at least `least` and at most `most` bytes
+after the one before, about 190 bytes on average. So equal passages give equal chunks wherever they stand, also
+those of a few lines; the header, which holds the file's length, is kept apart from the chunks.
 
 Chunk digests (SHA-256) are deduplicated by Spark joins on digests alone: of each digest that occurs more than
 once, the smallest (document, position) owns the bytes. The store keeps a row per document: the ordered
-digests and lengths, and the bytes of the chunks that it owns. To read a document back, bytes that others own
+digests and lengths, the header, the bytes of the chunks that it owns and which of these it lends. To read a document back, bytes that others own
 are fetched by a join on the digest; only these move. Every chunk is checked against its digest and every
 file against its own digest, before the samples are read.
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import small, stash
+from winnow.llm.common import small, stash, unstash
 
 RATE, UNIT, HEADER = 8000, 64, 44
 FETCH = 512
@@ -40,9 +41,9 @@ FETCH = 512
 class Cuts:
     """Sizes of chunks in bytes; a cut's chance at a byte is 2^-bits."""
 
-    least: int = 512
-    bits: int = 11
-    most: int = 8192
+    least: int = 64
+    bits: int = 7
+    most: int = 1024
 
 
 @lru_cache(maxsize=1)
@@ -55,9 +56,13 @@ def payload_of(text: bytes | None) -> bytes:
     return text + bytes(-len(text) % UNIT if text else UNIT)
 
 
-def wav(payload: bytes) -> bytes:
+def header_of(payload: bytes) -> bytes:
     """8-bit mono samples."""
-    return b"RIFF" + struct.pack("<I", HEADER - 8 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, RATE, RATE, 1, 8) + b"data" + struct.pack("<I", len(payload)) + payload
+    return b"RIFF" + struct.pack("<I", HEADER - 8 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, RATE, RATE, 1, 8) + b"data" + struct.pack("<I", len(payload))
+
+
+def wav(payload: bytes) -> bytes:
+    return header_of(payload) + payload
 
 
 def samples(media: bytes) -> bytes:
@@ -70,13 +75,13 @@ def samples(media: bytes) -> bytes:
     return media[at + 8 : at + 8 + struct.unpack_from("<I", media, at + 4)[0]]
 
 
-def cut(media: bytes, cuts: Cuts) -> list[int]:
-    """The ends of a file's chunks."""
-    h = gears()[np.frombuffer(media, np.uint8)]
+def cut(payload: bytes, cuts: Cuts) -> list[int]:
+    """The ends of a payload's chunks."""
+    h = gears()[np.frombuffer(payload, np.uint8)]
     for span in (1, 2, 4, 8, 16):  # h[i] = sum of gear[byte i - j] << j over the last 32 bytes
         h[span:] += h[:-span] << np.uint32(span)
     marks = np.flatnonzero(h >> np.uint32(32 - cuts.bits) == 0) + 1
-    ends, start, n, i = [], 0, len(media), 0
+    ends, start, n, i = [], 0, len(payload), 0
     while n - start > cuts.least:
         i = int(np.searchsorted(marks, start + cuts.least))
         end = min(int(marks[i]) if i < len(marks) else n, start + cuts.most, n)
@@ -87,9 +92,9 @@ def cut(media: bytes, cuts: Cuts) -> list[int]:
     return ends
 
 
-def _chunks(media: bytes, cuts: Cuts) -> list[bytes]:
-    ends = cut(media, cuts)
-    return [media[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+def _chunks(payload: bytes, cuts: Cuts) -> list[bytes]:
+    ends = cut(payload, cuts)
+    return [payload[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _digests(cuts: Cuts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -99,7 +104,7 @@ def _digests(cuts: Cuts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 batch = whole.slice(lo, FETCH)
                 row, place, digest = [], [], []
                 for i, t in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-                    for j, c in enumerate(_chunks(wav(payload_of(t)), cuts)):
+                    for j, c in enumerate(_chunks(payload_of(t), cuts)):
                         row.append(i)
                         place.append(j)
                         digest.append(hashlib.sha256(c).digest())
@@ -114,24 +119,25 @@ def _store(cuts: Cuts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         for whole in batches:
             for lo in range(0, whole.num_rows, FETCH):
                 batch = whole.slice(lo, FETCH)
-                size, media_sha, digests, lengths, bytes_ = [], [], [], [], []
+                size, media_sha, headers, digests, lengths, bytes_ = [], [], [], [], [], []
                 for t, foreign in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("foreign").to_pylist(), strict=True):
-                    media, other = wav(payload_of(t)), set(foreign or ())
-                    parts = _chunks(media, cuts)
+                    payload, other = payload_of(t), set(foreign or ())
+                    parts = _chunks(payload, cuts)
                     size.append(len(t or b""))
-                    media_sha.append(hashlib.sha256(media).hexdigest())
+                    media_sha.append(hashlib.sha256(wav(payload)).hexdigest())
+                    headers.append(header_of(payload))
                     digests.append([hashlib.sha256(c).digest() for c in parts])
                     lengths.append(list(map(len, parts)))
                     bytes_.append([None if j in other else c for j, c in enumerate(parts)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), batch.column("thash"), pa.array(size, pa.int64()), pa.array(media_sha, pa.string()), pa.array(digests, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int32())), pa.array(bytes_, pa.list_(pa.binary()))],
-                    names=["id", "thash", "n_bytes", "media_sha256", "digests", "lengths", "chunks"],
+                    [batch.column("id"), batch.column("thash"), pa.array(size, pa.int64()), pa.array(media_sha, pa.string()), pa.array(headers, pa.binary()), pa.array(digests, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int32())), pa.array(bytes_, pa.list_(pa.binary())), batch.column("lent")],
+                    names=["id", "thash", "n_bytes", "media_sha256", "header", "digests", "lengths", "chunks", "lent"],
                 )
 
     return run
 
 
-STORE = "id long, thash long, n_bytes long, media_sha256 string, digests array<binary>, lengths array<int>, chunks array<binary>"
+STORE = "id long, thash long, n_bytes long, media_sha256 string, header binary, digests array<binary>, lengths array<int>, chunks array<binary>, lent array<int>"
 
 
 def store(docs: DataFrame, cuts: Cuts = Cuts()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
@@ -143,10 +149,13 @@ def store(docs: DataFrame, cuts: Cuts = Cuts()) -> tuple[DataFrame, DataFrame]:
     owners = seen.groupBy("digest").agg(F.min(F.struct("id", "thash", "place")).alias("owner"), F.count("*").alias("n")).where("n > 1")
     owners = stash(owners, "owners")
     mine = F.col("id").eqNullSafe(F.col("owner.id")) & (F.col("thash") == F.col("owner.thash")) & (F.col("place") == F.col("owner.place"))
-    foreign = seen.join(owners, "digest").where(~mine).groupBy("id", "thash").agg(F.sort_array(F.collect_set("place")).alias("foreign"))
+    places = lambda which: F.sort_array(F.collect_set(F.when(which, F.col("place"))))
+    foreign = seen.join(owners, "digest").groupBy("id", "thash").agg(places(~mine).alias("foreign"), places(mine).alias("lent"))
     foreign = stash(foreign.withColumnsRenamed({"id": "fid", "thash": "fhash"}), "foreign")
+    unstash(seen)
     marked = rows.join(small(foreign, 500_000), F.col("id").eqNullSafe(F.col("fid")) & (F.col("thash") == F.col("fhash")), "left")
-    kept = stash(marked.select("id", "thash", "text", "foreign").mapInArrow(_store(cuts), STORE), "media-store")
+    kept = stash(marked.select("id", "thash", "text", "foreign", "lent").mapInArrow(_store(cuts), STORE), "media-store")
+    unstash(foreign)
     return kept, owners.select("owner.id", "owner.thash", "owner.place", "digest", "n")
 
 
@@ -162,10 +171,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, whole.num_rows, FETCH):
             batch = whole.slice(lo, FETCH)
             out: dict[str, list] = {k: [] for k in ("payload", "media_bytes", "media_sha256", "feature")}
-            for digests, chunks, sha in zip(*(batch.column(c).to_pylist() for c in ("digests", "chunks", "media_sha256")), strict=True):
+            for header, digests, chunks, sha in zip(*(batch.column(c).to_pylist() for c in ("header", "digests", "chunks", "media_sha256")), strict=True):
                 if any(c is None or hashlib.sha256(c).digest() != d for d, c in zip(digests, chunks, strict=True)):
                     raise ValueError("a chunk is missing or differs from its digest")
-                media = b"".join(chunks)
+                media = b"".join((header, *chunks))
                 if (found := hashlib.sha256(media).hexdigest()) != sha:
                     raise ValueError("a file differs from its digest")
                 payload = samples(media)
@@ -179,24 +188,32 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for lo in range(0, whole.num_rows, FETCH):
+            batch = whole.slice(lo, FETCH)
+            chunks = batch.column("chunks").to_pylist()
+            for c, got in zip(chunks, batch.column("got").to_pylist(), strict=True):
+                for x in got or ():
+                    c[x["place"]] = x["bytes"]
+            yield batch.set_column(batch.schema.get_field_index("chunks"), "chunks", pa.array(chunks, pa.list_(pa.binary()))).drop_columns(["got"])
+
+
 def whole_files(kept: DataFrame, owners: DataFrame) -> DataFrame:
     """The store with all bytes in place: documents that refer to others' chunks fetch them by digest."""
     lacks = F.exists("chunks", lambda c: c.isNull())
     whole = kept.where(~lacks)
     parts = F.posexplode(F.arrays_zip("digests", "chunks")).alias("place", "x")
     needs = kept.where(lacks).select("id", "thash", parts).where("x.chunks is null").select("id", "thash", "place", F.col("x.digests").alias("digest"))
-    offered = kept.select("id", "thash", parts).where("x.chunks is not null").select(F.col("x.digests").alias("digest"), F.col("x.chunks").alias("bytes"))
-    offered = offered.join(small(stash(owners.select("digest").distinct(), "shared-digests"), 200_000), "digest", "left_semi")
+    offered = kept.select(F.explode(F.transform("lent", lambda i: F.struct(F.get("digests", i).alias("digest"), F.get("chunks", i).alias("bytes")))).alias("x")).select("x.*")
     offered = stash(offered.groupBy("digest").agg(F.first("bytes").alias("bytes")), "shared-chunks")
     got = needs.join(offered, "digest").groupBy("id", "thash").agg(F.collect_set(F.struct("place", "bytes")).alias("got"))
     got = got.withColumnsRenamed({"id": "fid", "thash": "fhash"})
     filled = kept.where(lacks).join(got, F.col("id").eqNullSafe(F.col("fid")) & (F.col("thash") == F.col("fhash")), "left")
-    found = F.map_from_entries("got")
-    filled = filled.withColumn("chunks", F.transform("chunks", lambda c, i: F.coalesce(c, found[i])))
-    return whole.unionByName(filled.select(*whole.columns))
+    return whole.unionByName(filled.select(*whole.columns, "got").mapInArrow(_fill, STORE))
 
 
 def read_back(kept: DataFrame, owners: DataFrame) -> DataFrame:
     """Every document's digests and features, from the stored bytes."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return whole_files(kept, owners).select("id", "n_bytes", "media_sha256", "digests", "chunks").mapInArrow(_read, schema)
+    return whole_files(kept, owners).select("id", "n_bytes", "media_sha256", "header", "digests", "chunks").mapInArrow(_read, schema)
