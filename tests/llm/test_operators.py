@@ -125,6 +125,21 @@ def test_op4_many_blocks(spark, monkeypatch):
     assert found == dict(enumerate(root))
 
 
+def test_op4_one_id_under_two_texts(spark):
+    """Both texts of id 5 have a near copy of their own; the links of neither may be judged by the other's set."""
+    some = lambda p: [f"{p}{i}" for i in range(200)]
+    near = lambda w, p: " ".join([*w[:100], p, *w[101:]])
+    a, b = some("a"), some("b")
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(a, "x")), (9, near(b, "y"))]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), neardup.Plan(ngram=3, percent=85))
+    assert {r.doc_id: r.component_id for r in found.collect()} == {5: 5, 7: 5, 9: 5}
+    import pyarrow as pa
+
+    text = dict(zip("ABCD", (t for _, t in rows), strict=True))
+    pairs = pa.RecordBatch.from_pylist([{"a": 5, "b": 9, "text_a": text["A"], "text_b": text["D"]}, {"a": 5, "b": 9, "text_a": text["B"], "text_b": text["D"]}])
+    assert sum(x.num_rows for x in neardup._confirm(neardup.Plan(ngram=3, percent=85))(iter([pairs]))) == 1
+
+
 def test_op5_odd_docs(spark):
     table = odd_docs(spark)
     cut = linededup.dedup_lines(table)

@@ -32,6 +32,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,14 +178,15 @@ def within_radius(pairs: DataFrame, sigs: DataFrame, plan: Plan) -> DataFrame:
 
 def _confirm(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+        known: dict[tuple[int, bytes], np.ndarray] = {}
 
-        def of(i: int, text: bytes) -> np.ndarray:
-            if i not in known:
+        def of(i: int, text: bytes | None) -> np.ndarray:
+            at = i, xxhash.xxh3_128_digest(text or b"")  # rows that repeat an id may differ in text
+            if at not in known:
                 if sum(map(len, known.values())) > 2_000_000 or len(known) > 64:
                     known.clear()
-                known[i] = shingles(text, plan.ngram)
-            return known[i]
+                known[at] = shingles(text, plan.ngram)
+            return known[at]
 
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
