@@ -93,6 +93,17 @@ def test_op3_odd_docs(spark):
     assert langid.identify(empty, langid.fit(langid.training_rows(empty))).count() == 0
 
 
+def test_op3_many_languages(spark):
+    """All of 300 languages are learnt, each of words of its own and one that all share."""
+    word = lambda i, k: "".join(chr(97 + int(x)) for x in f"{i:03d}") + "klmnop"[k]
+    rows = [(6 * i + k, f"all {word(i, k)} {word(i, (k + 1) % 6)} {word(i, (k + 2) % 6)}", f"l{i:03d}") for i in range(300) for k in range(6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(table.where("doc_id % 6 <> 0"))
+    assert len(model.langs) == 300
+    found = langid.identify(table.where("doc_id % 6 = 0"), model)
+    assert found.where("lang = lang_pred").count() == 300
+
+
 def test_op4_odd_docs(spark):
     found = neardup.near_duplicates(odd_docs(spark), neardup.Plan(ngram=3, percent=85)).toPandas()
     assert len(found) == 10

@@ -7,7 +7,8 @@ without any adds nothing.
 
 The model is fitted on a bounded sample: about `docs_per_lang` labelled documents of each language, chosen by
 a hash of doc_id (whole texts), of which the `words` most frequent words and the `grams` most frequent
-n-grams of each order and language are kept. So its size doesn't grow with the input.
+n-grams of each order and language are kept. So its size grows with the number of languages only; every
+language is learnt, and of each word or n-gram only the languages in which it was seen are stored.
 
 The score is the posterior of the best language after dividing the log odds by the square root of the number
 of tokens, which keeps it below 1 for short texts.
@@ -35,17 +36,35 @@ from pyspark.sql import types as T
 UNKNOWN = "und"
 TOKEN = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
-MEMO_WORDS = 500_000
+#: Words by languages in a worker's memo before it starts anew.
+MEMO_CELLS = 2_000_000
 FETCH = 2048
 
 
+@dataclass
+class Rows:
+    """Log frequencies by key and language: those of a key without any count, and what its counts add to them."""
+
+    base: np.ndarray
+    starts: np.ndarray
+    langs: np.ndarray
+    adds: np.ndarray
+
+    def mean(self, keys: list[int]) -> np.ndarray:
+        out = self.base.copy()
+        for i in keys:
+            at = slice(self.starts[i], self.starts[i + 1])
+            out[self.langs[at]] += self.adds[at] / len(keys)
+        return out
+
+
 @dataclass
 class Model:
     langs: list[str]
     words: dict[str, int]
-    grams: dict[str, int]
-    word_rows: np.ndarray
-    gram_rows: np.ndarray
+    grams: dict[int, dict[str, int]]
+    word_rows: Rows | None
+    gram_rows: dict[int, Rows]
 
 
 def tokens(text: str) -> list[str]:
@@ -78,26 +97,23 @@ def _count_grams(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(a, b, c, n) for (a, b, c), n in found.items()], columns=["lang", "size", "gram", "n"])
 
 
-def _log_rows(counts: list[tuple[str, str, int]], langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
+def _log_rows(counts: list[tuple[str, str, int]], langs: list[str]) -> tuple[dict[str, int], Rows]:
     """Rows of log frequency with half a count added, by word or n-gram."""
-    keys = sorted({k for _, k, _ in counts})
-    at, col = {k: i for i, k in enumerate(keys)}, {x: i for i, x in enumerate(langs)}
-    n = np.full((len(keys), len(langs)), 0.5)
-    for lang, k, c in counts:
-        n[at[k], col[lang]] += c
-    return at, np.log(n / n.sum(axis=0)).astype(np.float64)
+    at, col = {k: i for i, k in enumerate(sorted({k for _, k, _ in counts}))}, {x: i for i, x in enumerate(langs)}
+    key, lang = (np.array(x, np.int64) for x in ([at[k] for _, k, _ in counts], [col[x] for x, _, _ in counts]))
+    n, order = np.array([c for *_, c in counts], np.float64), np.argsort(key, kind="stable")
+    total = np.maximum(0.5 * len(at) + np.bincount(lang, n, len(langs)), 0.5)
+    return at, Rows(np.log(0.5 / total), np.searchsorted(key[order], np.arange(len(at) + 1)), lang[order], np.log((n[order] + 0.5) / 0.5))
 
 
 def fit(labelled: DataFrame, docs_per_lang: int = 1500, words: int = 10_000, grams: int = 3_000) -> Model:
     """labelled: doc_id, text, lang without nulls. Two passes: rows per language, then the sample's counts."""
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()}
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], {}, {}, np.empty((0, 0)), np.empty((0, 0)))
-    share: Column = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, docs_per_lang / n)).otherwise(share)
-    picked = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20))
+        return Model([], {}, {}, None, {})
+    shares = labelled.sparkSession.createDataFrame([(x, min(1.0, docs_per_lang / n)) for x, n in sizes.items()], "lang string, share double")
+    picked = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     counted = picked.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long")
     counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).cache()
     top = lambda df, part, key, k: df.withColumn("_r", F.row_number().over(W.partitionBy(*part).orderBy(F.desc("n"), key))).where(F.col("_r") <= k)
@@ -106,12 +122,8 @@ def fit(labelled: DataFrame, docs_per_lang: int = 1500, words: int = 10_000, gra
     kept = [(r.lang, r.gram, r.n, r["size"]) for r in top(gram_counts, ["lang", "size"], "gram", grams).collect()]
     counted.unpersist()
     at, rows = _log_rows(word_counts, langs)
-    gram_at, parts = {}, []
-    for order in ORDERS:  # each order has frequencies of its own
-        own, r = _log_rows([x[:3] for x in kept if x[3] == order], langs)
-        gram_at |= {k: i + len(gram_at) for k, i in own.items()}
-        parts.append(r)
-    return Model(langs, at, gram_at, rows, np.concatenate(parts))
+    orders = {order: _log_rows([x[:3] for x in kept if x[3] == order], langs) for order in ORDERS}  # each has frequencies of its own
+    return Model(langs, at, {k: x for k, (x, _) in orders.items()}, rows, {k: r for k, (_, r) in orders.items()})
 
 
 class WordRows(dict):
@@ -120,16 +132,17 @@ class WordRows(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.rows = np.zeros((1 << 12, len(model.langs)))
+        self.rows = np.zeros((1 << 8, len(model.langs)))
         self.used = 1
 
     def evidence(self, word: str) -> np.ndarray:
         m = self.model
         if (i := m.words.get(word)) is not None:
-            return m.word_rows[i]
-        for order in ORDERS:
-            if hits := [m.grams[g] for g in padded_grams(word, order) if g in m.grams]:
-                return m.gram_rows[hits].mean(axis=0)
+            return m.word_rows.mean([i])
+        for order in ORDERS if m.grams else ():
+            known = m.grams[order]
+            if hits := [known[g] for g in padded_grams(word, order) if g in known]:
+                return m.gram_rows[order].mean(hits)
         return np.zeros(len(m.langs))
 
     def __missing__(self, word: str) -> int:
@@ -144,7 +157,7 @@ class WordRows(dict):
         return i
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if self.used > MEMO_WORDS:
+        if self.used * len(self.model.langs) > MEMO_CELLS:
             self.clear()
             self.used = 1
         words = tokens(text) if text else []
