@@ -1,43 +1,84 @@
-"""Shared folder tables, size-checked broadcasts and byte tokens used by the operators."""
+"""Shared folder tables, size-checked broadcasts, memos of tasks and byte tokens used by the operators."""
 
 from __future__ import annotations
 
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.tables import prefix_sums, shared_root, stash
 
-#: Rows of a few longs that may be broadcast (about 32 MB); larger sides are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-#: Entries of a worker's memo before it starts anew; it bounds memory and never changes a result.
-MEMO_ENTRIES = 1_000_000
+#: Rows and serialised bytes that a side may have to be broadcast; larger sides are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
+#: Bytes that a task's memo holds before it starts anew; they bound memory and never change a result.
+MEMO_BYTES = 24 << 20
+#: About what an entry takes besides its key and value: two objects' heads and a slot of the table.
+ENTRY_BYTES = 180
+
+#: Buckets per doubling of a count, and rows of a lookup table that go to every worker, those of the largest counts.
+BANDS, ROOM = 8, 100_000
 
 __all__ = ["prefix_sums", "shared_root", "stash"]
 
 
+class Memo(dict):
+    """f of a text or bytes key, remembered by one task until MEMO_BYTES are held."""
+
+    def __init__(self, f: Callable):
+        super().__init__()
+        self.f, self.held = f, 0
+
+    def __missing__(self, key):
+        out = self.f(key)
+        self.put(key, out)
+        return out
+
+    def has_room(self, keys) -> bool:
+        return self.held + sum(map(len, keys)) * 3 + len(keys) * ENTRY_BYTES <= MEMO_BYTES
+
+    def put(self, key, out) -> None:
+        self.held += ENTRY_BYTES + len(key) + (len(out) if isinstance(out, bytes) else 0)
+        if self.held > MEMO_BYTES:
+            self.clear()
+            self.held = ENTRY_BYTES
+        self[key] = out
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
+
+@contextmanager
+def task_memos(*memos: dict) -> Iterator[None]:
+    """Empties the memos when a task ends and hands free memory back, as the worker process lives on."""
+    try:
+        yield
+    finally:
+        for m in memos:
+            m.clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+
 def unstash(df: DataFrame) -> None:
     """Delete a stashed table that nothing will read again."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stash_path)
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete every table that this application has stashed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/winnow-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most that many rows, else as it is (then a shuffle join).
-
-    df should be stashed and narrow: it is counted here.
+    """df marked for broadcast if it has at most that many rows and its written form at most BROADCAST_BYTES, else as
+    it is (then a shuffle join). df is a stashed table of columns of fixed width.
     """
-    return F.broadcast(df) if df.count() <= rows else df
-
-
-def text_of(docs: DataFrame):
-    return F.coalesce(F.col("text"), F.lit(""))
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stash_path)
+    held = path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(df) if held <= BROADCAST_BYTES and df.count() <= rows else df
 
 
 def two_hashes(col, names=("h1", "h2")):
@@ -45,13 +86,31 @@ def two_hashes(col, names=("h1", "h2")):
     return F.xxhash64(col).alias(names[0]), F.xxhash64(F.lit(7), col).alias(names[1])
 
 
-class WordHashes(dict):
-    """Memo of 64-bit word hashes."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def trim(self) -> None:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
+def bands_of(table: DataFrame, n: str) -> list:
+    return table.groupBy(F.floor(F.log2(n) * BANDS).alias("band")).agg(F.count("*").alias("rows"), F.sum(n).alias("n"), F.min(n).alias("least")).collect()
+
+
+def threshold_of(bands: list, room: int) -> int:
+    """The count that at most `room` rows reach."""
+    threshold = None
+    for b in sorted(bands, key=lambda b: -b.band):
+        room -= b.rows
+        if room < 0:
+            break
+        threshold = b.least
+    if threshold is None:  # not even the top band fits
+        threshold = 1 + max((b.least for b in bands), default=0) * 2
+    return threshold
+
+
+def lookup(rows: DataFrame, on: str, table: DataFrame, keep: bool = False) -> DataFrame:
+    """rows with the values of table (key, n, value..., the first never null) at key = `on`: those that have one, or
+    with `keep` all. At most ROOM rows of the largest counts are broadcast, the rest is a shuffle join of keys with
+    small counts, so that no key with a large part of the rows meets in one task."""
+    threshold = threshold_of(bands_of(table, "n"), ROOM)
+    values = [c for c in table.columns if c not in ("key", "n")]
+    side = lambda which: table.where(which).select(F.col("key").alias(on), *[F.col(c).alias(f"_{c}") for c in values])
+    found = rows.join(F.broadcast(side(F.col("n") >= threshold)), on, "left")
+    some = F.col(f"_{values[0]}").isNotNull()
+    rest = found.where(~some).select(*rows.columns).join(side(F.col("n") < threshold), on, "left" if keep else "inner")
+    return found.where(some).unionByName(rest)

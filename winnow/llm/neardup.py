@@ -36,10 +36,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import WordHashes, small, stash
+from winnow.llm.common import lookup, small, stash, task_memos
 from winnow.llm.components import components
 
-FETCH = 2048
+FETCH, KEYED = 2048, 512
 #: A block of a key that is compared in full holds about so many rows, by signatures and by full sets, and bytes of sets.
 FLAG_ROWS, LINK_ROWS, LINK_BYTES = 2048, 1024, 16 << 20
 #: Any odd number: ids are ordered by their exclusive or with it.
@@ -61,11 +61,6 @@ class Plan:
         return self.symbols // self.width * (self.errors + 1) - 1
 
 
-@lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    return WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -77,8 +72,7 @@ def shingles(text: bytes | None, ngram: int) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    memo = word_hashes()
-    w = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(w) - ngram + 1)
     h = np.zeros(n, np.uint64)
     for j in range(min(ngram, len(w))):
@@ -108,19 +102,19 @@ def signature(h: np.ndarray, symbols: int) -> np.ndarray:
 
 def _fingerprints(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, FETCH):
-                batch = whole.slice(lo, FETCH)
-                sizes, f1, f2, sigs = [], [], [], []
-                for t in batch.column("text").cast(pa.binary()).to_pylist():
-                    h = shingles(t, plan.ngram)
-                    sizes.append(len(h))
-                    f1.append(int(h.sum(dtype=np.uint64)))
-                    f2.append(int(mixed(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)))
-                    sigs.append(signature(h, plan.symbols).tobytes() if len(h) else None)
-                word_hashes().trim()
-                longs = [pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f1, f2)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), *longs, pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
+        with task_memos():
+            for whole in batches:
+                for lo in range(0, whole.num_rows, FETCH):
+                    batch = whole.slice(lo, FETCH)
+                    sizes, f1, f2, sigs = [], [], [], []
+                    for t in batch.column("text").cast(pa.binary()).to_pylist():
+                        h = shingles(t, plan.ngram)
+                        sizes.append(len(h))
+                        f1.append(int(h.sum(dtype=np.uint64)))
+                        f2.append(int(mixed(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)))
+                        sigs.append(signature(h, plan.symbols).tobytes() if len(h) else None)
+                    longs = [pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f1, f2)]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), *longs, pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
 
     return run
 
@@ -149,8 +143,8 @@ def chunk_keys(sigs: np.ndarray, plan: Plan) -> np.ndarray:
 def _keys(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, FETCH):
-                batch = whole.slice(lo, FETCH)
+            for lo in range(0, whole.num_rows, KEYED):
+                batch = whole.slice(lo, KEYED)
                 sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, plan.symbols)
                 keys = chunk_keys(sigs, plan)
                 ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), keys.shape[1])
@@ -188,16 +182,16 @@ def _confirm(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 known[at] = shingles(text, plan.ngram)
             return known[at]
 
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                keep = []
-                for i, j, s, t in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a").cast(pa.binary()).to_pylist(), batch.column("text_b").cast(pa.binary()).to_pylist(), strict=True):
-                    x, y = of(i, s), of(j, t)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= plan.percent * (len(x) + len(y) - both))
-                word_hashes().trim()
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        with task_memos(known):
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 256):
+                    batch = whole.slice(lo, 256)
+                    keep = []
+                    for i, j, s, t in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a").cast(pa.binary()).to_pylist(), batch.column("text_b").cast(pa.binary()).to_pylist(), strict=True):
+                        x, y = of(i, s), of(j, t)
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        keep.append(100 * both >= plan.percent * (len(x) + len(y) - both))
+                    yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -272,8 +266,8 @@ def _link(plan: Plan) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def _in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
     """members (key, id, ...) dealt to `blocks` (an aggregate over a key's rows); every two blocks of a key meet in
     one group (key, lo, hi). side: 2 if both are the same block, else 0 in the lower and 1 in the upper one."""
-    sizes = members.groupBy("key").agg(F.greatest(F.ceil(blocks), F.lit(1)).cast("long").alias("blocks"))
-    m = members.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
+    sizes = members.groupBy("key").agg(F.greatest(F.ceil(blocks), F.lit(1)).cast("long").alias("blocks"), F.count("*").alias("n"))
+    m = lookup(members, "key", stash(sizes, "block-counts")).withColumnRenamed("_blocks", "blocks").withColumn("mine", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
     m = m.withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     m = m.withColumn("lo", F.least("mine", "theirs")).withColumn("hi", F.greatest("mine", "theirs"))
     return m.withColumn("side", F.when(F.col("lo") == F.col("hi"), 2).when(F.col("mine") == F.col("lo"), 0).otherwise(1)).drop("blocks", "mine", "theirs")
@@ -281,12 +275,12 @@ def _in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
 
 def _sets(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                sets = [shingles(t, plan.ngram).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                word_hashes().trim()
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "set"])
+        with task_memos():
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 256):
+                    batch = whole.slice(lo, 256)
+                    sets = [shingles(t, plan.ngram).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "set"])
 
     return run
 
@@ -299,13 +293,14 @@ def across(members: DataFrame, sigs: DataFrame, comp: DataFrame, docs: DataFrame
     """
     label = comp.select(F.col("a").alias("id"), F.col("b").alias("comp"))
     m = members.join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    open_keys = m.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key")
-    m = stash(m.join(open_keys, "key").join(sigs.select(F.col("doc_id").alias("id"), "sig"), "id"), "open")
+    open_keys = stash(m.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).where("least < most"), "open-keys")
+    m = lookup(m, "key", open_keys.select("key", "n", "least")).select("key", "id", "comp")
+    m = stash(m.join(sigs.select(F.col("doc_id").alias("id"), "sig"), "id"), "open")
     flagged = stash(_in_blocks(m, F.count("*") / FLAG_ROWS).groupBy("key", "lo", "hi").applyInPandas(_flag(plan), "key long, id long").distinct(), "flagged")
     ids = stash(flagged.select("id").distinct(), "flagged-ids")
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(small(ids), "id", "left_semi")
     sets = stash(texts.mapInArrow(_sets(plan), "id long, set binary"), "sets")
-    full = m.join(flagged, ["key", "id"]).join(sets, "id")
+    full = stash(m.join(flagged, ["key", "id"]).join(sets, "id"), "open-sets")
     blocks = F.greatest(F.count("*") / LINK_ROWS, F.sum(F.octet_length("set")) / LINK_BYTES)
     return _in_blocks(full, blocks).groupBy("key", "lo", "hi").applyInPandas(_link(plan), "a long, b long")
 
@@ -325,13 +320,13 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     keys = reps.mapInArrow(_keys(plan), "key long, id long")
     mask = F.lit(SHUFFLED)
     pivots = keys.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("least"), F.count("*").alias("n")).where("n >= 2")
-    pivots = pivots.select("key", "n", F.col("least").bitwiseXOR(mask).alias("pivot"))
-    members = stash(keys.join(pivots, "key"), "members")
+    pivots = stash(pivots.select("key", "n", F.col("least").bitwiseXOR(mask).alias("pivot"), (F.col("n") > 2).alias("more")), "pivots")
+    members = stash(lookup(keys, "key", pivots).select("key", "id", F.col("_pivot").alias("pivot"), F.col("_more").alias("more")), "members")
     stars = members.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     links = stash(confirmed(stash(within_radius(stars, reps, plan), "stars"), docs, plan), "links")
     edges = links.unionAll(repeated)
     comp = components(edges)
-    more = stash(across(members.where("n > 2").select("key", "id"), reps, comp, docs, plan), "across")
+    more = stash(across(members.where("more").select("key", "id"), reps, comp, docs, plan), "across")
     if more.head(1):
         comp = components(edges.unionAll(more))
     label = comp.select(F.col("a").alias("rep"), F.col("b").alias("comp"))

@@ -27,12 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import MEMO_ENTRIES, prefix_sums, small, stash
+from winnow.llm.common import Memo, prefix_sums, small, stash, task_memos
 
 #: Separators that str.split() cuts at, but the tokenizer doesn't, and zero-width marks that it may treat in its own way.
 ODD = re.compile("[\x1c-\x1f\u180e\ufeff]")
 #: Fixed: how the tokenizer splits a normalised text before its merges.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Texts that tell whether a file's own splitting is SPLIT's, between words and within them.
+PROBES = ("it's  we'll don't", "ab12.5--x_y %$ a\nb\tc", "\u00e9t\u00e9 \u4e2d\u6587 \U0001f600!", "I'm (you're) 100% sure...")
 FETCH = 4096
 
 
@@ -43,20 +45,8 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
 
 
-class PieceIds(dict):
-    """Memo from a split piece to its ids."""
-
-    def __init__(self, model, kind):
-        self.tokenize, self.code, self.letters = model.tokenize, "H" if kind.itemsize == 2 else "I", byte_letters()
-
-    def __missing__(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(self.letters)
-        ids = self[piece] = array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
-        return ids
-
-
-class WordIds(dict):
-    """Memo from a word to its ids as little-endian 16-bit (or 32-bit) bytes."""
+class WordIds:
+    """Ids of words as little-endian 16-bit (or 32-bit) bytes, remembered by a task."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,27 +54,36 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces = PieceIds(self.tokenizer.model, self.kind)
-        self.normal = self.tokenizer.normalizer.normalize_str
+        self.letters, self.code = byte_letters(), "H" if self.kind.itemsize == 2 else "I"
+        self.tokenize = self.tokenizer.model.tokenize
+        self.normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        self.by_words = self._same_by_words()
+        self.renew()
+
+    def _same_by_words(self) -> bool:
+        """Whether the file splits as SPLIT and drops white space; if not, texts are tokenised whole."""
+        self.renew()
+        return all(b"".join(map(self.of_word, t.lower().split())) == self.encode(t) for t in PROBES)
+
+    def renew(self) -> None:
+        self.words, self.pieces = Memo(self.of_word), Memo(self.of_piece)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
+    def of_piece(self, piece: str) -> bytes:
+        letters = piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
+
+    def of_word(self, word: str) -> bytes:
         if "<|" in word:
-            ids = self.encode(word)
-        else:
-            ids = b"".join(map(self.pieces.__getitem__, SPLIT.findall(word.lower() if word.isascii() else self.normal(word))))
-        self[word] = ids
-        return ids
+            return self.encode(word)
+        return b"".join(map(self.pieces.__getitem__, SPLIT.findall(word.lower() if word.isascii() else self.normal(word))))
 
     def of(self, text: str) -> bytes:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-            self.pieces.clear()
-        if ODD.search(text):
+        if not self.by_words or ODD.search(text):
             return self.encode(text)
-        return b"".join(map(self.__getitem__, (text.lower() if text.isascii() else text).split()))
+        return b"".join(map(self.words.__getitem__, (text.lower() if text.isascii() else text).split()))
 
 
 @lru_cache(maxsize=2)
@@ -94,19 +93,21 @@ def word_ids(path: str) -> WordIds:
 
 def _tokenise(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, part, at = word_ids(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], memo.kind).tobytes()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, FETCH):
-                batch = whole.slice(lo, FETCH)
-                ids = [memo.of(t or "") + end for t in batch.column("text").to_pylist()]
-                n = np.fromiter(map(len, ids), np.int64, len(ids)) // memo.kind.itemsize
-                start = at + np.cumsum(n) - n
-                at += int(n.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([part] * len(ids), pa.int64()), pa.array(start), pa.array(n), pa.array(ids, pa.binary())],
-                    names=["doc_id", "_part", "_start", "doc_tokens", "ids"],
-                )
+        coder, part, at = word_ids(path), TaskContext.get().partitionId(), 0
+        coder.renew()
+        end = np.array([end_id], coder.kind).tobytes()
+        with task_memos(coder.words, coder.pieces):
+            for whole in batches:
+                for lo in range(0, whole.num_rows, FETCH):
+                    batch = whole.slice(lo, FETCH)
+                    ids = [coder.of(t or "") + end for t in batch.column("text").to_pylist()]
+                    n = np.fromiter(map(len, ids), np.int64, len(ids)) // coder.kind.itemsize
+                    start = at + np.cumsum(n) - n
+                    at += int(n.sum())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id"), pa.array([part] * len(ids), pa.int64()), pa.array(start), pa.array(n), pa.array(ids, pa.binary())],
+                        names=["doc_id", "_part", "_start", "doc_tokens", "ids"],
+                    )
 
     return run
 
