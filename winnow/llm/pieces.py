@@ -22,6 +22,7 @@ as a space, as in the library; rows that repeat are encoded alike; further colum
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -30,9 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from winnow.llm.common import Memo, task_memos
+
 MARK = "▁"
-FETCH = 1024
-MEMO_ENTRIES = 600_000
+FETCH = 256
+#: Pairs of pieces whose order is remembered per worker.
+PAIRS = 200_000
 
 
 class Model:
@@ -79,14 +83,11 @@ def merged(text: str, model: Model) -> tuple[list[str], tuple[str, str] | None]:
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
 
-class Encoder(dict):
-    """A memo from text between sure boundaries to ids, and the stream itself."""
+class Encoder:
+    """The stream of a model, with its pieces as a trie; what stands between sure boundaries is remembered by task."""
 
     def __init__(self, model: Model):
-        super().__init__()
         self.model = model
-        self.plain: dict[str, bytes] = Memo(lambda w: self[MARK + w])
-        self.follows: dict[tuple[str, str], bool] = {}
         self.worst = min(model.scores.values())
         #: The parts of the last merge of every piece that comes out of its own characters.
         self.sound: dict[str, tuple[str, str]] = {}
@@ -100,7 +101,32 @@ class Encoder(dict):
         for p in sorted(self.sound, key=len):
             if all(len(x) == 1 or x in self.steady and self.time_of(x) < self.time_of(p) for x in self.sound[p]):
                 self.steady.add(p)
+        #: Pieces by number (characters without a piece get one when they are met), their numbers and written ids.
+        self.names, self.numbers, self.written = [""], {"": 0}, [b""]
+        #: Whether a piece may follow another, by left number << 32 | right number.
+        self.follows: dict[int, bool] = {}
+        #: Pieces from their last character on. Each node: character -> (next node, number of the piece that starts there or 0).
+        self.trie: dict = {}
+        for p in model.ids if not model.bpe else self.sound:
+            node = self.trie
+            for c in p[:0:-1]:
+                node = node.setdefault(c, [{}, 0])[0]
+            node.setdefault(p[0], [{}, 0])[1] = self.number(p)
+        self.ending = self.ending_by_merges if model.bpe else self.ending_by_sums
         self.newline = self.ids_bytes("\n") if not any("\n" in p for p in model.ids) else None
+        self.renew()
+
+    def renew(self) -> None:
+        #: Ids by word: with a mark before it, or after a line end, which stands in the key.
+        self.words, self.runs = Memo(lambda w: self.ids_bytes(MARK + w) if w[:1] != "\n" else self.newline + self.ids_bytes(w[1:])), Memo(self.ids_bytes)
+
+    def number(self, piece: str) -> int:
+        n = self.numbers.get(piece)
+        if n is None:
+            n = self.numbers[piece] = len(self.names)
+            self.names.append(piece)
+            self.written.append(array("I", self.ids_of(piece)).tobytes())
+        return n
 
     def time_of(self, piece: str) -> float:
         """When merges form the piece: single characters stand from the start."""
@@ -112,27 +138,20 @@ class Encoder(dict):
         Undoing the later merge on either side again and again, no pair that ever faced each other across the
         boundary may have a merge that comes before the next one of either.
         """
-        ok = self.follows.get((left, right))
-        if ok is None:
-            if len(self.follows) > MEMO_ENTRIES:
-                self.follows.clear()
-            if not all(len(x) == 1 or x in self.steady for x in (left, right)) or left[-1] == right[0] == MARK:  # marks' merges have equal ranks
-                ok = merged(left + right, self.model)[0] == [left, right]
+        if not all(len(x) == 1 or x in self.steady for x in (left, right)) or left[-1] == right[0] == MARK:  # marks' merges have equal ranks
+            return merged(left + right, self.model)[0] == [left, right]
+        a, b, limit, of_right = left, right, float("inf"), False
+        while True:
+            cross = self.model.ids.get(a + b)
+            rank = limit + 1 if cross is None else -self.model.scores[cross]
+            if rank < limit or rank == limit and of_right:  # the leftmost of equal merges comes first
+                return False
+            if len(a) == len(b) == 1:
+                return True
+            if self.time_of(a) > self.time_of(b):
+                limit, a, of_right = self.time_of(a), self.sound[a][1], False
             else:
-                ok, a, b, limit, of_right = True, left, right, float("inf"), False
-                while ok:
-                    cross = self.model.ids.get(a + b)
-                    rank = limit + 1 if cross is None else -self.model.scores[cross]
-                    if rank < limit or rank == limit and of_right:  # the leftmost of equal merges comes first
-                        ok = False
-                    elif len(a) == len(b) == 1:
-                        break
-                    elif self.time_of(a) > self.time_of(b):
-                        limit, a, of_right = self.time_of(a), self.sound[a][1], False
-                    else:
-                        limit, b, of_right = self.time_of(b), self.sound[b][0], True
-            self.follows[left, right] = ok
-        return ok
+                limit, b, of_right = self.time_of(b), self.sound[b][0], True
 
     def ids_of(self, piece: str) -> list[int]:
         """A piece's id, or byte pieces for a character without one."""
@@ -143,93 +162,121 @@ class Encoder(dict):
             return [self.model.unknown]
         return [self.model.bytes[b] for b in piece.encode()]
 
-    def best_merge(self, text: str, end: int, last: list[str], score: list[float], base: int) -> tuple[str, float]:
-        """The piece that merges leave at `end`: the only one that may follow the path it starts from."""
-        sound, follows = self.sound, self.follows
-        for start in range(max(base, end - self.model.longest), end):
-            piece = text[start:end]
-            if piece in sound or start == end - 1:
-                before = last[start - base]
-                if not before or (ok := follows.get((before, piece))) or ok is None and self.may_follow(before, piece):
-                    return piece, 0.0
-        raise ValueError("no piece ends here")
-
-    def best_sum(self, text: str, end: int, last: list[str], score: list[float], base: int) -> tuple[str, float]:
-        """The piece on the path of the largest sum that ends at `end`. An unknown character costs 10 more than
-        the worst piece, as in the library."""
-        m, chosen, top = self.model, "", float("-inf")
-        for start in range(max(base, end - m.longest), end):
-            i = m.ids.get(text[start:end])
-            s = m.scores[i] if i is not None else (self.worst - 10 if start == end - 1 else None)
-            if s is not None and score[start - base] + s > top:
-                chosen, top = text[start:end], score[start - base] + s
-        return chosen, top
-
-    def stream(self, text: str) -> Iterator[str]:
-        """Pieces of the best path in order, each as soon as all paths of the window agree on it."""
-        longest, best_end = self.model.longest, self.best_merge if self.model.bpe else self.best_sum
-        # last and score hold, for every position of the window, the piece that ends there and its path's sum
-        base, last, score = 0, [""], [0.0]  # position `base` is a committed boundary
+    def ending_by_merges(self, text: str, end: int, last: list[int], score: list[float], base: int) -> int:
+        """Number of the piece that ends here: the only one that may follow the path to where it starts."""
+        found, follows, at = self.trie.get(text[end - 1]), self.follows, end - 1 - base
+        n = self.numbers.get(text[end - 1]) or self.number(text[end - 1])  # a character may always stand alone
+        while True:
+            if n:
+                left = last[at]
+                if not left:
+                    return n
+                ok = follows.get(left << 32 | n)
+                if ok is None:
+                    if len(follows) >= PAIRS:
+                        follows.clear()
+                    ok = follows[left << 32 | n] = self.may_follow(self.names[left], self.names[n])
+                if ok:
+                    return n
+            at -= 1
+            if found is None or at < 0:
+                raise ValueError("no piece ends here")
+            found = found[0].get(text[base + at])
+            n = found[1] if found else 0
+
+    def ending_by_sums(self, text: str, end: int, last: list[int], score: list[float], base: int) -> int:
+        """Number of the piece on the path of the largest sum that ends here, the longest among equals; the sum joins
+        `score`. An unknown character costs 10 more than the worst piece, as in the library."""
+        node, model, chosen, top = self.trie, self.model, 0, float("-inf")
+        for at in range(end - 1 - base, -1, -1):
+            found = node.get(text[base + at])
+            n, s = found[1] if found else 0, 0.0
+            if n:
+                s = model.scores[model.ids[self.names[n]]]
+            elif at == end - 1 - base:
+                n, s = self.number(text[base + at]), self.worst - 10
+            if n and score[at] + s >= top:
+                chosen, top = n, score[at] + s
+            if found is None:
+                break
+            node = found[0]
+        score.append(top)
+        return chosen
+
+    def stream(self, text: str) -> Iterator[int]:
+        """Numbers of the pieces of the best path in order, each as soon as all paths of the window agree on it."""
+        longest = self.model.longest
+        # last holds, for every place of the window, the piece that ends there on its best path; score the path's sum
+        base, last, score = 0, [0], [0.0]  # place `base` is a committed boundary
+
+        def path(p: int) -> list[int]:
+            done = []
+            while p > base:
+                done.append(last[p - base])
+                p -= len(self.names[done[-1]])
+            return done[::-1]
+
         for end in range(1, len(text) + 1):
-            piece, s = best_end(text, end, last, score, base)
-            last.append(piece)
-            score.append(s)
-            if end == len(text):  # one path is left
-                done, p = [], end
-                while p > base:
-                    done.append(last[p - base])
-                    p -= len(done[-1])
-                yield from reversed(done)
-            elif end - base >= 2 * longest:
-                alive = range(end - longest + 1, end + 1)
+            last.append(self.ending(text, end, last, score, base))
+            if end - base >= 2 * longest and end < len(text):
+                alive = range(end - longest + 1, end + 1)  # no piece steps over all of these
                 passed: dict[int, int] = {}
                 for p in alive:
                     while p > base:
                         passed[p] = passed.get(p, 0) + 1
-                        p -= len(last[p - base])
+                        p -= len(self.names[last[p - base]])
                 common = max((p for p, n in passed.items() if n == len(alive)), default=base)
-                done, p = [], common
-                while p > base:
-                    done.append(last[p - base])
-                    p -= len(done[-1])
-                yield from reversed(done)
+                yield from path(common)
                 # The committed boundary keeps its piece: the next one must be able to follow it.
                 last, score, base = last[common - base :], score[common - base :], common
+        yield from path(len(text))
 
     def ids_bytes(self, text: str) -> bytes:
-        return np.array([i for p in self.stream(text) for i in self.ids_of(p)], "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.ids_bytes(word)
-        return ids
-
-    def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit."""
-        if not text:
-            return b""
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-            self.plain.clear()
+        return b"".join([self.written[i] for i in self.stream(text)])
+
+    def learn(self, words: set[str]) -> None:
+        """Remember the ids of new words. In sorted order, the window of one goes on from what it shares with the next."""
+        last, score, before, new = [0], [0.0], "", words.difference(self.words)
+        if not self.words.has_room(new):
+            self.words.clear()
+            new = words
+        for text, word in sorted((w[1:] if w[:1] == "\n" else MARK + w, w) for w in new):
+            if len(text) >= 2 * self.model.longest:
+                self.words[word]  # beyond one window: by the stream
+                continue
+            same = 0
+            for x, y in zip(before, text):  # noqa: B905  the shorter one ends it
+                if x != y:
+                    break
+                same += 1
+            del last[same + 1 :], score[same + 1 :]
+            for end in range(same + 1, len(text) + 1):
+                last.append(self.ending(text, end, last, score, 0))
+            ids, p, before = [], len(text), text
+            while p:
+                ids.append(self.written[last[p]])
+                p -= len(self.names[last[p]])
+            ids = b"".join(reversed(ids))
+            self.words.put(word, ids if word[:1] != "\n" else self.newline + ids)
+
+    def words_of(self, text: str) -> list[str] | None:
+        """The text's words as keys of `words`, if single spaces and line ends are sure boundaries in it: a piece spans
+        neither, and a word at a later line's start has no mark."""
+        if not self.model.words_apart or self.newline is None or MARK in text or "  " in text or text[:1] == " ":
+            return None
+        return text.replace("\n", " \n").split(" ") if text else []
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = list(map(self.words_of, texts))
+        self.learn({w for words in split if words for w in words})
+        return [self.by_runs(t) if words is None else b"".join(map(self.words.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+
+    def by_runs(self, text: str) -> bytes:
+        marked = MARK + text.replace(" ", MARK)
         if not self.model.words_apart:
-            return self.ids_bytes(MARK + text.replace(" ", MARK))
-        if self.newline is None or MARK in text or "  " in text or text[0] == " ":
-            return b"".join(map(self.__getitem__, re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))))
-        # Single spaces and line ends are boundaries. The first word of a later line has no mark.
-        out = []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            out.append((self[head] if out else self.plain[head]) + b"".join(map(self.plain.__getitem__, rest)))
-        return self.newline.join(out)
-
-
-class Memo(dict):
-    def __init__(self, f: Callable[[str], bytes]):
-        super().__init__()
-        self.f = f
-
-    def __missing__(self, key: str) -> bytes:
-        out = self[key] = self.f(key)
-        return out
+            return self.ids_bytes(marked)
+        return b"".join(map(self.runs.__getitem__, re.findall(f"{MARK}+[^{MARK}]*", marked)))
 
 
 @lru_cache(maxsize=2)
@@ -240,12 +287,14 @@ def encoder(path: str) -> Encoder:
 def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, FETCH):
-                batch = whole.slice(lo, FETCH)
-                ids = [enc.encode(t or "") for t in batch.column("text").to_pylist()]
-                keep = [c for c in batch.schema.names if c not in ("text", "ids", "n_ids")]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())], names=[*keep, "ids", "n_ids"])
+        enc.renew()
+        with task_memos(enc.words, enc.runs):
+            for whole in batches:
+                for lo in range(0, whole.num_rows, FETCH):
+                    batch = whole.slice(lo, FETCH)
+                    ids = enc.encode_all([t or "" for t in batch.column("text").to_pylist()])
+                    keep = [c for c in batch.schema.names if c not in ("text", "ids", "n_ids")]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())], names=[*keep, "ids", "n_ids"])
 
     return run
 
