@@ -5,169 +5,111 @@ a symbol of its own, known by its 64-bit hash. The root's distribution is (c + 0
 probability of a token is that after the longest retained context of up to `depth` tokens before it; before a
 text stands one end, and no context reaches further back.
 
-The tree: a context is a candidate if it occurs at least `least` times in the training part, a fixed count, so the
-tree grows with the input. It is retained if its next-token distribution diverges from that of its longest
-retained suffix: tokens * KL >= half the number of its distinct next tokens * ln(tokens), a
-minimum-description-length test. Distributions are smoothed with that of the retained suffix, weighted by the
-number of distinct next tokens. So a context changes a token's log-probability by a value of the pair (context,
-token), or by one of the context if the pair is new, and a score is the base score plus looked-up values.
-
-Contexts, pairs and values are tables: counted level by level, tested by joins with the level below, looked up by
-shuffle joins. Only keys with a count of at least the threshold that leaves at most a fixed number of them go to
-the workers, and bitmaps of a fixed size that save most rows which no context can match.
+The tree: a pair (context s, next token w) is kept if it occurs at least `least` times in the training part, a fixed
+count, so the tree grows with the input. With n(s) the context's count, K the number of its kept pairs, T their sum
+and q the distribution of its longest retained suffix, s is retained if its own distribution diverges from q:
+sum of n ln(n / n(s) / q(w)) over the kept pairs, plus (n(s) - T) ln((n(s) - T) / n(s) / (1 - sum of their q)) for
+all other tokens, is at least half of K ln(n(s)), a minimum-description-length test. Its distribution is smoothed with
+q: (n + (K + n(s) - T) q(w)) / (n(s) + K), n being 0 for pairs that aren't kept. So a context changes a token's
+log-probability by a value of the pair, or by one of the context if the pair isn't kept, and a score is the base
+score plus values that are looked up by the last one to `depth` + 1 tokens at every place.
+
+Pairs are counted level by level. Of a longer pair only those places are counted whose two shorter parts are kept
+themselves (bitmaps of a fixed size let others pass now and then; the counts decide). A task combines equal pairs of
+its own and hands them on packed by bucket, a bucket's groups are bounded and of pairs by hash, so no frequent word
+or context meets in one task. Contexts, pairs and values are tables, joined by key; rows of the largest counts are
+broadcast, at most a fixed number, the rest is shuffled.
 
 All counts cover the whole training part. Words with a count of at least the threshold that leaves at most
-`head` words go to the workers; all others are counted and looked up by shuffle joins.
+`head` words go to the workers; all others, and what the tree holds beyond its most frequent rows, are looked up by
+bucket: chunks of rows ask a bucket of the table with packed keys and get sums back.
 
 Defined cases: a null text is the end alone; without training rows every count is 0 and the tree is empty;
-rows that repeat a doc_id are scored row by row; a null doc_id is held out; further columns don't matter.
+rows that repeat a doc_id are scored row by row; a null doc_id is held out; a text of any length is scored whole;
+an empty table gives an empty table; further columns don't matter, whatever their names. Equally frequent words or
+pairs need no order: all of a count are treated alike.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import stash, unstash
+from winnow.llm.common import ROOM, bands_of, lookup, stash, threshold_of, unstash
 
-END = b""  # no word is empty
+#: The end's id, that of an empty word.
+END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 FETCH = 2048
-#: Distinct words of a task that are counted before they are passed on.
-FLUSH = 400_000
-#: Buckets per doubling of the count, for the threshold of the head words.
-BANDS = 8
-#: Rows of a lookup table that go to every worker, those of the largest counts.
-ROOM = 200_000
-#: log2 of a bitmap's bits: 8 MB.
-BITS = 26
-STEP, PAIR = np.uint64(0x9E3779B97F4A7C15), 0x2545F4914F6CDD1D
+#: Tokens whose pairs a task combines at a time, and bytes of packed pairs that a bucket holds at about.
+CHUNK, BUCKET_BYTES = 1_000_000, 16 << 20
+#: log2 of a bitmap's bits: 4 MB.
+BITS = 25
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def ids_of(text: bytes | None) -> np.ndarray:
+    """Ids of a text's tokens after one end."""
+    words = (text or b"").lower().split()
+    out = np.full(len(words) + 2, END, np.uint64)
+    out[1:-1] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return out
 
 
-def id_of(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+def chunks_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[np.ndarray]]:
+    """The ids of a task's texts, so many tokens at a time."""
+    texts, held = [], 0
+    for batch in batches:
+        for lo in range(0, batch.num_rows, FETCH):
+            for t in batch.column("text").slice(lo, FETCH).cast(pa.binary()).to_pylist():
+                texts.append(ids_of(t))
+                held += len(texts[-1])
+                if held >= size:
+                    yield texts
+                    texts, held = [], 0
+    if texts:
+        yield texts
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(c: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "c"])
-
-    found: Counter = Counter()
-    for batch in batches:
-        for t in batch.column("text").cast(pa.binary()).to_pylist():
-            found.update(words_of(t))
-            found[END] += 1
-            if len(found) > FLUSH:
-                yield out(found)
-                found.clear()
-    yield out(found)
+    for texts in chunks_of(batches, 4 * CHUNK):
+        keys, n = np.unique(np.concatenate([t[1:] for t in texts]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
 
 @dataclass
 class Vocabulary:
-    """tokens N and distinct V of the training part; head: count by frequent word."""
+    """tokens N and distinct V of the training part; keys and logs of the frequent words, sorted; the log of a word
+    that isn't known."""
 
     tokens: int
     distinct: int
-    head: dict[bytes, int]
     threshold: int
-
-    def base_log(self, c: int) -> float:
-        return math.log10((c + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
-
-
-def _bands(table: DataFrame, n: str) -> list:
-    return table.groupBy(F.floor(F.log2(n) * BANDS).alias("band")).agg(F.count("*").alias("rows"), F.sum(n).alias("n"), F.min(n).alias("least")).collect()
-
-
-def _threshold(bands: list, room: int) -> int:
-    """The count that at most `room` rows reach."""
-    threshold = None
-    for b in sorted(bands, key=lambda b: -b.band):
-        room -= b.rows
-        if room < 0:
-            break
-        threshold = b.least
-    if threshold is None:  # not even the top band fits
-        threshold = 1 + max((b.least for b in bands), default=0) * 2
-    return threshold
+    keys: np.ndarray
+    logs: np.ndarray
+    unknown: float
 
 
 def vocabulary(training: DataFrame, head: int) -> tuple[Vocabulary, DataFrame]:
-    """Counts over all training texts, as a table (word, c) and what the workers need of them."""
-    counts = stash(training.select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
-    bands = _bands(counts, "c")
-    threshold = _threshold(bands, head)
-    frequent = {bytes(r.word): r.c for r in counts.where(F.col("c") >= threshold).collect()}
-    return Vocabulary(sum(b.n for b in bands), sum(b.rows for b in bands), frequent, threshold), counts
-
-
-class Known(dict):
-    """Memo from a word to (id, base log, is it rare)."""
-
-    def __init__(self, vocab: Vocabulary):
-        super().__init__()
-        self.vocab = vocab
-
-    def __missing__(self, word: bytes) -> tuple[int, float, bool]:
-        c = self.vocab.head.get(word)
-        if c is None:
-            return id_of(word), 0.0, True
-        found = self[word] = (id_of(word), self.vocab.base_log(c), False)
-        return found
-
-
-def _code(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, at = Known(shared.value), TaskContext.get().partitionId() << 40
-        for whole in batches:
-            for lo in range(0, whole.num_rows, FETCH):
-                batch = whole.slice(lo, FETCH)
-                n, base, heads, ids, rare, times = [], [], [], [], [], []
-                for t in batch.column("text").cast(pa.binary()).to_pylist():
-                    words = words_of(t)
-                    words.append(END)
-                    i, b, r = zip(*[known[w] for w in words], strict=True)
-                    ids.append(np.array((i[-1], *i), np.uint64).tobytes())
-                    n.append(len(words))
-                    base.append(math.fsum(b))
-                    c = Counter(w for w, x in zip(words, r, strict=True) if x)
-                    heads.append(len(words) - sum(c.values()))
-                    rare.append(list(c))
-                    times.append(list(c.values()))
-                rows = len(n)
-                rid = pa.array(np.arange(at, at + rows, dtype=np.int64))
-                at += rows
-                yield pa.RecordBatch.from_arrays(
-                    [rid, batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(heads, pa.int64()), pa.array(base, pa.float64()), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
-                    names=["rid", "doc_id", "held_out", "n_tokens", "n_head", "base", "ids", "rare", "times"],
-                )
-
-    return run
-
-
-def _keyed(vocab: Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = batch.column("c").to_numpy()
-            logs = np.log10((c + 0.5) / (vocab.tokens + 0.5 * (vocab.distinct + 1)))
-            ids = np.fromiter(map(id_of, batch.column("word").to_pylist()), np.uint64, len(c))
-            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(c), pa.array(logs)], names=["key", "n", "logp"])
-
-    return run
+    """Counts over all training texts, as a table (key, n, logp) and what the workers need of them."""
+    counts = stash(training.select("text").mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "word-counts")
+    bands = bands_of(counts, "n")
+    threshold, tokens, distinct = threshold_of(bands, head), sum(b.n for b in bands), sum(b.rows for b in bands)
+    whole = tokens + 0.5 * (distinct + 1)
+    words = counts.withColumn("logp", F.log10((F.col("n") + 0.5) / F.lit(whole)))
+    top = words.where(F.col("n") >= threshold).toPandas()
+    keys = top["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return Vocabulary(tokens, distinct, threshold, keys[order], top["logp"].to_numpy(np.float64)[order], math.log10(0.5 / whole)), words
 
 
 def grams(ids: np.ndarray, longest: int) -> list[np.ndarray]:
@@ -180,11 +122,11 @@ def grams(ids: np.ndarray, longest: int) -> list[np.ndarray]:
     return found
 
 
-def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def places_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token ids of all texts, each after one end, the row of each and its place in the text."""
-    blobs = batch.column("ids").to_pylist()
-    n = np.fromiter((len(b) // 8 for b in blobs), np.int64, len(blobs))
-    return np.frombuffer(b"".join(blobs), np.uint64), np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    ids = np.concatenate(texts) if texts else np.empty(0, np.uint64)
+    return ids, np.repeat(np.arange(len(n)), n), np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
@@ -200,123 +142,219 @@ def may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _pairs(shared, length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of a context of that length and its next token; `short` is the pair without the farthest token."""
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """By the low half of a mixed key, as the top bits are the bitmap's."""
+    return ((keys * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys by bucket, and where each bucket ends in it."""
+    at = bucket_of(keys, buckets)
+    order = np.argsort(at, kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(at, minlength=buckets))])
+
+
+def _pairs(shared, length: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Contexts of that length and next tokens, equal ones combined: per bucket packed contexts, tokens and counts."""
+
+    def packed(texts: list[np.ndarray]) -> pa.RecordBatch:
+        ids, _, place = places_of(texts)
+        keys = grams(ids, length)
+        at = np.flatnonzero(place >= length)
+        if length > 1:  # both shorter pairs may be kept
+            at = at[may_have(shared.value, keys[-1][at - 1]) & may_have(shared.value, keys[-1][at])]
+        ctx = keys[-1][at - 1]
+        pair, first, n = np.unique(ids[at] + STEP * ctx, return_index=True, return_counts=True)
+        order, ends = by_bucket(pair, buckets)
+        ctx, word, n = ctx[first][order], ids[at][first][order], n[order].astype(np.uint32)
+        full = np.flatnonzero(np.diff(ends))
+        blobs = [pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary()) for x in (ctx, word, n)]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *blobs], names=["bucket", "ctx", "word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, FETCH):
-                ids, _, place = _places(batch.slice(lo, FETCH))
-                keys = grams(ids, length + 1)
-                at = np.flatnonzero(place >= length)
-                at = at[may_have(shared.value, keys[length - 1][at - 1])]
-                key, first, n = np.unique(keys[length][at], return_index=True, return_counts=True)
-                at = at[first]
-                longs = [pa.array(x.view(np.int64)) for x in (key, keys[length - 1][at - 1], keys[length - 1][at])]
-                yield pa.RecordBatch.from_arrays([*longs, pa.array(n, pa.int64())], names=["key", "ctx", "short", "n"])
+        yield from map(packed, chunks_of(batches, CHUNK))
 
     return run
 
 
-def lookup(rows: DataFrame, on: str, table: DataFrame) -> DataFrame:
-    """rows with the values of table (key, n, value...) at key = `on`, where it has them. At most ROOM rows of the
-    largest counts are broadcast, the rest is a shuffle join of keys with small counts."""
-    threshold = _threshold(_bands(table, "n"), ROOM)
-    values = [c for c in table.columns if c not in ("key", "n")]
-    side = lambda which: table.where(which).select(F.col("key").alias(on), *[F.col(c).alias(f"_{c}") for c in values])
-    found = rows.join(F.broadcast(side(F.col("n") >= threshold)), on, "left")
-    some = F.col(f"_{values[0]}").isNotNull()
-    rest = found.where(~some).select(*rows.columns).join(side(F.col("n") < threshold), on)
-    return found.where(some).unionByName(rest)
+def _kept(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Pairs of a bucket that occur at least so many times."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ctx, word = (np.frombuffer(b"".join(pdf[c]), np.uint64) for c in ("ctx", "word"))
+        n = np.frombuffer(b"".join(pdf.n), np.uint32)
+        key, first, same = np.unique(word + STEP * ctx, return_index=True, return_inverse=True)
+        total = np.bincount(same, n).astype(np.int64)
+        at = np.flatnonzero(total >= least)
+        return pd.DataFrame({"key": key[at].view(np.int64), "ctx": ctx[first[at]].view(np.int64), "word": word[first[at]].view(np.int64), "n": total[at]})
+
+    return run
 
 
-def grow(training: DataFrame, words: DataFrame, depth: int, least: int) -> DataFrame:
-    """(key, n, value) of retained contexts and of their pairs (under key ^ PAIR), from training (ids) and words (key,
-    n, logp): what a token's log10 probability gains where it follows the context, and besides, where it is that pair."""
-    spark, below, parts = training.sparkSession, words, []
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The token after the context's own shorter form. (Products wrap around, which a column's don't.)"""
+    for batch in batches:
+        word, suffix = (batch.column(c).to_numpy().view(np.uint64) for c in ("short", "suffix"))
+        yield batch.set_column(batch.schema.get_field_index("short"), "short", pa.array((word + STEP * suffix).view(np.int64)))
+
+
+def grow(training: DataFrame, words: DataFrame, depth: int, least: int, tokens: int) -> DataFrame:
+    """(key, n, value) of the last tokens at a place: what the log10 probability gains by the kept pair that they are,
+    and what that of the next token gains (loses) by the retained context that they are."""
+    spark, parts = training.sparkSession, []
+    below = words.select("key", "n", "logp", F.lit(0).cast("long").alias("short"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens * 16 // BUCKET_BYTES))
     for length in range(1, depth + 1):
-        shared = spark.sparkContext.broadcast(bitmap(below.where(F.col("n") >= least)))
-        pairs = training.select("ids").mapInArrow(_pairs(shared, length), "key long, ctx long, short long, n long")
-        pairs = stash(pairs.groupBy("key").agg(F.first("ctx").alias("ctx"), F.first("short").alias("short"), F.sum("n").alias("n")), "pairs")
-        shared.destroy()
-        held = stash(lookup(pairs, "short", below).select("key", "ctx", "n", F.col("_logp").alias("under")), "held-pairs")
-        unstash(pairs)
-        n, kinds = F.col("n"), F.col("kinds")
-        sums = held.groupBy("ctx").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.sum(n * (F.log10("n") - F.col("under"))).alias("gain")).where(n >= least)
-        keep = math.log(10) * (F.col("gain") - n * F.log10("n")) >= 0.5 * kinds * F.log("n")
-        tested = stash(sums.select(F.col("ctx").alias("key"), "n", F.col("n").alias("total"), "kinds", keep.alias("keep")), "contexts")
-        back = F.log10(kinds / (n + kinds))
-        parts.append(tested.where("keep").select("key", "n", back.alias("value")))
-        own = F.log10((n + F.col("_kinds") * F.pow(F.lit(10.0), F.col("under"))) / (F.col("_total") + F.col("_kinds")))
-        more = F.when(F.col("_keep"), own - F.col("under") - F.log10(F.col("_kinds") / (F.col("_total") + F.col("_kinds"))))
-        below = stash(lookup(held, "ctx", tested).select("key", "n", F.when(F.col("_keep"), own).otherwise(F.col("under")).alias("logp"), more.alias("value")), "levels")
+        shared = spark.sparkContext.broadcast(bitmap(below)) if length > 1 else None
+        packed = training.select("text").mapInArrow(_pairs(shared, length, buckets), "bucket long, ctx binary, word binary, n binary")
+        pairs = stash(packed.groupBy("bucket").applyInPandas(_kept(least), "key long, ctx long, word long, n long"), "pairs")
+        if shared:
+            shared.destroy()
+        # the pair without its farthest token is the token alone, or the context's own shorter form with the token
+        pairs = lookup(pairs, "ctx", below.select("key", "n", F.col("n").alias("total"), F.col("short").alias("suffix")))
+        pairs = pairs.select("key", "ctx", "n", F.col("_total").alias("total"), F.col("word").alias("short"), F.col("_suffix").alias("suffix"))
+        if length > 1:
+            pairs = pairs.mapInArrow(_short, pairs.schema)
+        under = lookup(pairs, "short", below.select("key", "n", "logp")).select("key", "ctx", "short", "n", "total", F.col("_logp").alias("under"))
+        held = stash(under, "held-pairs")
+        n, t, kinds = F.col("n"), F.col("total"), F.col("kinds")
+        sums = held.groupBy("ctx").agg(
+            F.max("total").alias("total"), F.sum("n").alias("seen"), F.count("*").alias("kinds"), F.sum(n * (F.log("n") - F.log("total") - math.log(10) * F.col("under"))).alias("gain"),
+            F.sum(F.pow(F.lit(10.0), F.col("under"))).alias("mass"),
+        )
+        rest = t - F.col("seen")
+        gain = F.col("gain") + F.when(rest > 0, rest * (F.log(rest) - F.log(t) - F.log(F.greatest(1 - F.col("mass"), F.lit(1e-12))))).otherwise(0.0)
+        tested = sums.where(gain >= 0.5 * kinds * F.log(t)).select(F.col("ctx").alias("key"), F.col("total").alias("n"), (t + kinds).alias("whole"), (kinds + rest).alias("free"))
+        tested = stash(tested, "contexts")
+        parts.append(tested.select("key", "n", F.log10(F.col("free") / F.col("whole")).alias("value")))
+        own = F.log10((n + F.col("_free") * F.pow(F.lit(10.0), F.col("under"))) / F.col("_whole"))
+        known = lookup(held, "ctx", tested, keep=True)
+        logp = F.coalesce(own, F.col("under"))
+        below = stash(known.select("key", "n", logp.alias("logp"), "short", (own - F.col("under") - F.log10(F.col("_free") / F.col("_whole"))).alias("value")), "levels")
         unstash(held)
-        parts.append(below.where("value is not null").select(F.col("key").bitwiseXOR(F.lit(PAIR)).alias("key"), "n", "value"))
-    return stash(reduce(DataFrame.unionAll, parts), "tree")
+        parts.append(below.where("value is not null").select("key", "n", "value"))
+    return stash(reduce(DataFrame.unionAll, parts).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value")), "tree")
+
+
+FIELDS = "rid long, doc_id long, held_out boolean, n_tokens long, n_head long, base double, outer double"
+
+
+def found_at(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted keys, and which of them hold what is asked."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
 
 
-def _score(shared, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per row the sum of values known here, and the keys that must be looked up."""
+def _score(shared, depth: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per row sums of what is known here (rare words as unknown ones); and per chunk of rows and bucket the packed
+    keys that must be looked up, with the number of the row of each in its chunk. Rare words' buckets come after the
+    tree's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, head, values = shared.value
+        vocab, bits, head, values = shared.value
+        chunk, names = TaskContext.get().partitionId() << 24, [x.split()[0] for x in FIELDS.split(", ")] + ["chunk", "bucket", "keys", "of"]
         for whole in batches:
             for lo in range(0, whole.num_rows, FETCH):
                 batch = whole.slice(lo, FETCH)
-                ids, row, place = _places(batch)
-                keys, found, rows = grams(ids, depth + 1), [], []
-                for d in range(1, depth + 1):
-                    at = np.flatnonzero(place >= d)
-                    at = at[may_have(bits, keys[d - 1][at - 1])]
-                    pair = keys[d][at] ^ np.uint64(PAIR)
-                    some = may_have(bits, pair)
-                    found += [keys[d - 1][at - 1], pair[some]]
-                    rows += [row[at], row[at[some]]]
-                key, of = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (found, rows))
-                of = of.astype(np.int64)
-                i = np.minimum(np.searchsorted(head, key), max(len(head) - 1, 0))
-                here = head[i] == key if len(head) else np.zeros(len(key), bool)
-                outer = np.bincount(of[here], values[i[here]], batch.num_rows)
-                far, of = key[~here], of[~here]
-                order = np.argsort(of, kind="stable")
-                ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=batch.num_rows))])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(far[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(outer, pa.float64()), lists], names=["rid", "outer", "far"])
+                rows = batch.num_rows
+                texts = [ids_of(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                ids, row, place = places_of(texts)
+                token = np.flatnonzero(place >= 1)
+                at, known = found_at(vocab.keys, ids[token])
+                n, heads = np.bincount(row[token], minlength=rows), np.bincount(row[token][known], minlength=rows)
+                base = np.bincount(row[token][known], vocab.logs[at[known]], rows) + (n - heads) * vocab.unknown
+                rare = token[~known]
+                last = np.zeros(len(ids), bool)
+                last[np.cumsum(n + 1) - 1] = True
+                found, of = [], []
+                for k, keys in enumerate(grams(ids, depth + 1)):
+                    at = np.flatnonzero((place >= k) & may_have(bits, keys) & ~(last & (k == 0)))  # no token follows the last
+                    found.append(keys[at])
+                    of.append(row[at])
+                key, of = np.concatenate(found), np.concatenate(of)
+                at, here = found_at(head, key)
+                outer = np.bincount(of[here], values[at[here]], rows).astype(np.float64)  # whole numbers without any
+                rid = np.arange(rows, dtype=np.int64) + (chunk << 16)
+                own = [pa.array(rid), batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(heads), pa.array(base), pa.array(outer)]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(rows, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=names)
+                for first, key, of in ((0, key[~here], of[~here]), (buckets, ids[rare], row[rare])):
+                    order, ends = by_bucket(key, buckets)
+                    full = np.flatnonzero(np.diff(ends))
+                    key, of = key[order], of[order].astype(np.uint16)
+                    blobs = [pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary()) for x in (key, of)]
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(full), x.type) for x in own), pa.array(np.full(len(full), chunk)), pa.array(full + first), *blobs], names=names)
+                chunk += 1
 
     return run
 
 
-def score(docs: DataFrame, head: int = 150_000, depth: int = 3, least: int = 8) -> DataFrame:
+def _with_bucket(buckets: int, first: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = bucket_of(batch.column("key").to_numpy().view(np.uint64), buckets) + first
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("value"), pa.array(at)], names=["key", "value", "bucket"])
+
+    return run
+
+
+def _look(buckets: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Per chunk the sums of the values that its rows ask this bucket for, and how many were found."""
+
+    def run(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        keys = table.key.to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        keys, values, out = keys[order], table.value.to_numpy(np.float64)[order], []
+        for chunk, bucket, blob, of in zip(asked.chunk, asked.bucket, asked["keys"], asked.of, strict=True):
+            at, some = found_at(keys, np.frombuffer(blob, np.uint64))
+            row = np.frombuffer(of, np.uint16)[some]
+            rows = np.unique(row)
+            sums, n = np.bincount(row, values[at[some]]).astype(np.float64), np.bincount(row)
+            out.append((chunk, bucket >= buckets, rows.tobytes(), sums[rows].tobytes(), n[rows].astype(np.int64).tobytes()))
+        return pd.DataFrame(out, columns=["chunk", "words", "rows", "sums", "n"]).astype({"chunk": "int64", "words": "bool"})
+
+    return run
+
+
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A chunk's rows with the sums over all buckets."""
+    out = []
+    for words, value, n in ((False, "far", "far_n"), (True, "rare", "rare_n")):
+        part = pdf[pdf.words == words]
+        rows = np.frombuffer(b"".join(part.rows), np.uint16)
+        out += [(value, np.bincount(rows, np.frombuffer(b"".join(part.sums), np.float64), FETCH).astype(np.float64)), (n, np.bincount(rows, np.frombuffer(b"".join(part.n), np.int64), FETCH).astype(np.int64))]
+    found = pd.DataFrame(dict(out))
+    return found.assign(rid=np.arange(FETCH) + (int(pdf.chunk.iloc[0]) << 16))[(found.far_n + found.rare_n) > 0][["rid", "far", "rare", "rare_n"]]
+
+
+def score(docs: DataFrame, head: int = 100_000, depth: int = 3, least: int = 8) -> DataFrame:
     """docs (doc_id, text, held_out; learnt from where not held_out) -> doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score (by single words) and score (by the tree), in log10.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", "held_out")
-    vocab, counts = vocabulary(docs.where(~F.col("held_out")), head)
-    shared = spark.sparkContext.broadcast(vocab)
-    fields = "rid long, doc_id long, held_out boolean, n_tokens long, n_head long, base double"
-    coded = stash(docs.mapInArrow(_code(shared), fields + ", ids binary, rare array<binary>, times array<long>"), "coded")
-    bare = Vocabulary(vocab.tokens, vocab.distinct, {}, vocab.threshold)
-    words = stash(counts.mapInArrow(_keyed(bare), "key long, n long, logp double"), "words")
-    tree = grow(coded.where(~F.col("held_out")), words, depth, least)
-
-    rare = coded.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.times").alias("m"))
-    c = F.coalesce("c", F.lit(0))
-    found = rare.join(counts.where(F.col("c") < vocab.threshold), "word", "left").select(
-        "rid", F.when(c > 0, F.col("m")).otherwise(0).alias("known"), (F.col("m") * F.log10((c + 0.5) / F.lit(vocab.tokens + 0.5 * (vocab.distinct + 1)))).alias("rare_base"),
-    )
-    sums = found.groupBy("rid").agg(F.sum("known").alias("known"), F.sum("rare_base").alias("rare_base"))
+    training = docs.where(~F.col("held_out"))
+    vocab, words = vocabulary(training, head)
+    tree = grow(training, words, depth, least, vocab.tokens)
 
-    threshold = _threshold(_bands(tree, "n"), ROOM)
+    threshold = threshold_of(bands_of(tree, "n"), ROOM)
     top = tree.where(F.col("n") >= threshold).select("key", "value").toPandas()
     keys = top["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((bitmap(tree), keys[order], top["value"].to_numpy(np.float64)[order]))
-    scored = stash(coded.select("rid", "ids").mapInArrow(_score(shared, depth), "rid long, outer double, far array<long>"), "scored")
-    far = scored.select("rid", F.explode("far").alias("key")).join(tree.where(F.col("n") < threshold).select("key", "value"), "key").groupBy("rid").agg(F.sum("value").alias("far_sum"))
+    shared = spark.sparkContext.broadcast((vocab, bitmap(tree), keys[order], top["value"].to_numpy(np.float64)[order]))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vocab.tokens * 16 // BUCKET_BYTES))
+    scored = stash(docs.mapInArrow(_score(shared, depth, buckets), FIELDS + ", chunk long, bucket long, keys binary, of binary"), "scored")
+    schema = "key long, value double, bucket long"
+    table = tree.where(F.col("n") < threshold).select("key", "value").mapInArrow(_with_bucket(buckets, 0), schema)
+    rare = words.where(F.col("n") < vocab.threshold).select("key", (F.col("logp") - F.lit(vocab.unknown)).alias("value"))
+    table = table.unionAll(rare.mapInArrow(_with_bucket(buckets, buckets), schema))
+    asked = scored.where("chunk is not null").select("chunk", "bucket", "keys", "of")
+    sums = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(_look(buckets), "chunk long, words boolean, rows binary, sums binary, n binary")
+    far = sums.groupBy("chunk").applyInPandas(_added, "rid long, far double, rare double, rare_n long")
     zero = F.lit(0.0)
-    base = F.col("base") + F.coalesce("rare_base", zero)
-    return coded.select("rid", "doc_id", "held_out", "n_tokens", "n_head", "base").join(scored.select("rid", "outer"), "rid").join(sums, "rid", "left").join(far, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"),
-        base.alias("base_score"), (base + F.col("outer") + F.coalesce("far_sum", zero)).alias("score"),
+    base = F.col("base") + F.coalesce("rare", zero)
+    return scored.where("chunk is null").select("rid", "doc_id", "held_out", "n_tokens", "n_head", "base", "outer").join(far, "rid", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("rare_n", F.lit(0))).cast("long").alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"),
+        base.alias("base_score"), (base + F.col("outer") + F.coalesce("far", zero)).alias("score"),
     )
