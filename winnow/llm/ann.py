@@ -1,36 +1,47 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-Every vector is centred on the mean of all, rotated by a fixed random rotation and kept as the signs of its
-coordinates (packed bits) with two correction scalars: its distance to the centre and the inner product of
-its unit vector with its code. A query's inner product with a vector is estimated from the bits alone; the
-estimate's error is below `bound` / sqrt(dim - 1) * sqrt(1 / f^2 - 1) but for a small probability, f being the
-second scalar. In each block of rows, a vector is reranked by its exact distance if the lower end of its
-interval doesn't exceed the k-th smallest upper end.
+Rows are dealt to coarse lists by their nearest centre; the centres are fitted on a bounded sample of rows
+(`sample`), every row is assigned. A row is taken relative to its list's centre, rotated by a fixed random rotation
+and kept as the signs of its coordinates (packed bits) with two correction scalars: its distance to the centre and
+the inner product of its unit vector with its code. A query's inner product with a row is estimated from the bits
+alone; the estimate's error is below `bound` / sqrt(dim - 1) * sqrt(1 / f^2 - 1) but for a small probability, f being
+the second scalar.
 
-Queries meet the rows in blocks: both are dealt to blocks of bounded size by a hash, every block of queries
-meets every block of rows in one group, each group hands on k rows a query, and these are merged. So no key
-holds more than a block, whatever vectors repeat.
+A search has three passes. The first meets a query with the codes of its nearest lists, in groups of a bounded number
+of rows, and hands on per query and group the k smallest upper ends of the distances' intervals; merged, the k-th
+smallest is the query's bound. The second meets it with all lists that may hold a row within that bound (by the
+triangle inequality, from the distance to the centre and the largest reach) and hands on the rows whose lower end
+doesn't exceed the bound. The third joins only these to their vectors and ranks them by exact distance. So the bounds
+choose which lists are read and what is reranked, and no vector but those moves.
+
+Groups are of one list and one block of it; queries go to them in blocks too. So no list, however full, and no
+vector, however often repeated, makes a group larger than a block.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or have another length than
-the longest valid one take no part, neither as queries nor as candidates; null ids neither. Rows that repeat an id are one
-candidate with the nearest of its vectors, and never a candidate of their own id. Ties go to the smaller id.
-With fewer than k candidates all are returned; an empty table gives an empty table.
+the commonest valid one (the longer among equally common) take no part, neither as queries nor as candidates; null
+ids neither. Rows that repeat an id are one candidate with the nearest of its vectors, and never a candidate of
+their own id. Ties go to the smaller id: rows at the bound itself are reranked. With fewer than k candidates all are
+returned; an empty table gives an empty table. Further columns don't pass and may have any name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from winnow.llm.common import stash
+from winnow.llm.common import small, stash
 
-#: Rows of a block at least and at most, and queries of a block at most; blocks between are 1/64 of the rows.
-LEAST_BLOCK, MOST_BLOCK, QUERY_BLOCK = 256, 16_384, 1024
+#: Rows and queries of a group at about, rows that fit the centres at about, rounds of fitting, and rows of a list at least.
+BLOCK, QUERY_BLOCK, SAMPLE, ROUNDS, LEAST = 8192, 512, 20_000, 8, 512
+#: Lists that a query meets first, and more as long as they hold fewer rows than so many times k.
+FIRST, ENOUGH = 4, 20
+FETCH = 4096
 
 
 def rotation(dim: int, seed: int = 8) -> np.ndarray:
@@ -43,26 +54,51 @@ def valid(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _encode(centre: np.ndarray, turn: np.ndarray):
-    """Rows (id, vector) -> also code (packed signs), reach (distance to the centre) and match (inner product with the code)."""
+def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :] - 2 * x @ y.T, 0)
+
+
+def fit_centres(x: np.ndarray, lists: int, seed: int = 9) -> np.ndarray:
+    """Centres of the sample by a few rounds of k-means; a list that loses its rows keeps its centre."""
+    lists = max(1, min(lists, len(x)))
+    at = x[np.random.default_rng(seed).choice(len(x), lists, replace=False)].copy()
+    for _ in range(ROUNDS):
+        near = squares(x, at).argmin(axis=1)
+        for i in np.unique(near):
+            at[i] = x[near == i].mean(axis=0)
+    return at
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    """Rows of a column of lists of one length, in double precision."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
 
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf.vector.to_numpy()).astype(np.float64)
-            around = x - centre
-            reach = np.sqrt((around**2).sum(axis=1))
-            unit = around @ turn / np.where(reach > 0, reach, 1)[:, None]
-            bits = np.packbits(unit > 0, axis=1)
-            match = np.abs(unit).sum(axis=1) / np.sqrt(x.shape[1])
-            yield pd.DataFrame({"id": pdf.id, "raw": [v.astype("<f4" if pdf.vector.iloc[0].dtype == np.float32 else "<f8").tobytes() for v in pdf.vector], "code": [b.tobytes() for b in bits], "reach": reach, "match": match})
+
+def _encode(centres: np.ndarray, turn: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (id, vector) -> id, list, code (packed signs), reach (distance to the centre) and match (inner product with the code)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, FETCH):
+                batch = whole.slice(lo, FETCH)
+                x = _vectors(batch.column("vector"))
+                near = squares(x, centres).argmin(axis=1)
+                around = x - centres[near]
+                reach = np.sqrt((around**2).sum(axis=1))
+                unit = around @ turn / np.where(reach > 0, reach, 1)[:, None]
+                bits = np.packbits(unit > 0, axis=1)
+                match = np.abs(unit).sum(axis=1) / np.sqrt(x.shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), pa.array(near, pa.int32()), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(reach), pa.array(match)],
+                    names=["id", "list", "code", "reach", "match"],
+                )
 
     return run
 
 
 def estimates(code: np.ndarray, reach: np.ndarray, match: np.ndarray, query: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated squared distances of rotated, centred queries to coded rows, and half widths of their intervals."""
+    """Estimated squared distances of rotated queries (relative to the centre) to coded rows, and half widths of their intervals."""
     dim = query.shape[1]
     bits = np.unpackbits(code, axis=1, count=dim).astype(np.float32)
     norm = np.sqrt((query**2).sum(axis=1))
@@ -71,61 +107,155 @@ def estimates(code: np.ndarray, reach: np.ndarray, match: np.ndarray, query: np.
     f = np.where(match > 0, match, 1)
     scale = 2 * norm[:, None] * reach[None, :]
     error = bound / np.sqrt(max(dim - 1, 1)) * np.sqrt(np.maximum(1 / f**2 - 1, 0))
-    return norm[:, None] ** 2 + reach[None, :] ** 2 - scale * dots / f, scale * error
+    # the last term covers the rounding of the estimate itself
+    return norm[:, None] ** 2 + reach[None, :] ** 2 - scale * dots / f, scale * error + 1e-5 * (scale + norm[:, None] ** 2 + reach[None, :] ** 2)
+
+
+def _nearest_lists(size: np.ndarray, rows: int) -> Callable:
+    """The nearest lists: FIRST of them, or more until they hold so many rows."""
+
+    def which(far: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        order = np.argsort(np.where(size > 0, far, np.inf), axis=1)
+        before = np.cumsum(size[order], axis=1) - size[order]
+        take = ((np.arange(len(size)) < FIRST) | (before < rows)) & (size[order] > 0)
+        out = np.zeros(far.shape, bool)
+        np.put_along_axis(out, order, take, axis=1)
+        return out
+
+    return which
+
+
+def _lists_within(size: np.ndarray, radius: np.ndarray) -> Callable:
+    """The lists that may hold a row within a query's bound."""
+
+    def which(far: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        return (np.maximum(far * (1 - 1e-6) - radius[None, :] * (1 + 1e-6), 0) ** 2 <= limit[:, None]) & (size > 0)
+
+    return which
+
+
+def _dealt(centres: np.ndarray, which: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Queries (id, raw, limit) with each list that they meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, QUERY_BLOCK):
+                batch = whole.slice(lo, QUERY_BLOCK)
+                q = np.frombuffer(b"".join(batch.column("raw").to_pylist()), "<f8").reshape(batch.num_rows, -1)
+                i, j = np.nonzero(which(np.sqrt(squares(q, centres)), batch.column("limit").to_numpy()))
+                met = batch.select(["id", "raw", "limit"]).take(pa.array(i))
+                yield pa.RecordBatch.from_arrays([*met.columns, pa.array(j, pa.int32())], names=["id", "raw", "limit", "list"])
 
+    return run
+
+
+def _group(centres: np.ndarray, turn: np.ndarray, bound: float, then: Callable) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """then(own ids, limits, row ids, lower ends, upper ends) on 64 queries of a group at a time."""
 
-def _search(k: int, centre: np.ndarray, turn: np.ndarray, kind: str, bound: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "part": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64", "part": "int64"})
-        if not len(queries) or not len(rows):
-            return none
-        x = np.frombuffer(b"".join(rows.raw), kind).reshape(len(rows), -1).astype(np.float64)
-        q = np.frombuffer(b"".join(queries.raw), kind).reshape(len(queries), -1).astype(np.float64)
-        code = np.frombuffer(b"".join(rows.code), np.uint8).reshape(len(rows), -1)
-        ids, own, out = rows.id.to_numpy(), queries.id.to_numpy(), []
-        for lo in range(0, len(q), 64):
-            near, half = estimates(code, rows.reach.to_numpy(), rows.match.to_numpy(), (q[lo : lo + 64] - centre) @ turn, bound)
-            for i in range(len(near)):
-                others = ids != own[lo + i]
-                upper = np.where(others, near[i] + half[i], np.inf)
-                if len(ids) > k:
-                    # k distinct ids: rows that repeat an id could fill the first places
-                    least = np.sort(upper)[k - 1] if len(np.unique(ids)) == len(ids) else np.inf
-                else:
-                    least = np.inf
-                at = np.flatnonzero(others & (near[i] - half[i] <= least))
-                exact = np.sqrt(((x[at] - q[lo + i]) ** 2).sum(axis=1))
-                order = np.lexsort((ids[at], exact))
-                _, firsts = np.unique(ids[at][order], return_index=True)
-                order = order[np.sort(firsts)][:k]
-                out.append(pd.DataFrame({"query_id": own[lo + i], "vec_id": ids[at][order], "score": exact[order]}))
-        found = pd.concat(out) if out else none
-        return found.assign(part=int(rows.block.iloc[0]) % 64)[["query_id", "vec_id", "score", "part"]]
+        out = [then(*(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)), np.empty((0, 0)), np.empty((0, 0)))]
+        if len(queries) and len(rows):
+            code = np.frombuffer(b"".join(rows.code), np.uint8).reshape(len(rows), -1)
+            q = (np.frombuffer(b"".join(queries.raw), "<f8").reshape(len(queries), -1) - centres[rows["list"].iloc[0]]) @ turn
+            ids, own, limit = rows.id.to_numpy(), queries.id.to_numpy(), queries.limit.to_numpy()
+            for lo in range(0, len(q), 64):
+                near, half = estimates(code, rows.reach.to_numpy(), rows.match.to_numpy(), q[lo : lo + 64], bound)
+                mine = own[lo : lo + 64]
+                near[mine[:, None] == ids[None, :]] = np.inf
+                out.append(then(mine, limit[lo : lo + 64], ids, near - half, near + half))
+        return pd.concat(out)
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, bound: float = 3.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id and score (Euclidean distance) of the k nearest rows of every query row."""
+def _uppers(k: int) -> Callable:
+    """A group's k smallest upper ends of every query, of different ids."""
+
+    def then(own, limit, ids, lower, upper) -> pd.DataFrame:
+        if lower.shape[1] > 4 * k and len(np.unique(ids)) == len(ids):
+            few = np.argpartition(upper, k, axis=1)[:, :k]
+            upper, ids = np.take_along_axis(upper, few, axis=1), ids[few]
+        else:
+            ids = np.broadcast_to(ids, upper.shape)
+        found = pd.DataFrame({"query_id": np.repeat(own, upper.shape[1]), "id": ids.ravel(), "upper": upper.ravel()})
+        found = found[np.isfinite(found.upper)].sort_values("upper").drop_duplicates(["query_id", "id"])
+        return found.groupby("query_id").head(k)[["query_id", "id", "upper"]]
+
+    return then
+
+
+def _chosen(own, limit, ids, lower, upper) -> pd.DataFrame:
+    """The rows whose lower end doesn't exceed the query's bound."""
+    i, j = np.nonzero((lower <= limit[:, None]) & np.isfinite(lower))  # its own id is infinitely far
+    return pd.DataFrame({"query_id": own[i], "id": ids[j]})
+
+
+def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = _vectors(batch.column("vector"))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "raw"])
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            x, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<f8").reshape(batch.num_rows, -1) for c in ("raw", "asked"))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), pa.array(np.sqrt(((x - q) ** 2).sum(axis=1)))], names=["query_id", "vec_id", "score"])
+
+
+def candidates(vectors: DataFrame, is_query: Column, k: int = 10, bound: float = 1.5, id_col: str = "vec_id", vector_col: str = "embedding", lists: int = 512, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(query_id, id) of the rows that the bounds choose for reranking, and the vectors (id, raw) of all rows and of the
+    queries; None without rows."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("asks")).where(F.col("id").isNotNull() & valid(F.col("vector")))
-    dim = rows.agg(F.max(F.size("vector")).alias("d")).first().d
-    if dim is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & valid(F.col("vector")))
+    sizes = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
+    if not sizes:
+        return None
+    dim, n = sizes[0].dim, sizes[0].n
     rows = rows.where(F.size("vector") == dim)
-    at = rows.select(F.posexplode("vector").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.count("*").alias("n")).collect()
-    centre, n = np.array([r.m for r in sorted(at, key=lambda r: r.i)]), at[0].n
+    share = min(1.0, sample / n)
+    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20)).select("vector").limit(2 * sample)
+    fitted = np.array([r.vector for r in picked.collect()], np.float64).reshape(-1, dim)
+    centres = fit_centres(fitted, min(lists, max(1, n // LEAST))) if len(fitted) else np.zeros((1, dim))
     turn = rotation(dim)
-    per_block = min(MOST_BLOCK, max(LEAST_BLOCK, n // 64))
-    kind = "<f4" if dict(rows.dtypes)["vector"] == "array<float>" else "<f8"
-    coded = stash(rows.select("id", "vector").mapInPandas(_encode(centre, turn), "id long, raw binary, code binary, reach double, match double"), "codes")
-    asking = stash(rows.where("asks").select("id", F.col("vector")).mapInPandas(_encode(centre, turn), "id long, raw binary, code binary, reach double, match double").select("id", "raw"), "asking")
-    blocks, qblocks = max(1, -(-n // per_block)), max(1, -(-asking.count() // QUERY_BLOCK))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asking.withColumn("qblock", F.pmod(F.xxhash64("id"), F.lit(qblocks)).cast("int")).withColumn("block", every(blocks))
-    right = coded.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)).cast("int")).withColumn("qblock", every(qblocks))
-    found = left.groupBy("qblock", "block").cogroup(right.groupBy("qblock", "block")).applyInPandas(_search(k, centre, turn, kind, bound), "query_id long, vec_id long, score double, part long")
-    best = W.partitionBy("query_id", "part").orderBy("score", "vec_id")
-    found = found.groupBy("query_id", "part", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+
+    coded = stash(rows.select("id", "vector").mapInArrow(_encode(centres, turn), "id long, list int, code binary, reach double, match double"), "codes")
+    held = coded.groupBy("list").agg(F.count("*").alias("n"), F.max("reach").alias("reach")).collect()  # a row per list
+    size, radius = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    for r in held:
+        size[r["list"]], radius[r["list"]] = r.n, r.reach
+    raw = rows.select("id", "vector").mapInArrow(_raw, "id long, raw binary")
+    asking = stash(rows.where("asks").select("id", "vector").mapInArrow(_raw, "id long, raw binary"), "asking")
+
+    def pairs(queries: DataFrame, which: Callable, then: Callable, schema: str) -> DataFrame:
+        left = stash(queries.mapInArrow(_dealt(centres, which), "id long, raw binary, limit double, list int"), "asked-lists")
+        asked = left.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("qblocks")).collect()
+        counts = spark.createDataFrame([(r["list"], r.qblocks, int(-(-size[r["list"]] // BLOCK))) for r in asked], "list int, qblocks int, blocks int")
+        upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        by_hash = lambda c, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(c)).cast("int")
+        left = left.join(F.broadcast(counts), "list").withColumn("qblock", by_hash("qblocks", 7)).withColumn("block", upto("blocks")).drop("qblocks", "blocks")
+        right = coded.join(F.broadcast(counts), "list").withColumn("block", by_hash("blocks", 5)).withColumn("qblock", upto("qblocks")).drop("qblocks", "blocks")
+        on = ["list", "block", "qblock"]
+        return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(_group(centres, turn, bound, then), schema)
+
+    # an id's upper end is the smallest of its rows'
+    uppers = pairs(asking.withColumn("limit", F.lit(0.0)), _nearest_lists(size, ENOUGH * k), _uppers(k), "query_id long, id long, upper double").groupBy("query_id", "id").agg(F.min("upper").alias("upper"))
+    ranked = uppers.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("upper"))).where(F.col("r") == k)
+    limits = stash(ranked.select(F.col("query_id").alias("id"), F.col("upper").alias("limit")), "limits")
+    bounded = asking.join(small(limits), "id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+    return stash(pairs(bounded, _lists_within(size, radius), _chosen, "query_id long, id long").distinct(), "chosen"), raw, asking
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, bound: float = 1.5, id_col: str = "vec_id", vector_col: str = "embedding", lists: int = 512, sample: int = SAMPLE) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score (Euclidean distance) of the k nearest rows of every query row, and
+    reranked, the number of rows whose exact distance to the query was computed."""
+    found = candidates(vectors, is_query, k, bound, id_col, vector_col, lists, sample)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, reranked long")
+    chosen, raw, asking = found
+    asked = asking.select(F.col("id").alias("query_id"), F.col("raw").alias("asked"))
+    both = chosen.join(raw, "id").join(asked, "query_id")
+    exact = both.mapInArrow(_exact, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    order = W.partitionBy("query_id").orderBy("score", "vec_id")
+    ranked = exact.withColumns({"rank": F.row_number().over(order), "reranked": F.count("*").over(W.partitionBy("query_id"))}).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score", "reranked")
