@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-FLAGS = "(?iuUd)"
+#: Patterns run on text in lower case; Unicode classes for word boundaries, \n as the only line end.
+FLAGS = "(?Ud)"
 
 # Words of titles.
 TITLE_EXCLUDED = (
@@ -14,6 +15,7 @@ TITLE_OPS = (
     "qa", "test", "testing", "tester", "operations", "ops", "support", "community", "relations", "automation", "rpa", "no-code", "low-code", "workflow",
     "тестировщик", "поддержка", "поддержки", "оператор", "сообщества",
 )
+FINANCE_TITLES = ("portfolio", "fund", "quant", "quantitative")
 TITLE_CRYPTO = ("web3", "crypto", "blockchain", "defi", "digital")
 
 # Languages other than Russian and English; Russian names as stems.
@@ -111,6 +113,11 @@ SHIFTS = (
 # Every match of the patterns above holds one of these words.
 YEARS_HOLD = ("year", "лет", "год", "г.")
 ENGLISH_HOLD = ("english", "английск", "носителя")
+CODE_HOLD = (
+    "selenium", "cypress", "playwright", "pytest", "jest", "mocha", "appium", "robot", "kubernetes", "k8s", "helm", "terraform", "ansible", "ci/cd", "jenkins", "github", "smart",
+)
+CODE_VERBS, CODE_LANGUAGES = ("write", "develop", "code", "program", "implement", "build", "coding", "написани"), ("python", "script", "rust", "go", "solidity", "java", "c++")
+CITIZEN_HOLD = ("passport", "citizen", "green card", "work", "гражданство", "паспорт")
 NIGHT_HOLD = ("night", "ноч", "graveyard", "сутки")
 SHIFTS_HOLD = ("смен", "shift", "график", "режим", "schedule")
 

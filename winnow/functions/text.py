@@ -106,6 +106,12 @@ def on_site_note(workplace: Column) -> Column:
     return F.when(kind.isin(*ON_SITE), F.concat(F.lit("\nWork format: "), workplace, F.lit(" (on-site presence required)"))).otherwise("")
 
 
+def schedule_note(mode: Column) -> Column:
+    """A line on shifts for the scorer, whose sample of a long text may leave them out; mode as of gates.shift_mode."""
+    told = {"core": "NIGHT SHIFTS are part of the regular working pattern.", "occasional": "the listing mentions occasional NIGHT SHIFTS (a few per month).", "shift": "rotating/shift work (no night shifts stated)."}
+    return F.coalesce(*[F.when(mode == k, F.lit(f"\nSchedule: {v}")) for k, v in told.items()], F.lit(""))
+
+
 def unescape(col: Column) -> Column:
     for entity, char in ENTITIES:
         col = F.replace(col, F.lit(entity), F.lit(char))
@@ -198,9 +204,11 @@ def post_salary(text: Column) -> Column:
 
 
 def dashed_salary(text: Column) -> Column:
-    """`$50k–$80k`: split at the en dash, k stands for three zeros, whole numbers only."""
-    ends = F.transform(F.split(text, "–"), lambda x: F.regexp_extract(F.replace(F.regexp_replace(F.lower(F.trim(x)), r"[$,]", ""), F.lit("k"), F.lit("000")), r"^\d+", 0).try_cast("int"))
-    return F.struct(F.get(ends, F.lit(0)).alias("low"), F.get(ends, F.lit(1)).alias("high"))
+    """`$50k–$80k`: split at the en dash, k stands for three zeros; the first and the last part, each null if it isn't
+    a number, the last only after a sound first."""
+    ends = F.transform(F.split(text, "–"), lambda x: F.replace(F.regexp_replace(F.trim(x), r"[$,]", ""), F.lit("k"), F.lit("000")).try_cast("double").try_cast("int"))
+    low = F.get(ends, F.lit(0))
+    return F.struct(low.alias("low"), F.when(low.isNotNull(), F.try_element_at(ends, F.lit(-1))).alias("high"))
 
 
 def monthly(yearly: Column) -> Column:

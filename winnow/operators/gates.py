@@ -29,7 +29,12 @@ def _near(blob: Column, m: Column, span: int) -> Column:
 
 def citizenship_asked(blob: Column) -> Column:
     places = F.regexp_extract_all(blob, F.lit(U(P.RIGHT_TO_WORK)), F.lit(1))
-    return blob.rlike(P.FLAGS + r"\b(?:" + "|".join(P.CITIZEN) + r")\b") | F.exists(places, lambda x: x.rlike(P.FLAGS + r"\b(?:" + "|".join(P.FOREIGN_PLACES) + r")\b"))
+    asked = blob.rlike(P.FLAGS + r"\b(?:" + "|".join(P.CITIZEN) + r")\b") | F.exists(places, lambda x: x.rlike(P.FLAGS + r"\b(?:" + "|".join(P.FOREIGN_PLACES) + r")\b"))
+    return _holds(blob, P.CITIZEN_HOLD) & asked
+
+
+def code_asked(blob: Column) -> Column:
+    return (_holds(blob, P.CODE_HOLD) | (_holds(blob, P.CODE_VERBS) & _holds(blob, P.CODE_LANGUAGES))) & blob.rlike(U(P.CODE))
 
 
 def is_header(before: Column, mark: Column) -> Column:
@@ -131,7 +136,7 @@ def flagged(postings: DataFrame, pack) -> DataFrame:
         "_leader": has(P.TITLE_EXCLUDED),
         "_dev": has(P.TITLE_DEV) & ~has(P.TITLE_OPS),
         "_finance": has(tuple(pack.finance_titles)) & ~has(P.TITLE_CRYPTO) if pack.finance_titles else F.lit(False),
-        "_code": blob.rlike(U(P.CODE)),
+        "_code": code_asked(blob),
         "_years": years_asked(blob),
         "_language": foreign_language_asked(blob),
         "_unreadable": unreadable(blob),

@@ -26,8 +26,7 @@ def cutoffs(best: DataFrame, levels: tuple[int, ...] = (55, 50, 45, 40)) -> Data
 
 def deciles(best: DataFrame) -> DataFrame:
     lo = (F.floor(F.col("score") / 10) * 10).cast("int")
-    label = F.concat(F.lpad(lo.cast("string"), 2, "0"), F.lit("-"), F.lpad((lo + 9).cast("string"), 2, "0"))
-    return best.groupBy(label.alias("band")).agg(F.count("*").alias("n"))
+    return best.groupBy(F.format_string("%02d-%02d", lo, lo + 9).alias("band")).agg(F.count("*").alias("n"))
 
 
 def totals(best: DataFrame) -> DataFrame:

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions import text as tx
-from winnow.operators import funnel_ops, score, state
+from winnow.operators import funnel_ops, gates, score, state
 from winnow.operators.funnel_ops import Provider
 from winnow.plans.rules import RulePack
+from winnow.tables import stash
 
 
 @dataclass
@@ -62,6 +63,7 @@ def match(candidates: DataFrame, cache: DataFrame, version: str, providers: Sequ
     hits, misses = state.split_cached(candidates.drop("score", "reasons", "role", "ord", "recommend", "passed_gate").withColumn("origin", F.lit(0)), cache, version)
     misses = candidates.join(misses.select("id"), "id", "left_semi")
     record = tx.as_record(F.col("title"), F.col("company"), F.col("salary_min"), F.col("salary_max"), F.col("salary_currency"), F.col("location"), F.col("is_remote"), F.col("tags"), F.col("description"))
+    record = F.concat(record, tx.schedule_note(gates.shift_mode(tx.normal(F.col("description")))))
     batched = funnel_ops.ranked_batches(misses.withColumn("record", record), size, [F.desc("score"), "id"]).select("id", "record", "score", "batch")
     answered = materialise(funnel_ops.scored_by(batched, providers))
     items = answered.select("batch", F.explode(funnel_ops.decode_response(F.col("answer"))).alias("x"))
@@ -90,3 +92,29 @@ def commit(run: Stages, answered_ids: DataFrame, seen_table: state.StateTable, v
     seen_table.commit(seen)
     done = run.candidates.join(answered_ids.select("id"), "id", "left_semi").select("id", "source", "title", "url")
     seen_table.commit(state.mark_verdict(seen_table.read(), done, now))
+
+
+@dataclass
+class Run:
+    """What a run delivers: postings to send, its counters and the health of enrichment."""
+
+    delivered: DataFrame
+    counters: DataFrame
+    health: DataFrame
+
+
+def run(
+    postings: DataFrame, pages: DataFrame, seen_table: state.StateTable, cache: DataFrame, pack: RulePack, providers: Sequence[Provider], version: str, now: Column, threshold: int = 55, source: str = "hh.ru"
+) -> Run:
+    """One run from postings to deliveries, with the state committed. Each stage that several others read is written
+    once to the shared folder. version: that of the scoring, for the cache."""
+    stages = triage(postings, seen_table.read(), pack, lambda df: stash(df, "best"))
+    stages.candidates = stash(stages.candidates, "candidates")
+    enriched, health = enrich(stages.candidates, pages, pack, source)
+    enriched = stash(enriched, "enriched")
+    results, answered = match(enriched, cache, version, providers, materialise=lambda df: stash(df, "answers"))
+    results = stash(results, "results")
+    delivered, told = stash(deliver(results, enriched, threshold), "delivered"), stash(counters(stages.unseen, stages.candidates, answered), "counters")
+    health = stash(health, "health")
+    commit(stages, results, seen_table, pack.fingerprint(), now)
+    return Run(delivered, told, health)

@@ -7,10 +7,10 @@ import json
 import warnings
 from dataclasses import asdict, dataclass, field
 
-from winnow.functions import terms
+from winnow.functions import patterns, terms
 
 #: Goes into fingerprints; raise it when the code of gates or scores changes results.
-CODE_VERSION = 1
+CODE_VERSION = 2
 
 
 @dataclass
@@ -42,8 +42,8 @@ class RulePack:
     onsite: list[str] = field(default_factory=list)
     relocation: list[str] = field(default_factory=list)
     avoid: list[str] = field(default_factory=list)
-    finance_titles: list[str] = field(default_factory=list)
-    code_exempt: list[str] = field(default_factory=list)
+    finance_titles: list[str] = field(default_factory=lambda: list(patterns.FINANCE_TITLES))
+    code_exempt: list[str] = field(default_factory=lambda: ["ai_automation"])  # fixed: a role whose work is light scripting
     weights: dict[str, int] = field(default_factory=dict)
 
     #: Fixed: weights that a pack's own override.
@@ -60,7 +60,7 @@ class RulePack:
             warnings.warn(f"terms with a star inside match only literally: {dead}", stacklevel=2)
 
     @classmethod
-    def from_dict(cls, d: dict, avoid: list[str] = (), finance_titles: list[str] = (), code_exempt: list[str] = ()) -> RulePack:
+    def from_dict(cls, d: dict, avoid: list[str] = (), **more: list[str]) -> RulePack:
         """A criteria document: global lists, weights and roles, as a mapping."""
         names = {f for f in Role.__dataclass_fields__ if f != "name"}
         roles = [Role(name, **{k: v for k, v in r.items() if k in names}) for name, r in d["roles"].items()]
@@ -69,7 +69,7 @@ class RulePack:
             "onsite": "onsite_penalty", "relocation": "relocation_ok",
         }
         got = {k: list(d.get(v, [])) for k, v in lists.items()}
-        return cls(roles, **got, english_gates=list(d.get("english_gate_levels", ["spoken", "generic"])), avoid=[a.lower() for a in avoid], finance_titles=list(finance_titles), code_exempt=list(code_exempt), weights=dict(d.get("weights", {})))
+        return cls(roles, **got, english_gates=list(d.get("english_gate_levels", ["spoken", "generic"])), avoid=[a.lower() for a in avoid], **more, weights=dict(d.get("weights", {})))
 
     @classmethod
     def from_yaml(cls, path: str, **more) -> RulePack:

@@ -19,6 +19,7 @@ from winnow.operators import cards, funnel_ops, gates, reports, score, state
 from winnow.plans.rules import RulePack, demo_pack
 from winnow.schema import conform
 from winnow.sources import boards, pages
+from winnow.tables import numbered, shared_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,6 +88,7 @@ def _role_sql(role, pack: RulePack, order: int) -> str:
     has = lambda ws: "list_has_any(tokens, [" + ", ".join(map(_lit, ws)) + "])"
     reason += f" WHEN {has(patterns.TITLE_EXCLUDED)} THEN 'executive, developer or finance title'"
     reason += f" WHEN {has(patterns.TITLE_DEV)} AND NOT {has(patterns.TITLE_OPS)} THEN 'developer title without operations context'"
+    reason += f" WHEN {has(pack.finance_titles)} AND NOT {has(patterns.TITLE_CRYPTO)} THEN 'finance title without crypto context'"
     share = r"length(regexp_replace(regexp_replace(blob, '^\s+|\s+$', '', 'g'), '[\x00-\x7F\x{400}-\x{4FF}\s\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]', '', 'g'))"
     reason += f" WHEN length(trim(blob)) >= 200 AND {share} >= 0.25 * length(trim(blob)) THEN 'unreadable script'"
     reason += f" WHEN NOT {sql_any('blob', role.must_role)} THEN 'no word of the role'"
@@ -171,9 +173,9 @@ def recommend_threshold(spark, sf_dir):
     return _best(spark, sf_dir).where("recommend").select("id", "role", "score")
 
 
-@query(RULES + "SELECT lpad(CAST(score // 10 * 10 AS VARCHAR), CAST(greatest(2, length(CAST(score // 10 * 10 AS VARCHAR))) AS INT), '0') || '-' || lpad(CAST(score // 10 * 10 + 9 AS VARCHAR), 2, '0') AS band, CAST(count(*) AS BIGINT) AS n FROM best WHERE score < 100 GROUP BY 1")
+@query(RULES + "SELECT printf('%02d-%02d', score // 10 * 10, score // 10 * 10 + 9) AS band, CAST(count(*) AS BIGINT) AS n FROM best GROUP BY 1")
 def score_hist_decile(spark, sf_dir):
-    return reports.deciles(_best(spark, sf_dir).where("score < 100"))
+    return reports.deciles(_best(spark, sf_dir))
 
 
 @query(RULES + "SELECT min(score) AS least, median(score) AS median, max(score) AS most FROM best WHERE passed_gate")
@@ -343,24 +345,22 @@ def saturated_queries(spark, sf_dir):
     return reports.saturated(table(spark, sf_dir, "events"), "user_id").select(F.col("user_id").cast("long").alias("user_id"), "n")
 
 
-@query("""SELECT doc_id, substr(md5(text), 1, 8) AS tag, 'gh_' || doc_id AS id FROM documents""")
+@query("""SELECT doc_id, md5(substr(coalesce(text, ''), 1, 12000)) AS digest, 'gh_' || doc_id AS id FROM documents""")
 def json_board(spark, sf_dir):
     """Documents packed as a board's answer and read back through its reader."""
-    body = F.to_json(F.struct(F.array(F.struct(F.col("doc_id").cast("string").alias("id"), F.lit("t").alias("title"), F.md5("text").alias("content"))).alias("jobs")))
+    body = F.to_json(F.struct(F.array(F.struct(F.col("doc_id").cast("string").alias("id"), F.lit("t").alias("title"), F.col("text").alias("content"))).alias("jobs")))
     rows = boards.greenhouse(table(spark, sf_dir, "documents").select(body.alias("body"), F.lit("x").alias("company")))
-    return rows.select(F.substring("id", 4, 20).cast("long").alias("doc_id"), F.left("description", F.lit(8)).alias("tag"), "id")
+    return rows.select(F.substring("id", 4, 20).cast("long").alias("doc_id"), F.md5("description").alias("digest"), "id")
 
 
-@query("""WITH f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, event_id FROM events)
-SELECT 'hh_' || event_id AS id, 'job ' || event_id AS title FROM f WHERE r <= 25""")
+@query("""WITH f AS (SELECT event_id, event_id // 64 AS page, event_id % 64 < 20 AS newest FROM events), n AS (SELECT page FROM f WHERE newest GROUP BY page HAVING count(*) >= 20)
+SELECT 'hh_' || event_id AS id, 'job ' || event_id AS title FROM f WHERE newest OR page IN (SELECT page FROM n)""")
 def rss_two_passes(spark, sf_dir):
-    """Feeds of 20 newest and, where these are full, of the 25 first events of a user; every id once."""
-    from pyspark.sql import Window as W
-
-    ranked = table(spark, sf_dir, "events").withColumn("r", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")))
+    """All events in feeds of at most 64: the 20 newest of each and, where these are full, all of it; every id once."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr("event_id div 64").alias("page"))
     item = F.concat(F.lit("<item><title>job "), F.col("event_id"), F.lit("</title><link>http://x/"), F.col("event_id"), F.lit("</link><description>a</description><pubDate></pubDate></item>"))
-    feed = lambda n, by_date: ranked.where(F.col("r") <= n).groupBy("user_id").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("body")).select("body", F.col("user_id").alias("query"), F.lit(by_date).alias("by_date"))
-    return pages.hh_feed(feed(20, True).unionByName(feed(25, False))).select("id", "title")
+    feed = lambda of, by_date: of.groupBy("page").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("body")).select("body", F.col("page").alias("query"), F.lit(by_date).alias("by_date"))
+    return pages.hh_feed(feed(rows.where("event_id % 64 < 20"), True).unionByName(feed(rows, False))).select("id", "title")
 
 
 # --- state and joins ---
@@ -385,11 +385,11 @@ def seen_legacy_anti(spark, sf_dir):
 
 def _upserts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     old = _seen(spark, sf_dir).select("id", F.lit("s").alias("source"), F.lit("").alias("title"), F.lit("").alias("url"), F.timestamp_seconds(F.lit(0)).alias("seen_at"), "prefilter_version")
-    new = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.lit("n").alias("source"), F.lit("").alias("title"), F.lit("").alias("url"))
+    new = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("n").alias("source"), F.lit("").alias("title"), F.lit("").alias("url"))
     return old, new
 
 
-_UPSERT = """WITH o AS (SELECT id, version FROM ({state}) q), n AS (SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 0)
+_UPSERT = """WITH o AS (SELECT id, version FROM ({state}) q), n AS (SELECT doc_id AS id FROM documents)
 SELECT coalesce(o.id, n.id) AS id, coalesce(CASE WHEN o.id IS NOT NULL THEN 's' END, 'n') AS source, coalesce({version}, 'final') AS version, CAST(CASE WHEN {fresh} THEN 100 ELSE 0 END AS BIGINT) AS at FROM o FULL JOIN n ON o.id = n.id"""
 
 
@@ -437,14 +437,11 @@ def batch_checkpoints(spark, sf_dir):
     return reports.checkpoints(micro_batches(spark, sf_dir))
 
 
-@query("SELECT doc_id AS id, quality AS score, toxic AS origin, row_number() OVER (ORDER BY quality DESC, toxic, doc_id) AS place FROM labels QUALIFY place <= 50")
+@query("SELECT doc_id AS id, quality AS score, toxic AS origin, row_number() OVER (ORDER BY quality DESC, toxic, doc_id) AS place FROM labels")
 def final_ranking(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("score"), "toxic")
-    top = funnel_ops.final_order(rows.where("toxic = 0").drop("toxic"), rows.where("toxic = 1").drop("toxic")).limit(50)
-    place = F.row_number().over(W.orderBy(F.desc("score"), "origin", "id"))  # over the 50 rows left
-    return top.select("id", "score", "origin", place.cast("long").alias("place"))
+    top = funnel_ops.final_order(rows.where("toxic = 0").drop("toxic"), rows.where("toxic = 1").drop("toxic"))
+    return numbered(top, [F.desc("score"), "origin", "id"], "place").select("id", "score", "origin", "place")
 
 
 APPS_SQL = "(SELECT CAST(o_orderkey AS VARCHAR) AS job_id, o_orderdate AS applied_at, CASE WHEN o_orderstatus = 'O' THEN 'applied' ELSE 'closed' END AS status FROM orders)"
@@ -585,12 +582,7 @@ def stream_funnel(spark, sf_dir):
     from winnow.schema import SEEN
     from winnow.streaming import funnel_stream
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="winnow-stream-")
-    base = f"{root}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     source = f"{sf_dir}/conversations.parquet"
     rows = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source if _is_folder(spark, source) else f"{sf_dir}/conversations*.parquet")
     posts = conform(rows.select(

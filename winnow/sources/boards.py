@@ -64,7 +64,7 @@ def remoteok(payloads: DataFrame) -> DataFrame:
     j, pay = F.col("j"), tx.dashed_salary(tx.blank(F.col("j.salary")))
     return conform(rows.select(
         F.concat(F.lit("rok_"), j.id).alias("id"), tx.blank(j.position).alias("title"), tx.blank(j.company).alias("company"), tx.description(j.description).alias("description"), tx.blank(j.url).alias("url"),
-        F.lit("remoteok.com").alias("source"), pay.low.alias("salary_min"), F.coalesce(pay.high, pay.low).alias("salary_max"), F.lit("USD").alias("salary_currency"), F.lit(True).alias("is_remote"),
+        F.lit("remoteok.com").alias("source"), pay.low.alias("salary_min"), pay.high.alias("salary_max"), F.lit("USD").alias("salary_currency"), F.lit(True).alias("is_remote"),
         F.when(j.epoch != 0, F.timestamp_seconds(j.epoch)).alias("published_at"), j.tags.alias("tags"),
     ))
 

@@ -14,6 +14,10 @@ def absolute(href: Column, base: str) -> Column:
     return F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(base), href))
 
 
+def after_first(parts: Column) -> Column:
+    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
 def links(html: Column, holds: str = "") -> Column:
     """array<struct<href, title>> of anchors whose address holds a string, titles without tags."""
     found = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*href=[\"'][^\"']*" + holds + r"[^\"']*[\"'][^>]*>.*?</a>"), F.lit(0))
@@ -47,13 +51,35 @@ def web3career(payloads: DataFrame, base: str = "https://web3.career") -> DataFr
     return conform(told).unionByName(link_board(rows.where(F.size("cards") == 0), "w3c_", "web3.career", base, "/job/"))
 
 
+def at_company(title: Column, company: Column) -> Column:
+    return F.btrim(F.concat(title, F.lit(" at "), company), F.lit(". "))
+
+
+def remote3(payloads: DataFrame, base: str = "https://remote3.co") -> DataFrame:
+    """Cards are links; title and company are elements inside, the id comes from the address as written."""
+    found = F.regexp_extract_all("body", F.lit(r"(?is)<a\b[^>]*href=[\"'][^\"']*/remote-jobs/[^\"']*[\"'][^>]*>.*?</a>"), F.lit(0))
+    a = F.col("a")
+    rows = payloads.select(F.explode(found).alias("a")).select(
+        F.regexp_extract(a, r"(?i)href=[\"']([^\"']*)", 1).alias("href"), tx.plain(F.regexp_extract(a, r"(?is)<h2\b[^>]*>(.*?)</h2>", 1)).alias("title"),
+        tx.plain(F.regexp_extract(a, r"(?is)<p\b[^>]*class=\"(?:[^\"]* )?body-small(?: [^\"]*)?\"[^>]*>(.*?)</p>", 1)).alias("company"),
+    ).where(F.length("title") >= 3)
+    rows = rows.select(
+        F.concat(F.lit("r3_"), F.left(F.md5("href"), F.lit(12))).alias("id"), "title", "company", at_company(F.col("title"), F.col("company")).alias("description"),
+        absolute(F.col("href"), base).alias("url"), F.lit("remote3.co").alias("source"), F.lit(True).alias("is_remote"), F.current_timestamp().alias("published_at"),
+    )
+    return conform(keep_first(rows, F.col("id"), ["title"]).dropDuplicates(["id"]))
+
+
 def laborx(payloads: DataFrame, base: str = "https://laborx.com") -> DataFrame:
-    """Rows of names: the first link is the title, the second the company; one row per address."""
-    rows = payloads.select(F.explode(F.regexp_extract_all("body", F.lit(r"(?is)<p[^>]*name-row[^>]*>.*?</p>"), F.lit(0))).alias("p")).select(links(F.col("p")).alias("l")).where(F.size("l") > 0)
-    href = F.get("l", F.lit(0)).href
+    """Rows of names: the first name link is the title of a vacancy, the second the company; one row per address."""
+    rows = payloads.select(F.explode(F.regexp_extract_all("body", F.lit(r"(?is)<p[^>]*name-row[^>]*>.*?</p>"), F.lit(0))).alias("p"))
+    named = F.filter(F.regexp_extract_all("p", F.lit(r"(?is)<a\b[^>]*>.*?</a>"), F.lit(0)), lambda a: a.rlike(r"(?i)^<a\b[^>]*class=\"(?:[^\"]* )?name-link(?: [^\"]*)?\""))
+    rows = rows.select(F.transform(named, lambda a: F.struct(F.regexp_extract(a, r"(?i)href=[\"']([^\"']*)", 1).alias("href"), tx.plain(a).alias("title"))).alias("l"))
+    href, title, company = F.get("l", F.lit(0)).href, F.get("l", F.lit(0)).title, tx.blank(F.get("l", F.lit(1)).title)
+    rows = rows.where(href.contains("/vacancies/") & (title != ""))
     rows = rows.select(
-        F.concat(F.lit("lbx_"), tx.short_md5(href)).alias("id"), F.get("l", F.lit(0)).title.alias("title"), tx.blank(F.get("l", F.lit(1)).title).alias("company"), F.get("l", F.lit(0)).title.alias("description"),
-        absolute(href, base).alias("url"), F.lit("laborx.com").alias("source"), F.lit(True).alias("is_remote"),
+        F.concat(F.lit("lbx_"), tx.short_md5(href)).alias("id"), title.alias("title"), company.alias("company"), at_company(title, company).alias("description"),
+        absolute(href, base).alias("url"), F.lit("laborx.com").alias("source"), F.lit(True).alias("is_remote"), F.current_timestamp().alias("published_at"),
     )
     return conform(rows.dropDuplicates(["id"]))
 
@@ -61,7 +87,7 @@ def laborx(payloads: DataFrame, base: str = "https://laborx.com") -> DataFrame:
 def habr(payloads: DataFrame, base: str = "https://career.habr.com") -> DataFrame:
     """Vacancy cards; the description is put together from title, skills and meta line."""
     c = F.col("c")
-    rows = payloads.select(F.explode(F.slice(F.split("body", r"class=\"vacancy-card\""), 2, 1_000_000)).alias("c"))
+    rows = payloads.select(F.explode(after_first(F.split("body", r"class=\"(?:[^\"]* )?vacancy-card(?: [^\"]*)?\""))).alias("c"))
     part = lambda name: tx.plain(F.regexp_extract(c, rf"(?is)vacancy-card__{name}\"[^>]*>(.*?)</div>", 1))
     href = F.regexp_extract(c, r"(?is)vacancy-card__title\"[^>]*>.*?href=\"([^\"]*)", 1)
     rows = rows.select(
@@ -79,7 +105,7 @@ def linkedin(payloads: DataFrame, most: int = 400) -> DataFrame:
     """body, rank (watched companies first), page -> cards, the first `most` of them by rank; one row per id."""
     b = F.col("b")
     take = lambda form: tx.plain(F.regexp_extract(b, form, 1))
-    rows = payloads.select("rank", "page", F.posexplode(F.slice(F.split("body", "<li>"), 2, 1_000_000)).alias("pos", "b"))
+    rows = payloads.select("rank", "page", F.posexplode(after_first(F.split("body", "<li>"))).alias("pos", "b"))
     url = F.regexp_extract(b, r"href=\"(https://[a-z.]*linkedin\.com/jobs/view/[^\"?]+)", 1)
     rows = rows.select(
         "rank", "page", "pos", url.alias("url"), take(r"base-search-card__title\"[^>]*>\s*([^<]+)").alias("title"), take(r"base-search-card__subtitle\"[^>]*>\s*(?:<a[^>]*>)?\s*([^<]+)").alias("company"),
@@ -139,10 +165,10 @@ def channel_posts(posts: DataFrame) -> DataFrame:
 def channel_pages(payloads: DataFrame) -> DataFrame:
     """body (a channel's preview), channel -> posts for channel_posts."""
     m = F.col("m")
-    rows = payloads.select("channel", F.explode(F.slice(F.split("body", r"<div class=\"tgme_widget_message[ \"]"), 2, 1_000_000)).alias("m"))
+    rows = payloads.select("channel", F.explode(after_first(F.split("body", r"<div class=\"tgme_widget_message[ \"]"))).alias("m"))
     raw = F.regexp_extract(m, r"(?is)tgme_widget_message_text[^>]*>(.*?)</div>", 1)
     url = F.regexp_extract(m, r"(?is)<a[^>]*tgme_widget_message_date[^>]*href=\"([^\"]*)", 1)
-    text = F.trim(tx.unescape(F.regexp_replace(F.regexp_replace(raw, r"(?i)<br\s*/?>", "\n"), r"<[^>]+>", "")))
+    text = F.btrim(tx.unescape(F.regexp_replace(raw, r"(?:<[^>]+>)+", "\n")), F.lit(" \n"))
     return rows.select("channel", F.regexp_extract(url, r"([^/]+)/*$", 1).alias("post_id"), text.alias("text"), url.alias("url"), tx.moment(F.regexp_extract(m, r"datetime=\"([^\"]*)", 1)).alias("at")).where("text <> ''")
 
 

@@ -23,11 +23,11 @@ class Source:
 
 SOURCES: dict[str, Source] = {
     "hh": Source(pages.hh_feed), "remoteok": Source(boards.remoteok), "cryptojoblist": Source(boards.cryptojobslist), "laborx": Source(pages.laborx),
-    "remote3": Source(partial(pages.link_board, prefix="r3_", site="remote3.co", base="https://www.remote3.co", holds="/remote-jobs/", least_title=3)),
+    "remote3": Source(pages.remote3),
     "greenhouse": Source(boards.greenhouse), "ashby": Source(boards.ashby), "lever": Source(boards.lever), "linkedin": Source(pages.linkedin), "habr": Source(pages.habr),
     "telegram": Source(lambda p: pages.channel_posts(pages.channel_pages(p))), "web3career": Source(pages.web3career, False),
     "wellfound": Source(partial(pages.link_board, prefix="wf_", site="wellfound.com", base="https://wellfound.com", holds="/jobs/", least_title=6), False),
-    "contra": Source(partial(pages.link_board, prefix="ctr_", site="contra.com", base="https://contra.com", holds="/opportunit", least_title=6), False),
+    "contra": Source(partial(pages.link_board, prefix="ctr_", site="contra.com", base="https://contra.com", holds="/opportunity/", least_title=6), False),
 }
 
 
