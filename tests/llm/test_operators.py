@@ -183,6 +183,49 @@ def test_op5_odd_docs(spark):
     assert linededup.dedup_lines(no_docs(spark)).count() == 0
 
 
+def test_op5_clashing_columns(spark):
+    rows = [(1, "one line of words", 7, 8, 9, "l", 3, 4), (2, "one line of words\nanother", 7, 8, 9, "l", 3, 4)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_dropped int, _row int, _lines string, _drops int, h1 int")
+    cut = linededup.dedup_lines(table)
+    assert cut.columns == ["doc_id", "text", "_row", "_lines", "_drops", "h1", "n_lines", "n_dropped"]
+    assert [tuple(r) for r in cut.orderBy("doc_id").collect()] == [(1, "one line of words", 9, "l", 3, 4, 1, 0), (2, "another", 9, "l", 3, 4, 2, 1)]
+
+
+def test_op7_sums_like_the_library(tmp_path):
+    """A unigram model with scores of our own making: every path's sum by brute force."""
+    import itertools
+
+    class Toy:
+        ids = {p: i for i, p in enumerate(["▁", "a", "b", "▁a", "ab", "ba", "▁ab", "aba"])}
+        scores = dict(enumerate([-3.5, -2.25, -2.5, -3.1, -3.3, -3.7, -4.2, -5.05]))
+        bytes, unknown, longest, bpe, words_apart = {}, 99, 3, False, False
+
+    enc = pieces.Encoder(Toy())
+    for text in map("".join, itertools.product("ab", repeat=9)):
+        text, best = "▁" + text, {0: (0.0, [])}
+        for end in range(1, 11):
+            found = [(best[s][0] + Toy.scores[Toy.ids[text[s:end]]], best[s][1] + [Toy.ids[text[s:end]]]) for s in range(max(0, end - 3), end) if text[s:end] in Toy.ids]
+            best[end] = max(found)
+        ids = np.frombuffer(enc.ids_bytes(text), "<u4")
+        assert sum(Toy.scores[i] for i in ids) == pytest.approx(best[10][0]) and len("".join(list(Toy.ids)[i] for i in ids)) == 10
+
+
+def test_op6_differencing_is_the_plain_rule():
+    """One node against largest differencing written out: the two largest spreads, oppositely ordered."""
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        sizes = rng.integers(1, 1000, 40).tolist()
+        plain = [sorted([s, 0, 0, 0], reverse=True) for s in sizes]
+        while len(plain) > 1:
+            plain.sort(key=lambda v: v[-1] - v[0])
+            x, y = plain[:2]
+            plain = [*plain[2:], sorted((a + b for a, b in zip(x, reversed(y), strict=True)), reverse=True)]
+        got = np.zeros(4, int)
+        for s, slots in zip(sizes, sharding.difference([[s, 0, 0, 0] for s in sizes], 4), strict=True):
+            got[slots[0]] += s
+        assert got.sum() == sum(sizes) and abs((got.max() - got.min()) - (plain[0][0] - plain[0][-1])) <= 0.02 * sum(sizes) / 4
+
+
 def test_op6_balance(spark, sf, docs):
     found = queries.op6_shard_balance(spark, sf).toPandas()
     assert sorted(found.doc_id) == sorted(docs.doc_id)
@@ -252,14 +295,36 @@ def test_op8_odd_docs(spark):
 
 
 def media_right(found, texts):
+    """Against files written and read by the standard library, and features in plain Python."""
+    import io
+    import wave
+
     for r in found.itertuples():
         text = texts[r.doc_id].encode()
         payload = text + bytes(-len(text) % 64 if text else 64)
-        stored = media.wav(payload)
-        want = (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), media.feature_of(np.frombuffer(payload, np.uint8)))
+        with wave.open(out := io.BytesIO(), "wb") as w:
+            w.setparams((1, 1, media.RATE, 0, "NONE", ""))
+            w.writeframes(payload)
+        stored = out.getvalue()
+        with wave.open(io.BytesIO(stored)) as w:
+            assert w.readframes(w.getnframes()) == payload
+        bands = Counter(x // 16 for x in payload)
+        crossings = sum((x >= 128) != (y >= 128) for x, y in zip(payload, payload[1:], strict=False))
+        feature = f"n={len(payload)};mean={sum(payload) / len(payload):.4f};zc={crossings};peak={max(payload)};band={min(bands, key=lambda k: (-bands[k], k))}"
+        want = (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) == want
 
 
+def test_op9_cuts_keep_their_bounds_and_heal():
+    data = np.random.default_rng(6).integers(97, 123, 30_000).astype(np.uint8).tobytes()
+    cuts = media.Cuts()
+    ends = media.cut(data, cuts)
+    sizes = np.diff([0, *ends])
+    assert ends[-1] == len(data) and sizes.max() <= cuts.most and sizes[:-1].min() >= cuts.least
+    shifted = set(media.cut(data[:5000] + b"xyz" + data[5000:], cuts))
+    assert len([e for e in ends if e > 8000 and e + 3 in shifted]) == len([e for e in ends if e > 8000])
+
+
 def test_op9_round_trip(spark, sf, docs):
     found = queries.op9_media_chunks(spark, sf).toPandas()
     assert sorted(found.doc_id) == sorted(docs.doc_id)

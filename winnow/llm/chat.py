@@ -8,8 +8,9 @@ Template of a turn: `### role: text</turn>\\n`. The control strings `### ` and `
 in roles, the colon are escaped in what stands between, and only there, so the output can be read back.
 
 Defined cases: a null text or role counts as empty; turns are ordered by turn (null first), then role, then
-text, and repeated rows are repeated turns; rows with a null conv_id form one conversation; an empty table
-gives an empty table.
+text, and repeated rows are repeated turns; rows with a null conv_id form one conversation; texts of any length are
+kept whole (a conversation is one row, so it must fit one); further columns don't pass and may have any name; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations

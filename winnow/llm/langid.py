@@ -15,7 +15,8 @@ of tokens, which keeps it below 1 for short texts.
 
 Defined cases: a null text or one without a letter gives `und` with score 0; ties go to the language that
 sorts first; without any labelled row every text is `und`; rows that repeat are predicted alike; a null
-doc_id is never a training row; further columns pass.
+doc_id is never a training row; texts of any length are read whole; further columns pass, but for lang_pred and
+score, which are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ lines are joined again by \\n in their order.
 
 Defined cases: rows that repeat a doc_id count as one document for the counts and each keeps its own row;
 rows with a null doc_id aren't counted and keep all their lines; a document that loses every line gets an
-empty text; a null text that loses nothing stays null; further columns pass through untouched.
+empty text; a null text that loses nothing stays null; further columns pass through untouched, whatever their names
+(but for n_lines and n_dropped, which are replaced); lines and texts of any length are compared whole; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -64,20 +66,19 @@ def without(lines, drops):
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """docs with text cut as above, plus n_lines (before) and n_dropped."""
+    """docs with text cut as above, plus n_lines (before) and n_dropped, which replace columns of these names."""
     lines = stash(hashed_lines(docs, min_chars), "lines")
     keys = repeated_keys(lines, min_docs)
-    drops = (
+    free = "_" * (2 + max(len(c) for c in docs.columns))  # before a name, it can't be a column of docs
+    row, found, drops, split = (F.col(free + c) for c in ("row", "doc", "drops", "split"))
+    dropped = (
         lines.join(keys, ["h1", "h2"]).where(F.col("doc_id") > F.col("first_doc"))
-        .groupBy("doc_id", "_row").agg(F.array_sort(F.collect_set("pos")).alias("_drops"))
+        .groupBy(F.col("doc_id").alias(free + "doc"), F.col("_row").alias(free + "found")).agg(F.array_sort(F.collect_set("pos")).alias(free + "drops"))
     )
-    out = docs.withColumn("_row", F.xxhash64("text")).join(drops, ["doc_id", "_row"], "left")
-    split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    cut = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(F.array_join(without(F.col("_lines"), F.col("_drops")), "\n"))
-    return (
-        out.withColumn("_lines", split)
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_drops"), F.lit(0)).cast("long"))
-        .withColumn("text", cut)
-        .select(*[c for c in docs.columns], "n_lines", "n_dropped")
+    rows = docs.withColumn(free + "row", F.xxhash64("text"))
+    out = rows.join(dropped, (rows["doc_id"] == found) & (row == F.col(free + "found")), "left")
+    cut = F.when(drops.isNull(), F.col("text")).otherwise(F.array_join(without(split, drops), "\n"))
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return out.withColumn(free + "split", F.split(F.coalesce("text", F.lit("")), "\n", -1)).select(
+        *[cut.alias(c) if c == "text" else F.col(f"`{c}`") for c in kept], F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size(drops), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -14,7 +14,8 @@ file against its own digest, before the samples are read.
 
 Defined cases: a null text counts as empty (64 zero bytes); rows that repeat a doc_id are separate texts;
 rows that repeat doc_id and text are stored and read alike, each with its bytes; a null doc_id owns and
-refers like any other; equal texts give equal values; an empty table gives an empty table.
+refers like any other; equal texts give equal values; texts of any length are stored whole; further columns don't pass and may have any
+name; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ and no group of copies is expanded. Links are confirmed on full sets.
 Equal sets are found by a 128-bit fingerprint first and are represented by their smallest doc_id.
 
 Defined cases: rows that repeat a doc_id are separate texts of one node and get the same component; a null
-doc_id takes no part (component null, kept true); a null text is an empty set; further columns pass.
+doc_id takes no part (component null, kept true); a null text is an empty set; texts of any length count whole; further columns don't pass and may have any name; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ ids of a text are the ids of its words in order. Texts with white space that Pyt
 differently are tokenised whole.
 
 Defined cases: a null text is an empty document of one end id; repeated and null doc_ids are separate
-documents; an empty table gives no piece.
+documents; texts of any length are packed whole, over as many sequences as they take; further columns don't pass and
+may have any name; an empty table gives no piece. A file whose splitting differs (see PROBES) has its texts tokenised
+whole.
 """
 
 from __future__ import annotations

@@ -13,10 +13,13 @@ path of the largest sum isn't what the library returns.) Text that no piece cove
 A boundary that no piece of the model can span, such as that before a space mark that follows another
 character, is one where all paths converge; what stands between two such boundaries is remembered per worker.
 
-The model's normaliser must be the identity with a dummy prefix, as in the public file.
+Words that a batch brings in are solved in sorted order, so that the window of one goes on from what it shares with
+the next. The model's normaliser must be the identity with a dummy prefix, as in the public file; others are refused.
 
 Defined cases: a null text gives no id and decodes to an empty text; the space mark U+2581 itself reads back
-as a space, as in the library; rows that repeat are encoded alike; further columns pass.
+as a space, as in the library; rows that repeat are encoded alike; texts of any length are encoded whole, in a window
+of bounded size; further columns pass, but for text, ids, n_ids and decoded, which are replaced; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -60,6 +63,9 @@ class Model:
         #: Whether some piece spans a space mark after another character; if not, texts fall into words there.
         self.words_apart = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.texts = self._texts(sp, size)
+        for probe in ("Ａ  é\u0301 \t x", " a  b "):
+            if sp.decode(sp.encode(probe)) != probe:
+                raise ValueError("the model's normaliser isn't the identity")
 
     def _texts(self, sp, size: int) -> list[bytes]:
         raw = {i: bytes([b]) for b, i in self.bytes.items()}

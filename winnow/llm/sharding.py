@@ -7,7 +7,8 @@ nodes' partial partitions are combined by the same rule one level up, until one
 than one node, and the number of levels grows with the logarithm of the input.
 
 Defined cases: a group larger than a fair share fills a shard of its own; an empty table gives an empty
-table; rows that repeat a doc_id are separate rows; null doc_ids are kept.
+table; rows that repeat a doc_id are separate rows; null doc_ids are kept; texts of any length count whole; equally
+large groups or partitions are taken in the order of their hashes; further columns don't pass and may have any name.
 """
 
 from __future__ import annotations
