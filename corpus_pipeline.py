@@ -1,6 +1,10 @@
 """The corpus pipeline: language ID, line dedup, MinHash near-dedup, packing.
 
-Every stage is a function (spark, docs, sf_dir) -> DataFrame over what its predecessor kept.
+Every stage is a function (spark, docs, sf_dir) -> DataFrame over what its predecessor kept. Defined cases: a null or
+empty text has no language and goes in the first stage; a document that loses all its lines has an empty text, is no
+near copy of anything and is packed as an end alone; rows that repeat a doc_id are separate texts, of which near-dedup
+keeps or drops all alike; null doc_ids pass every stage; texts of any length are taken whole; further columns pass up
+to the last stage; an empty table gives an empty table.
 """
 
 from __future__ import annotations
