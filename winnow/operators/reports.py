@@ -16,6 +16,11 @@ def reason_sets(verdicts: DataFrame) -> DataFrame:
     return each.where(~F.col("any")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def most_common(counted: DataFrame, key: str, n: int = 12) -> DataFrame:
+    """The n largest counts, smaller keys first among equals."""
+    return counted.orderBy(F.desc("n"), key).limit(n)
+
+
 def spread(best: DataFrame) -> DataFrame:
     return best.agg(F.min("score").alias("least"), F.median("score").alias("median"), F.max("score").alias("most"))
 

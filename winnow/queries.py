@@ -163,6 +163,12 @@ def gate_reason_hist(spark, sf_dir):
     return reports.reason_sets(_verdicts(spark, sf_dir))
 
 
+@query(RULES + """, s AS (SELECT id, bool_or(passed_gate) AS ok, string_agg(DISTINCT reason, ' | ' ORDER BY reason) AS reason FROM vr GROUP BY id)
+SELECT reason, CAST(count(*) AS BIGINT) AS n FROM s WHERE NOT ok GROUP BY reason ORDER BY n DESC, reason LIMIT 12""")
+def gate_reason_top12(spark, sf_dir):
+    return reports.most_common(gate_reason_hist(spark, sf_dir), "reason")
+
+
 @query(RULES + "SELECT id, score FROM best WHERE passed_gate AND NOT recommend AND score >= 20 ORDER BY score DESC, id LIMIT 3")
 def near_miss_top3(spark, sf_dir):
     return funnel_ops.near_misses(_best(spark, sf_dir), 20).select("id", "score")
