@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.tables import prefix_sums, shared_root, stash
@@ -86,12 +86,13 @@ def two_hashes(col, names=("h1", "h2")):
     return F.xxhash64(col).alias(names[0]), F.xxhash64(F.lit(7), col).alias(names[1])
 
 
-def bands_of(table: DataFrame, n: str) -> list:
-    return table.groupBy(F.floor(F.log2(n) * BANDS).alias("band")).agg(F.count("*").alias("rows"), F.sum(n).alias("n"), F.min(n).alias("least")).collect()
+def bands_of(table: DataFrame, n: str, rows: Column | None = None) -> list:
+    """The table's rows (or another sum that stands for them) by the size of n."""
+    return table.groupBy(F.floor(F.log2(n) * BANDS).alias("band")).agg((F.count("*") if rows is None else rows).alias("rows"), F.sum(n).alias("n"), F.min(n).alias("least")).collect()
 
 
 def threshold_of(bands: list, room: int) -> int:
-    """The count that at most `room` rows reach."""
+    """The count that at most `room` rows reach, or at most `room` of what was summed for them."""
     threshold = None
     for b in sorted(bands, key=lambda b: -b.band):
         room -= b.rows

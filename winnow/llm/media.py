@@ -6,11 +6,13 @@ over the last 32 bytes: a cut stands where its high bits are zero, at least `lea
 after the one before, about 190 bytes on average. So equal passages give equal chunks wherever they stand, also
 those of a few lines; the header, which holds the file's length, is kept apart from the chunks.
 
-Chunk digests (SHA-256) are deduplicated by Spark joins on digests alone: of each digest that occurs more than
-once, the smallest (document, position) owns the bytes. The store keeps a row per document: the ordered
-digests and lengths, the header, the bytes of the chunks that it owns and which of these it lends. To read a document back, bytes that others own
-are fetched by a join on the digest; only these move. Every chunk is checked against its digest and every
-file against its own digest, before the samples are read.
+Chunk digests (128 bits of BLAKE2b) are deduplicated by Spark joins on digests alone: a count by a 64-bit hash
+leaves those that may occur more than once, and of each digest that does, the smallest (document, position) owns the
+bytes. Rows of a frequent digest meet its owner by a broadcast of a fixed number of rows, never in one task. The store keeps a row per document: the ordered
+digests and lengths, the header, the bytes of the chunks that it owns, which of these it lends and how often the rarest
+that it borrows occurs. To read a document back, the most frequent borrowed chunks, of a fixed number of bytes at most,
+go to all readers; the rest is fetched by a join on the digest, and only documents that need a chunk of these move. Every chunk is checked against its digest and every
+file against its SHA-256, before the samples are read.
 
 Defined cases: a null text counts as empty (64 zero bytes); rows that repeat a doc_id are separate texts;
 rows that repeat doc_id and text are stored and read alike, each with its bytes; a null doc_id owns and
@@ -29,10 +31,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import small, stash, unstash
+from winnow.llm.common import BROADCAST_BYTES, ENTRY_BYTES, bands_of, lookup, small, stash, threshold_of, unstash
 
 RATE, UNIT, HEADER = 8000, 64, 44
 FETCH = 512
@@ -98,6 +101,10 @@ def _chunks(payload: bytes, cuts: Cuts) -> list[bytes]:
     return [payload[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def digest_of(chunk: bytes) -> bytes:
+    return hashlib.blake2b(chunk, digest_size=16).digest()
+
+
 def _digests(cuts: Cuts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -108,7 +115,7 @@ def _digests(cuts: Cuts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     for j, c in enumerate(_chunks(payload_of(t), cuts)):
                         row.append(i)
                         place.append(j)
-                        digest.append(hashlib.sha256(c).digest())
+                        digest.append(digest_of(c))
                 at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("thash").take(at), pa.array(place, pa.int32()), pa.array(digest, pa.binary())], names=["id", "thash", "place", "digest"])
 
@@ -127,18 +134,18 @@ def _store(cuts: Cuts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                     size.append(len(t or b""))
                     media_sha.append(hashlib.sha256(wav(payload)).hexdigest())
                     headers.append(header_of(payload))
-                    digests.append([hashlib.sha256(c).digest() for c in parts])
+                    digests.append(list(map(digest_of, parts)))
                     lengths.append(list(map(len, parts)))
                     bytes_.append([None if j in other else c for j, c in enumerate(parts)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), batch.column("thash"), pa.array(size, pa.int64()), pa.array(media_sha, pa.string()), pa.array(headers, pa.binary()), pa.array(digests, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int32())), pa.array(bytes_, pa.list_(pa.binary())), batch.column("lent")],
-                    names=["id", "thash", "n_bytes", "media_sha256", "header", "digests", "lengths", "chunks", "lent"],
+                    [batch.column("id"), batch.column("thash"), pa.array(size, pa.int64()), pa.array(media_sha, pa.string()), pa.array(headers, pa.binary()), pa.array(digests, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int32())), pa.array(bytes_, pa.list_(pa.binary())), batch.column("lent"), batch.column("fewest")],
+                    names=["id", "thash", "n_bytes", "media_sha256", "header", "digests", "lengths", "chunks", "lent", "fewest"],
                 )
 
     return run
 
 
-STORE = "id long, thash long, n_bytes long, media_sha256 string, header binary, digests array<binary>, lengths array<int>, chunks array<binary>, lent array<int>"
+STORE = "id long, thash long, n_bytes long, media_sha256 string, header binary, digests array<binary>, lengths array<int>, chunks array<binary>, lent array<int>, fewest long"
 
 
 def store(docs: DataFrame, cuts: Cuts = Cuts()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
@@ -146,16 +153,22 @@ def store(docs: DataFrame, cuts: Cuts = Cuts()) -> tuple[DataFrame, DataFrame]:
     table of owners' shared chunks (id, thash, place, digest) with n, how often each occurs."""
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("thash"), "text")
     seen = stash(rows.mapInArrow(_digests(cuts), "id long, thash long, place int, digest binary"), "digests")
+    hashed = seen.withColumn("head", F.xxhash64("digest"))
+    repeated = stash(hashed.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head"), "repeated-heads")
+    some = stash(hashed.join(small(repeated), "head", "left_semi").drop("head"), "repeated-digests")
+    unstash(seen)
+    unstash(repeated)
     # struct order: a null id stands before all others
-    owners = seen.groupBy("digest").agg(F.min(F.struct("id", "thash", "place")).alias("owner"), F.count("*").alias("n")).where("n > 1")
+    owners = some.groupBy("digest").agg(F.min(F.struct("id", "thash", "place")).alias("owner"), F.count("*").alias("n")).where("n > 1")
     owners = stash(owners, "owners")
+    owned = lookup(some, "digest", owners.select(F.col("digest").alias("key"), "n", "owner", F.col("n").alias("held"))).withColumnRenamed("_owner", "owner")
     mine = F.col("id").eqNullSafe(F.col("owner.id")) & (F.col("thash") == F.col("owner.thash")) & (F.col("place") == F.col("owner.place"))
     places = lambda which: F.sort_array(F.collect_set(F.when(which, F.col("place"))))
-    foreign = seen.join(owners, "digest").groupBy("id", "thash").agg(places(~mine).alias("foreign"), places(mine).alias("lent"))
+    foreign = owned.groupBy("id", "thash").agg(places(~mine).alias("foreign"), places(mine).alias("lent"), F.min(F.when(~mine, F.col("_held"))).alias("fewest"))
     foreign = stash(foreign.withColumnsRenamed({"id": "fid", "thash": "fhash"}), "foreign")
-    unstash(seen)
+    unstash(some)
     marked = rows.join(small(foreign, 500_000), F.col("id").eqNullSafe(F.col("fid")) & (F.col("thash") == F.col("fhash")), "left")
-    kept = stash(marked.select("id", "thash", "text", "foreign", "lent").mapInArrow(_store(cuts), STORE), "media-store")
+    kept = stash(marked.select("id", "thash", "text", "foreign", "lent", "fewest").mapInArrow(_store(cuts), STORE), "media-store")
     unstash(foreign)
     return kept, owners.select("owner.id", "owner.thash", "owner.place", "digest", "n")
 
@@ -173,7 +186,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(lo, FETCH)
             out: dict[str, list] = {k: [] for k in ("payload", "media_bytes", "media_sha256", "feature")}
             for header, digests, chunks, sha in zip(*(batch.column(c).to_pylist() for c in ("header", "digests", "chunks", "media_sha256")), strict=True):
-                if any(c is None or hashlib.sha256(c).digest() != d for d, c in zip(digests, chunks, strict=True)):
+                if any(c is None or digest_of(c) != d for d, c in zip(digests, chunks, strict=True)):
                     raise ValueError("a chunk is missing or differs from its digest")
                 media = b"".join((header, *chunks))
                 if (found := hashlib.sha256(media).hexdigest()) != sha:
@@ -189,32 +202,39 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for lo in range(0, whole.num_rows, FETCH):
-            batch = whole.slice(lo, FETCH)
-            chunks = batch.column("chunks").to_pylist()
-            for c, got in zip(chunks, batch.column("got").to_pylist(), strict=True):
-                for x in got or ():
-                    c[x["place"]] = x["bytes"]
-            yield batch.set_column(batch.schema.get_field_index("chunks"), "chunks", pa.array(chunks, pa.list_(pa.binary()))).drop_columns(["got"])
-
-
-def whole_files(kept: DataFrame, owners: DataFrame) -> DataFrame:
-    """The store with all bytes in place: documents that refer to others' chunks fetch them by digest."""
-    lacks = F.exists("chunks", lambda c: c.isNull())
-    whole = kept.where(~lacks)
-    parts = F.posexplode(F.arrays_zip("digests", "chunks")).alias("place", "x")
-    needs = kept.where(lacks).select("id", "thash", parts).where("x.chunks is null").select("id", "thash", "place", F.col("x.digests").alias("digest"))
-    offered = kept.select(F.explode(F.transform("lent", lambda i: F.struct(F.get("digests", i).alias("digest"), F.get("chunks", i).alias("bytes")))).alias("x")).select("x.*")
-    offered = stash(offered.groupBy("digest").agg(F.first("bytes").alias("bytes")), "shared-chunks")
-    got = needs.join(offered, "digest").groupBy("id", "thash").agg(F.collect_set(F.struct("place", "bytes")).alias("got"))
-    got = got.withColumnsRenamed({"id": "fid", "thash": "fhash"})
-    filled = kept.where(lacks).join(got, F.col("id").eqNullSafe(F.col("fid")) & (F.col("thash") == F.col("fhash")), "left")
-    return whole.unionByName(filled.select(*whole.columns, "got").mapInArrow(_fill, STORE))
+def _fill(frequent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, FETCH):
+                batch = whole.slice(lo, FETCH)
+                chunks = batch.column("chunks").to_pylist()
+                for c, digests, got in zip(chunks, batch.column("digests").to_pylist(), batch.column("got").to_pylist(), strict=True):
+                    c[:] = [frequent.value.get(d) if x is None else x for x, d in zip(c, digests, strict=True)]
+                    for x in got or ():
+                        c[x["place"]] = x["bytes"]
+                yield batch.set_column(batch.schema.get_field_index("chunks"), "chunks", pa.array(chunks, pa.list_(pa.binary()))).drop_columns(["got"])
+
+    return run
 
 
-def read_back(kept: DataFrame, owners: DataFrame) -> DataFrame:
+def whole_files(kept: DataFrame, owners: DataFrame, room: int = BROADCAST_BYTES) -> DataFrame:
+    """The store with all bytes in place. At most `room` bytes of the most frequent borrowed chunks are broadcast."""
+    offered = kept.select(F.explode(F.transform("lent", lambda i: F.struct(F.get("digests", i).alias("digest"), F.get("chunks", i).alias("bytes")))).alias("x")).select("x.*")
+    offered = stash(offered.groupBy("digest").agg(F.first("bytes").alias("bytes")).join(owners.select("digest", "n"), "digest"), "shared-chunks")
+    threshold = threshold_of(bands_of(offered, "n", F.sum(F.length("bytes") + ENTRY_BYTES)), room)
+    top = offered.where(F.col("n") >= threshold).select("digest", "bytes").toPandas()
+    frequent = kept.sparkSession.sparkContext.broadcast({bytes(d): bytes(c) for d, c in zip(top["digest"], top["bytes"], strict=True)})
+    few = kept.where(F.col("fewest") < threshold)
+    needs = few.select("id", "thash", F.posexplode(F.arrays_zip("digests", "chunks")).alias("place", "x")).where("x.chunks is null").select("id", "thash", "place", F.col("x.digests").alias("digest"))
+    # fewer than `threshold` documents ask for any of these
+    got = needs.join(offered.where(F.col("n") < threshold).select("digest", "bytes"), "digest").groupBy("id", "thash").agg(F.collect_set(F.struct("place", "bytes")).alias("got"))
+    found = got.withColumnsRenamed({"id": "fid", "thash": "fhash"})
+    fetched = few.join(found, F.col("id").eqNullSafe(F.col("fid")) & (F.col("thash") == F.col("fhash")), "left").select(*kept.columns, "got")
+    near = kept.where(F.col("fewest") >= threshold).withColumn("got", F.lit(None).cast(got.schema["got"].dataType))
+    return kept.where("fewest is null").unionByName(near.unionByName(fetched).mapInArrow(_fill(frequent), STORE))
+
+
+def read_back(kept: DataFrame, owners: DataFrame, room: int = BROADCAST_BYTES) -> DataFrame:
     """Every document's digests and features, from the stored bytes."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return whole_files(kept, owners).select("id", "n_bytes", "media_sha256", "header", "digests", "chunks").mapInArrow(_read, schema)
+    return whole_files(kept, owners, room).select("id", "n_bytes", "media_sha256", "header", "digests", "chunks").mapInArrow(_read, schema)
