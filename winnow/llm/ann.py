@@ -42,6 +42,8 @@ BLOCK, QUERY_BLOCK, SAMPLE, ROUNDS, LEAST = 8192, 512, 20_000, 8, 512
 #: Lists that a query meets first, and more as long as they hold fewer rows than so many times k.
 FIRST, ENOUGH = 4, 20
 FETCH = 4096
+#: Rows that a task holds before it keeps the nearest of each query.
+HELD = 200_000
 
 
 def rotation(dim: int, seed: int = 8) -> np.ndarray:
@@ -196,11 +198,35 @@ def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "raw"])
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<f8").reshape(batch.num_rows, -1) for c in ("raw", "asked"))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), pa.array(np.sqrt(((x - q) ** 2).sum(axis=1)))], names=["query_id", "vec_id", "score"])
+def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest rows of each query; its first row carries n, the number of rows that were looked at."""
+    n = rows.groupby("query_id").n.sum()
+    rows = rows.sort_values(["query_id", "score", "vec_id"]).drop_duplicates(["query_id", "vec_id"])
+    place = rows.groupby("query_id").cumcount()
+    return rows.assign(n=np.where(place == 0, rows.query_id.map(n), 0))[place < k]
+
+
+def _exact(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Exact distances, of which a task hands on the k least per query; HELD rows at most wait to be combined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, fresh, held = None, [], 0
+        for batch in batches:
+            if batch.num_rows:
+                x, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<f8").reshape(batch.num_rows, -1) for c in ("raw", "asked"))
+                ids = {name: batch.column(c).to_numpy() for name, c in (("query_id", "query_id"), ("vec_id", "id"))}
+                fresh.append(pd.DataFrame({**ids, "score": np.sqrt(((x - q) ** 2).sum(axis=1)), "n": np.int64(1)}))
+                held += batch.num_rows
+            if held >= HELD:
+                best = _best(pd.concat([best, *fresh]), k)
+                fresh, held = [], 0
+                if len(best) >= HELD:
+                    yield pa.RecordBatch.from_pandas(best, preserve_index=False)
+                    best = None
+        if fresh or best is not None:
+            yield pa.RecordBatch.from_pandas(_best(pd.concat([best, *fresh]), k), preserve_index=False)
+
+    return run
 
 
 def candidates(vectors: DataFrame, is_query: Column, k: int = 10, bound: float = 1.5, id_col: str = "vec_id", vector_col: str = "embedding", lists: int = 512, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame, DataFrame] | None:
@@ -255,7 +281,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, bound: float = 1.
     chosen, raw, asking = found
     asked = asking.select(F.col("id").alias("query_id"), F.col("raw").alias("asked"))
     both = chosen.join(raw, "id").join(asked, "query_id")
-    exact = both.mapInArrow(_exact, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    exact = both.mapInArrow(_exact(k), "query_id long, vec_id long, score double, n long").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"), F.sum("n").alias("n"))
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = exact.withColumns({"rank": F.row_number().over(order), "reranked": F.count("*").over(W.partitionBy("query_id"))}).where(F.col("rank") <= k)
+    ranked = exact.withColumns({"rank": F.row_number().over(order), "reranked": F.sum("n").over(W.partitionBy("query_id"))}).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score", "reranked")
