@@ -8,11 +8,13 @@ alone; the estimate's error is below `bound` / sqrt(dim - 1) * sqrt(1 / f^2 - 1)
 the second scalar.
 
 A search has three passes. The first meets a query with the codes of its nearest lists, in groups of a bounded number
-of rows, and hands on per query and group the k smallest upper ends of the distances' intervals; merged, the k-th
-smallest is the query's bound. The second meets it with all lists that may hold a row within that bound (by the
-triangle inequality, from the distance to the centre and the largest reach) and hands on the rows whose lower end
-doesn't exceed the bound. The third joins only these to their vectors and ranks them by exact distance. So the bounds
-choose which lists are read and what is reranked, and no vector but those moves.
+of rows, and hands on per query and group the SHORT * k rows of the smallest estimates; merged, the SHORT * k best of a query
+are measured exactly, and the k-th smallest distance is the query's bound. The second meets it with the codes of all
+lists that may hold a row within that bound (by the triangle inequality, from the distance to the centre and the
+largest reach) and picks the rows whose lower end doesn't exceed the bound: a packed list of ids per query and group.
+The third brings the vectors that any query of a group picked to that group, once for all its queries, measures the picked ones
+and hands on those within the bound. So the bounds choose which lists are read and what is reranked, a vector moves
+once per block of queries at most, and rows handed on are few per query and group, however many were measured.
 
 Groups are of one list and one block of it; queries go to them in blocks too. So no list, however full, and no
 vector, however often repeated, makes a group larger than a block.
@@ -41,9 +43,9 @@ from winnow.llm.common import small, stash
 BLOCK, QUERY_BLOCK, SAMPLE, ROUNDS, LEAST = 8192, 512, 20_000, 8, 512
 #: Lists that a query meets first, and more as long as they hold fewer rows than so many times k.
 FIRST, ENOUGH = 4, 20
+#: Rows of the first pass that are measured for a query's bound, as a multiple of k.
+SHORT = 4
 FETCH = 4096
-#: Rows that a task holds before it keeps the nearest of each query.
-HELD = 200_000
 
 
 def rotation(dim: int, seed: int = 8) -> np.ndarray:
@@ -131,7 +133,7 @@ def _lists_within(size: np.ndarray, radius: np.ndarray) -> Callable:
     """The lists that may hold a row within a query's bound."""
 
     def which(far: np.ndarray, limit: np.ndarray) -> np.ndarray:
-        return (np.maximum(far * (1 - 1e-6) - radius[None, :] * (1 + 1e-6), 0) ** 2 <= limit[:, None]) & (size > 0)
+        return (far * (1 - 1e-6) - radius[None, :] * (1 + 1e-6) <= limit[:, None]) & (size > 0)
 
     return which
 
@@ -151,92 +153,98 @@ def _dealt(centres: np.ndarray, which: Callable) -> Callable[[Iterator[pa.Record
     return run
 
 
-def _group(centres: np.ndarray, turn: np.ndarray, bound: float, then: Callable) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """then(own ids, limits, row ids, lower ends, upper ends) on 64 queries of a group at a time."""
+def _group(centres: np.ndarray, turn: np.ndarray, bound: float, then: Callable) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """then(group, own ids, raw queries, limits, row ids, estimates, half widths) on 64 queries of a group at a time."""
 
-    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = [then(*(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)), np.empty((0, 0)), np.empty((0, 0)))]
+    def run(group: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = [then(group, np.empty(0, np.int64), np.empty(0, object), np.empty(0), np.empty(0, np.int64), np.empty((0, 0)), np.empty((0, 0)))]
         if len(queries) and len(rows):
             code = np.frombuffer(b"".join(rows.code), np.uint8).reshape(len(rows), -1)
-            q = (np.frombuffer(b"".join(queries.raw), "<f8").reshape(len(queries), -1) - centres[rows["list"].iloc[0]]) @ turn
-            ids, own, limit = rows.id.to_numpy(), queries.id.to_numpy(), queries.limit.to_numpy()
+            q = (np.frombuffer(b"".join(queries.raw), "<f8").reshape(len(queries), -1) - centres[group[0]]) @ turn
+            ids, own, raw, limit = rows.id.to_numpy(), queries.id.to_numpy(), queries.raw.to_numpy(), queries.limit.to_numpy()
             for lo in range(0, len(q), 64):
-                near, half = estimates(code, rows.reach.to_numpy(), rows.match.to_numpy(), q[lo : lo + 64], bound)
-                mine = own[lo : lo + 64]
-                near[mine[:, None] == ids[None, :]] = np.inf
-                out.append(then(mine, limit[lo : lo + 64], ids, near - half, near + half))
+                part = slice(lo, lo + 64)
+                near, half = estimates(code, rows.reach.to_numpy(), rows.match.to_numpy(), q[part], bound)
+                near[own[part, None] == ids[None, :]] = np.inf  # its own id is infinitely far
+                out.append(then(group, own[part], raw[part], limit[part], ids, near, half))
         return pd.concat(out)
 
     return run
 
 
-def _uppers(k: int) -> Callable:
-    """A group's k smallest upper ends of every query, of different ids."""
+def _shortest(short: int) -> Callable:
+    """A group's rows of the smallest estimates of every query, of different ids."""
 
-    def then(own, limit, ids, lower, upper) -> pd.DataFrame:
-        if lower.shape[1] > 4 * k and len(np.unique(ids)) == len(ids):
-            few = np.argpartition(upper, k, axis=1)[:, :k]
-            upper, ids = np.take_along_axis(upper, few, axis=1), ids[few]
+    def then(group, own, raw, limit, ids, near, half) -> pd.DataFrame:
+        if near.shape[1] > 4 * short and len(np.unique(ids)) == len(ids):
+            few = np.argpartition(near, short, axis=1)[:, :short]
+            near, ids = np.take_along_axis(near, few, axis=1), ids[few]
         else:
-            ids = np.broadcast_to(ids, upper.shape)
-        found = pd.DataFrame({"query_id": np.repeat(own, upper.shape[1]), "id": ids.ravel(), "upper": upper.ravel()})
-        found = found[np.isfinite(found.upper)].sort_values("upper").drop_duplicates(["query_id", "id"])
-        return found.groupby("query_id").head(k)[["query_id", "id", "upper"]]
+            ids = np.broadcast_to(ids, near.shape)
+        found = pd.DataFrame({"query_id": np.repeat(own, near.shape[1]), "id": ids.ravel(), "near": near.ravel()})
+        found = found[np.isfinite(found.near)].sort_values("near").drop_duplicates(["query_id", "id"])
+        return found.groupby("query_id").head(short)[["query_id", "id", "near"]]
 
     return then
 
 
-def _chosen(own, limit, ids, lower, upper) -> pd.DataFrame:
-    """The rows whose lower end doesn't exceed the query's bound."""
-    i, j = np.nonzero((lower <= limit[:, None]) & np.isfinite(lower))  # its own id is infinitely far
-    return pd.DataFrame({"query_id": own[i], "id": ids[j]})
+PICKED = "list int, block int, qblock int, query_id long, raw binary, limit double, ids binary, wanted array<long>"
 
 
-def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x = _vectors(batch.column("vector"))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "raw"])
+def _picked(group, own, raw, limit, ids, near, half) -> pd.DataFrame:
+    """Per query the packed ids of the rows whose lower end doesn't exceed its bound, sorted, and a row of the ids that any picked."""
+    within = ((near - half) <= limit[:, None] ** 2) & np.isfinite(near)
+    rows = [(*group, o, r, at, np.unique(ids[w]).tobytes(), None) for o, r, at, w in zip(own, raw, limit, within, strict=True) if w.any()]
+    if rows:
+        rows.append((*group, None, None, None, None, np.unique(ids[within.any(axis=0)])))
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in PICKED.split(", ")])
+    return out.astype({"query_id": "Int64", "limit": "Float64"})
 
 
-def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest rows of each query; its first row carries n, the number of rows that were looked at."""
-    n = rows.groupby("query_id").n.sum()
-    rows = rows.sort_values(["query_id", "score", "vec_id"]).drop_duplicates(["query_id", "vec_id"])
-    place = rows.groupby("query_id").cumcount()
-    return rows.assign(n=np.where(place == 0, rows.query_id.map(n), 0))[place < k]
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - y) ** 2).sum(axis=1))
 
 
-def _exact(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Exact distances, of which a task hands on the k least per query; HELD rows at most wait to be combined."""
+def _measured(picked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """Exact distances of a group's picked rows, as far as they lie within the bound; a row without vec_id counts all."""
+    ids, found, counts = rows.id.to_numpy(np.int64), [], []
+    x = np.frombuffer(b"".join(rows.raw), "<f8").reshape(len(rows), -1) if len(rows) else np.empty((0, 0))
+    for own, raw, limit, packed in zip(picked.query_id, picked.raw, picked.limit, picked.ids, strict=True):
+        asked = np.frombuffer(packed, np.int64)
+        place = np.minimum(np.searchsorted(asked, ids), len(asked) - 1)
+        at = np.flatnonzero(asked[place] == ids)
+        far = distances(x[at], np.frombuffer(raw, "<f8"))
+        close = far <= limit * (1 + 1e-12)
+        found.append((np.full(close.sum(), own, np.int64), ids[at][close], far[close]))
+        counts.append(len(at))
+    own, vec, far = (np.concatenate([f[i] for f in found]) if found else np.empty(0) for i in range(3))
+    hits = pd.DataFrame({"query_id": own.astype(np.int64), "vec_id": pd.array(vec.astype(np.int64), "Int64"), "score": far, "n": np.int64(0)})
+    counted = pd.DataFrame({"query_id": picked.query_id.to_numpy(np.int64), "vec_id": pd.array([None] * len(counts), "Int64"), "score": np.nan, "n": np.array(counts, np.int64)})
+    return pd.concat([hits, counted])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, fresh, held = None, [], 0
-        for batch in batches:
-            if batch.num_rows:
-                x, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<f8").reshape(batch.num_rows, -1) for c in ("raw", "asked"))
-                ids = {name: batch.column(c).to_numpy() for name, c in (("query_id", "query_id"), ("vec_id", "id"))}
-                fresh.append(pd.DataFrame({**ids, "score": np.sqrt(((x - q) ** 2).sum(axis=1)), "n": np.int64(1)}))
-                held += batch.num_rows
-            if held >= HELD:
-                best = _best(pd.concat([best, *fresh]), k)
-                fresh, held = [], 0
-                if len(best) >= HELD:
-                    yield pa.RecordBatch.from_pandas(best, preserve_index=False)
-                    best = None
-        if fresh or best is not None:
-            yield pa.RecordBatch.from_pandas(_best(pd.concat([best, *fresh]), k), preserve_index=False)
 
-    return run
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distances of pairs (query_id, id, raw, asked)."""
+    for batch in batches:
+        if batch.num_rows:
+            x, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<f8").reshape(batch.num_rows, -1) for c in ("raw", "asked"))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), pa.array(distances(x, q))], names=["query_id", "id", "score"])
+
+
+def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = _vectors(batch.column("vector"))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "raw"])
 
 
-def candidates(vectors: DataFrame, is_query: Column, k: int = 10, bound: float = 1.5, id_col: str = "vec_id", vector_col: str = "embedding", lists: int = 512, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """(query_id, id) of the rows that the bounds choose for reranking, and the vectors (id, raw) of all rows and of the
-    queries; None without rows."""
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, bound: float = 1.5, id_col: str = "vec_id", vector_col: str = "embedding", lists: int = 512, sample: int = SAMPLE) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score (Euclidean distance) of the k nearest rows of every query row, and
+    reranked, the number of rows that its bounds chose, whose exact distance was computed."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & valid(F.col("vector")))
     sizes = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
     if not sizes:
-        return None
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, reranked long")
     dim, n = sizes[0].dim, sizes[0].n
     rows = rows.where(F.size("vector") == dim)
     share = min(1.0, sample / n)
@@ -264,24 +272,21 @@ def candidates(vectors: DataFrame, is_query: Column, k: int = 10, bound: float =
         on = ["list", "block", "qblock"]
         return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(_group(centres, turn, bound, then), schema)
 
-    # an id's upper end is the smallest of its rows'
-    uppers = pairs(asking.withColumn("limit", F.lit(0.0)), _nearest_lists(size, ENOUGH * k), _uppers(k), "query_id long, id long, upper double").groupBy("query_id", "id").agg(F.min("upper").alias("upper"))
-    ranked = uppers.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("upper"))).where(F.col("r") == k)
-    limits = stash(ranked.select(F.col("query_id").alias("id"), F.col("upper").alias("limit")), "limits")
+    asked_by = asking.select(F.col("id").alias("query_id"), F.col("raw").alias("asked"))
+    short = pairs(asking.withColumn("limit", F.lit(0.0)), _nearest_lists(size, ENOUGH * k), _shortest(SHORT * k), "query_id long, id long, near double")
+    place = lambda by: F.row_number().over(W.partitionBy("query_id").orderBy(by, "id"))
+    short = short.groupBy("query_id", "id").agg(F.min("near").alias("near")).withColumn("r", place("near")).where(F.col("r") <= SHORT * k)
+    both = short.select("query_id", "id").join(raw, "id").join(asked_by, "query_id")
+    exact = both.mapInArrow(_exact, "query_id long, id long, score double").groupBy("query_id", "id").agg(F.min("score").alias("score"))
+    limits = stash(exact.withColumn("r", place("score")).where(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("limit")), "limits")
     bounded = asking.join(small(limits), "id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
-    return stash(pairs(bounded, _lists_within(size, radius), _chosen, "query_id long, id long").distinct(), "chosen"), raw, asking
-
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, bound: float = 1.5, id_col: str = "vec_id", vector_col: str = "embedding", lists: int = 512, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score (Euclidean distance) of the k nearest rows of every query row, and
-    reranked, the number of rows whose exact distance to the query was computed."""
-    found = candidates(vectors, is_query, k, bound, id_col, vector_col, lists, sample)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, reranked long")
-    chosen, raw, asking = found
-    asked = asking.select(F.col("id").alias("query_id"), F.col("raw").alias("asked"))
-    both = chosen.join(raw, "id").join(asked, "query_id")
-    exact = both.mapInArrow(_exact(k), "query_id long, vec_id long, score double, n long").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"), F.sum("n").alias("n"))
-    order = W.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = exact.withColumns({"rank": F.row_number().over(order), "reranked": F.sum("n").over(W.partitionBy("query_id"))}).where(F.col("rank") <= k)
+    picked = stash(pairs(bounded, _lists_within(size, radius), _picked, PICKED), "picked")
+    group = ["list", "block", "qblock"]
+    wanted = picked.where("query_id is null").select(*group, F.explode("wanted").alias("id")).distinct().join(raw, "id")
+    asked = picked.where("query_id is not null").select(*[F.col(c).alias(c) for c in group], "query_id", "raw", "limit", "ids")  # attributes of its own
+    measured = asked.groupBy(*group).cogroup(wanted.groupBy(*group)).applyInPandas(_measured, "query_id long, vec_id long, score double, n long")
+    best = measured.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"), F.sum("n").alias("n"))
+    order = W.partitionBy("query_id").orderBy(F.col("vec_id").isNull(), "score", "vec_id")
+    ranked = best.withColumns({"rank": F.row_number().over(order), "reranked": F.sum("n").over(W.partitionBy("query_id"))}).where((F.col("rank") <= k) & F.col("vec_id").isNotNull())
     return ranked.select("query_id", "rank", "vec_id", "score", "reranked")
