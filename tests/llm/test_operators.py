@@ -425,7 +425,8 @@ def test_op10_tree_grows_with_the_input(spark, monkeypatch, room):
     monkeypatch.setattr(lm, "ROOM", room)
     monkeypatch.setattr(common, "ROOM", room)
     monkeypatch.setattr(lm, "CHUNK", 3000)
-    monkeypatch.setattr(lm, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(lm, "PAIR_BYTES", 20_000)
+    monkeypatch.setattr(lm, "LOOKUP_BYTES", 20_000)
     rng, texts = np.random.default_rng(5), []
     for i in range(800):
         a = i % 50

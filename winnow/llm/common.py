@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.tables import prefix_sums, shared_root, stash
@@ -72,6 +73,13 @@ def unstash(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files and broadcasts of plans that nothing refers to any more, which it does when
+    the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most that many rows and its written form at most BROADCAST_BYTES, else as
     it is (then a shuffle join). df is a stashed table of columns of fixed width.

@@ -45,13 +45,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import ROOM, bands_of, lookup, stash, threshold_of, unstash
+from winnow.llm.common import ROOM, bands_of, lookup, stash, task_memos, threshold_of, tidy, unstash
 
 #: The end's id, that of an empty word.
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
-FETCH = 2048
-#: Tokens whose pairs a task combines at a time, and bytes of packed pairs that a bucket holds at about.
-CHUNK, BUCKET_BYTES = 1_000_000, 16 << 20
+FETCH = 1024
+#: Tokens whose pairs a task combines at a time; bytes of packed pairs, and of packed lookups, that a bucket holds at about.
+CHUNK, PAIR_BYTES, LOOKUP_BYTES = 1_000_000, 4 << 20, 8 << 20
 #: log2 of a bitmap's bits: 4 MB.
 BITS = 25
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -81,9 +81,10 @@ def chunks_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[np.
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for texts in chunks_of(batches, 4 * CHUNK):
-        keys, n = np.unique(np.concatenate([t[1:] for t in texts]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+    with task_memos():
+        for texts in chunks_of(batches, 2 * CHUNK):
+            keys, n = np.unique(np.concatenate([t[1:] for t in texts]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
 
 @dataclass
@@ -161,8 +162,7 @@ def _pairs(shared, length: int, buckets: int) -> Callable[[Iterator[pa.RecordBat
         ids, _, place = places_of(texts)
         keys = grams(ids, length)
         at = np.flatnonzero(place >= length)
-        if length > 1:  # both shorter pairs may be kept
-            at = at[may_have(shared.value, keys[-1][at - 1]) & may_have(shared.value, keys[-1][at])]
+        at = at[may_have(shared.value, keys[-1][at - 1]) & may_have(shared.value, keys[-1][at])]  # both shorter parts may be kept
         ctx = keys[-1][at - 1]
         pair, first, n = np.unique(ids[at] + STEP * ctx, return_index=True, return_counts=True)
         order, ends = by_bucket(pair, buckets)
@@ -172,7 +172,8 @@ def _pairs(shared, length: int, buckets: int) -> Callable[[Iterator[pa.RecordBat
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *blobs], names=["bucket", "ctx", "word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from map(packed, chunks_of(batches, CHUNK))
+        with task_memos():
+            yield from map(packed, chunks_of(batches, CHUNK))
 
     return run
 
@@ -181,12 +182,15 @@ def _kept(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Pairs of a bucket that occur at least so many times."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ctx, word = (np.frombuffer(b"".join(pdf[c]), np.uint64) for c in ("ctx", "word"))
-        n = np.frombuffer(b"".join(pdf.n), np.uint32)
-        key, first, same = np.unique(word + STEP * ctx, return_index=True, return_inverse=True)
-        total = np.bincount(same, n).astype(np.int64)
-        at = np.flatnonzero(total >= least)
-        return pd.DataFrame({"key": key[at].view(np.int64), "ctx": ctx[first[at]].view(np.int64), "word": word[first[at]].view(np.int64), "n": total[at]})
+        with task_memos():
+            ctx, word = (np.frombuffer(b"".join(pdf[c]), np.uint64) for c in ("ctx", "word"))
+            key = word + STEP * ctx
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            total = np.add.reduceat(np.frombuffer(b"".join(pdf.n), np.uint32)[order], first, dtype=np.int64)
+            at = first[total >= least]
+            return pd.DataFrame({"key": key[at].view(np.int64), "ctx": ctx[order[at]].view(np.int64), "word": word[order[at]].view(np.int64), "n": total[total >= least]})
 
     return run
 
@@ -202,14 +206,14 @@ def grow(training: DataFrame, words: DataFrame, depth: int, least: int, tokens:
     """(key, n, value) of the last tokens at a place: what the log10 probability gains by the kept pair that they are,
     and what that of the next token gains (loses) by the retained context that they are."""
     spark, parts = training.sparkSession, []
-    below = words.select("key", "n", "logp", F.lit(0).cast("long").alias("short"))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens * 16 // BUCKET_BYTES))
+    # the end before a text counts as a context once a text, no more often than the end after it
+    below = words.where(F.col("n") >= least).select("key", "n", "logp", F.lit(0).cast("long").alias("short"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens * 16 // PAIR_BYTES))
     for length in range(1, depth + 1):
-        shared = spark.sparkContext.broadcast(bitmap(below)) if length > 1 else None
+        shared = spark.sparkContext.broadcast(bitmap(below))
         packed = training.select("text").mapInArrow(_pairs(shared, length, buckets), "bucket long, ctx binary, word binary, n binary")
         pairs = stash(packed.groupBy("bucket").applyInPandas(_kept(least), "key long, ctx long, word long, n long"), "pairs")
-        if shared:
-            shared.destroy()
+        shared.destroy()
         # the pair without its farthest token is the token alone, or the context's own shorter form with the token
         pairs = lookup(pairs, "ctx", below.select("key", "n", F.col("n").alias("total"), F.col("short").alias("suffix")))
         pairs = pairs.select("key", "ctx", "n", F.col("_total").alias("total"), F.col("word").alias("short"), F.col("_suffix").alias("suffix"))
@@ -233,10 +237,12 @@ def grow(training: DataFrame, words: DataFrame, depth: int, least: int, tokens:
         below = stash(known.select("key", "n", logp.alias("logp"), "short", (own - F.col("under") - F.log10(F.col("_free") / F.col("_whole"))).alias("value")), "levels")
         unstash(held)
         parts.append(below.where("value is not null").select("key", "n", "value"))
+        del packed, pairs, under, held, sums, known
+        tidy(spark)
     return stash(reduce(DataFrame.unionAll, parts).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value")), "tree")
 
 
-FIELDS = "rid long, doc_id long, held_out boolean, n_tokens long, n_head long, base double, outer double"
+ASKED = "chunk long, bucket long, keys binary, of binary, own binary"
 
 
 def found_at(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,45 +253,57 @@ def found_at(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, keys[at] == asked
 
 
+def ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def _score(shared, depth: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per row sums of what is known here (rare words as unknown ones); and per chunk of rows and bucket the packed
-    keys that must be looked up, with the number of the row of each in its chunk. Rare words' buckets come after the
-    tree's."""
+    """Per chunk of rows and bucket the packed keys that must be looked up, with the number of the row of each in its
+    chunk; and per chunk its rows with the sums of what is known here (rare words as unknown ones), packed and dealt to
+    one of the buckets. Rare words' buckets come after the tree's."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(batch: pa.RecordBatch, chunk: int) -> pa.RecordBatch:
         vocab, bits, head, values = shared.value
-        chunk, names = TaskContext.get().partitionId() << 24, [x.split()[0] for x in FIELDS.split(", ")] + ["chunk", "bucket", "keys", "of"]
-        for whole in batches:
-            for lo in range(0, whole.num_rows, FETCH):
-                batch = whole.slice(lo, FETCH)
-                rows = batch.num_rows
-                texts = [ids_of(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                ids, row, place = places_of(texts)
-                token = np.flatnonzero(place >= 1)
-                at, known = found_at(vocab.keys, ids[token])
-                n, heads = np.bincount(row[token], minlength=rows), np.bincount(row[token][known], minlength=rows)
-                base = np.bincount(row[token][known], vocab.logs[at[known]], rows) + (n - heads) * vocab.unknown
-                rare = token[~known]
-                last = np.zeros(len(ids), bool)
-                last[np.cumsum(n + 1) - 1] = True
-                found, of = [], []
-                for k, keys in enumerate(grams(ids, depth + 1)):
-                    at = np.flatnonzero((place >= k) & may_have(bits, keys) & ~(last & (k == 0)))  # no token follows the last
-                    found.append(keys[at])
-                    of.append(row[at])
-                key, of = np.concatenate(found), np.concatenate(of)
-                at, here = found_at(head, key)
-                outer = np.bincount(of[here], values[at[here]], rows).astype(np.float64)  # whole numbers without any
-                rid = np.arange(rows, dtype=np.int64) + (chunk << 16)
-                own = [pa.array(rid), batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(heads), pa.array(base), pa.array(outer)]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(rows, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=names)
-                for first, key, of in ((0, key[~here], of[~here]), (buckets, ids[rare], row[rare])):
-                    order, ends = by_bucket(key, buckets)
-                    full = np.flatnonzero(np.diff(ends))
-                    key, of = key[order], of[order].astype(np.uint16)
-                    blobs = [pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary()) for x in (key, of)]
-                    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(full), x.type) for x in own), pa.array(np.full(len(full), chunk)), pa.array(full + first), *blobs], names=names)
-                chunk += 1
+        rows = batch.num_rows
+        ids, row, place = places_of([ids_of(t) for t in batch.column("text").cast(pa.binary()).to_pylist()])
+        token = np.flatnonzero(place >= 1)
+        at, known = found_at(vocab.keys, ids[token])
+        n, heads = np.bincount(row[token], minlength=rows), np.bincount(row[token][known], minlength=rows)
+        base = np.bincount(row[token][known], vocab.logs[at[known]], rows) + (n - heads) * vocab.unknown
+        rare = token[~known]
+        last = np.zeros(len(ids), bool)
+        last[np.cumsum(n + 1) - 1] = True
+        outer, found, of = np.zeros(rows), [], []
+        for k, keys in enumerate(grams(ids, depth + 1)):
+            where = np.flatnonzero((place >= k) & may_have(bits, keys) & ~(last & (k == 0)))  # no token follows the last
+            at, here = found_at(head, keys[where])
+            outer += np.bincount(row[where[here]], values[at[here]], rows)
+            found.append(keys[where[~here]])
+            of.append(row[where[~here]])
+        own = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(heads), pa.array(base), pa.array(outer)], names=["doc_id", "held_out", "n", "heads", "base", "outer"])
+        dealt, blobs = [], [[], []]
+        for first, key, who in ((0, np.concatenate(found), np.concatenate(of)), (buckets, ids[rare], row[rare])):
+            order, ends = by_bucket(key, buckets)
+            full = np.flatnonzero(np.diff(ends))
+            dealt += (full + first).tolist()
+            for blob, x in zip(blobs, (key[order], who[order].astype(np.uint16)), strict=True):
+                blob += [x[ends[b] : ends[b + 1]].tobytes() for b in full]
+        dealt.append(chunk % (2 * buckets))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([chunk] * len(dealt), pa.int64()), pa.array(dealt, pa.int64()), *(pa.array([*x, None], pa.binary()) for x in blobs), pa.array([None] * (len(dealt) - 1) + [ipc(own)], pa.binary())],
+            names=["chunk", "bucket", "keys", "of", "own"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 24
+        with task_memos():
+            for whole in batches:
+                for lo in range(0, whole.num_rows, FETCH):
+                    yield scored(whole.slice(lo, FETCH), chunk)
+                    chunk += 1
 
     return run
 
@@ -300,32 +318,40 @@ def _with_bucket(buckets: int, first: int) -> Callable[[Iterator[pa.RecordBatch]
 
 
 def _look(buckets: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Per chunk the sums of the values that its rows ask this bucket for, and how many were found."""
+    """Per chunk the sums of the values that its rows ask this bucket for, and how many were found; and the rows of the
+    chunks that were dealt to it."""
 
     def run(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         keys = table.key.to_numpy(np.int64).view(np.uint64)
         order = np.argsort(keys)
         keys, values, out = keys[order], table.value.to_numpy(np.float64)[order], []
-        for chunk, bucket, blob, of in zip(asked.chunk, asked.bucket, asked["keys"], asked.of, strict=True):
+        for chunk, bucket, blob, of, own in zip(asked.chunk, asked.bucket, asked["keys"], asked.of, asked.own, strict=True):
+            if own is not None:
+                out.append((chunk, False, b"", b"", b"", own))
+                continue
             at, some = found_at(keys, np.frombuffer(blob, np.uint64))
             row = np.frombuffer(of, np.uint16)[some]
             rows = np.unique(row)
             sums, n = np.bincount(row, values[at[some]]).astype(np.float64), np.bincount(row)
-            out.append((chunk, bucket >= buckets, rows.tobytes(), sums[rows].tobytes(), n[rows].astype(np.int64).tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "words", "rows", "sums", "n"]).astype({"chunk": "int64", "words": "bool"})
+            out.append((chunk, bucket >= buckets, rows.tobytes(), sums[rows].tobytes(), n[rows].astype(np.int64).tobytes(), None))
+        return pd.DataFrame(out, columns=["chunk", "words", "rows", "sums", "n", "own"]).astype({"chunk": "int64", "words": "bool"})
 
     return run
 
 
 def _added(pdf: pd.DataFrame) -> pd.DataFrame:
     """A chunk's rows with the sums over all buckets."""
-    out = []
-    for words, value, n in ((False, "far", "far_n"), (True, "rare", "rare_n")):
+    own = pa.ipc.open_stream(next(x for x in pdf.own if x is not None)).read_all()
+    n_tokens, known, base, outer = (own.column(c).to_numpy() for c in ("n", "heads", "base", "outer"))
+
+    def total(words: bool, column: str, kind: type) -> np.ndarray:
         part = pdf[pdf.words == words]
-        rows = np.frombuffer(b"".join(part.rows), np.uint16)
-        out += [(value, np.bincount(rows, np.frombuffer(b"".join(part.sums), np.float64), FETCH).astype(np.float64)), (n, np.bincount(rows, np.frombuffer(b"".join(part.n), np.int64), FETCH).astype(np.int64))]
-    found = pd.DataFrame(dict(out))
-    return found.assign(rid=np.arange(FETCH) + (int(pdf.chunk.iloc[0]) << 16))[(found.far_n + found.rare_n) > 0][["rid", "far", "rare", "rare_n"]]
+        return np.bincount(np.frombuffer(b"".join(part.rows), np.uint16), np.frombuffer(b"".join(part[column]), kind), len(base))
+
+    base = base + total(True, "sums", np.float64)
+    ids = pd.array(own.column("doc_id").to_pylist(), "Int64")
+    known = known + total(True, "n", np.int64).astype(np.int64)
+    return pd.DataFrame({"doc_id": ids, "held_out": own.column("held_out").to_pylist(), "n_tokens": n_tokens, "n_known": known, "base_score": base, "score": base + outer + total(False, "sums", np.float64)})
 
 
 def score(docs: DataFrame, head: int = 100_000, depth: int = 3, least: int = 8) -> DataFrame:
@@ -336,25 +362,21 @@ def score(docs: DataFrame, head: int = 100_000, depth: int = 3, least: int = 8)
     docs = docs.select("doc_id", "text", "held_out")
     training = docs.where(~F.col("held_out"))
     vocab, words = vocabulary(training, head)
+    tidy(spark)
     tree = grow(training, words, depth, least, vocab.tokens)
 
+    tidy(spark)
     threshold = threshold_of(bands_of(tree, "n"), ROOM)
     top = tree.where(F.col("n") >= threshold).select("key", "value").toPandas()
     keys = top["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     shared = spark.sparkContext.broadcast((vocab, bitmap(tree), keys[order], top["value"].to_numpy(np.float64)[order]))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vocab.tokens * 16 // BUCKET_BYTES))
-    scored = stash(docs.mapInArrow(_score(shared, depth, buckets), FIELDS + ", chunk long, bucket long, keys binary, of binary"), "scored")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vocab.tokens * 16 // LOOKUP_BYTES))
+    asked = docs.mapInArrow(_score(shared, depth, buckets), ASKED)
     schema = "key long, value double, bucket long"
     table = tree.where(F.col("n") < threshold).select("key", "value").mapInArrow(_with_bucket(buckets, 0), schema)
     rare = words.where(F.col("n") < vocab.threshold).select("key", (F.col("logp") - F.lit(vocab.unknown)).alias("value"))
     table = table.unionAll(rare.mapInArrow(_with_bucket(buckets, buckets), schema))
-    asked = scored.where("chunk is not null").select("chunk", "bucket", "keys", "of")
-    sums = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(_look(buckets), "chunk long, words boolean, rows binary, sums binary, n binary")
-    far = sums.groupBy("chunk").applyInPandas(_added, "rid long, far double, rare double, rare_n long")
-    zero = F.lit(0.0)
-    base = F.col("base") + F.coalesce("rare", zero)
-    return scored.where("chunk is null").select("rid", "doc_id", "held_out", "n_tokens", "n_head", "base", "outer").join(far, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("rare_n", F.lit(0))).cast("long").alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"),
-        base.alias("base_score"), (base + F.col("outer") + F.coalesce("far", zero)).alias("score"),
-    )
+    sums = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(_look(buckets), "chunk long, words boolean, rows binary, sums binary, n binary, own binary")
+    added = sums.groupBy("chunk").applyInPandas(_added, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return added.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocab.tokens).cast("long").alias("train_tokens"), "base_score", "score")
