@@ -27,11 +27,11 @@ __all__ = ["prefix_sums", "shared_root", "stash"]
 
 
 class Memo(dict):
-    """f of a text or bytes key, remembered by one task until MEMO_BYTES are held."""
+    """f of a text or bytes key, remembered by one task until `room` bytes are held."""
 
-    def __init__(self, f: Callable):
+    def __init__(self, f: Callable, room: int = MEMO_BYTES):
         super().__init__()
-        self.f, self.held = f, 0
+        self.f, self.room, self.held = f, room, 0
 
     def __missing__(self, key):
         out = self.f(key)
@@ -39,11 +39,11 @@ class Memo(dict):
         return out
 
     def has_room(self, keys) -> bool:
-        return self.held + sum(map(len, keys)) * 3 + len(keys) * ENTRY_BYTES <= MEMO_BYTES
+        return self.held + sum(map(len, keys)) * 3 + len(keys) * ENTRY_BYTES <= self.room
 
     def put(self, key, out) -> None:
         self.held += ENTRY_BYTES + len(key) + (len(out) if isinstance(out, bytes) else 0)
-        if self.held > MEMO_BYTES:
+        if self.held > self.room:
             self.clear()
             self.held = ENTRY_BYTES
         self[key] = out

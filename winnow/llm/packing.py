@@ -38,6 +38,8 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 #: Texts that tell whether a file's own splitting is SPLIT's, between words and within them.
 PROBES = ("it's  we'll don't", "ab12.5--x_y %$ a\nb\tc", "\u00e9t\u00e9 \u4e2d\u6587 \U0001f600!", "I'm (you're) 100% sure...")
 FETCH = 4096
+#: Bytes of each of a task's two memos: the distinct words of some 16 MB of text.
+ROOM = 64 << 20
 
 
 def byte_letters() -> dict[int, int]:
@@ -68,7 +70,7 @@ class WordIds:
         return all(b"".join(map(self.of_word, t.lower().split())) == self.encode(t) for t in PROBES)
 
     def renew(self) -> None:
-        self.words, self.pieces = Memo(self.of_word), Memo(self.of_piece)
+        self.words, self.pieces = Memo(self.of_word, ROOM), Memo(self.of_piece, ROOM)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
