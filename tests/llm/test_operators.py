@@ -243,7 +243,14 @@ def test_op6_many_levels(spark):
     rows = spark.createDataFrame([(i, "x" * (i % 97)+str(i)) for i in range(500)], "doc_id long, text string")
     sums = sharding.shard_by_bytes(rows, shards=4, fan=8).groupBy("shard").agg(F.sum("size").alias("b")).toPandas().b
     assert sums.max() - sums.min() <= 100
-    assert sharding.shard_by_bytes(odd_docs(spark)).count() == 10
+    rows = spark.createDataFrame([(i, "x" * (i % 97) + str(i)) for i in range(1025)], "doc_id long, text string")
+    found = sharding.shard_by_bytes(rows)  # one text more than a node of the default tree holds
+    assert found.count() == 1025 and found.select("shard", "slot").distinct().count() == 1025
+    odd = sharding.shard_by_bytes(odd_docs(spark)).toPandas()
+    assert len(odd) == 10 and odd.doc_id.isna().sum() == 1
+    assert sorted(odd[odd["size"] == 1].doc_id) == [1, 2] and (odd["size"] == len(LONG) + 1).sum() == 2
+    for texts in ((1, 2), (3, 8), (4, 4)):
+        assert odd[odd.doc_id.isin(texts)].shard.nunique() == 1
     assert sharding.shard_by_bytes(no_docs(spark)).count() == 0
 
 

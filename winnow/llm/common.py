@@ -80,13 +80,17 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most that many rows and its written form at most BROADCAST_BYTES, else as
-    it is (then a shuffle join). df is a stashed table of columns of fixed width.
+def small(df: DataFrame, written: DataFrame | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if it has at most that many rows and the written form of the stashed table it comes from
+    at most BROADCAST_BYTES, else as it is (then a shuffle join). `written` is that table, if df is a selection of its
+    columns and rows; all columns are of fixed width.
     """
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stash_path)
-    held = path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    return F.broadcast(df) if held <= BROADCAST_BYTES and df.count() <= rows else df
+    held = (df if written is None else written).__dict__.get("_stash_path")
+    if held is None:
+        raise TypeError("the size of a table that isn't stashed is unknown")
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(held)
+    size = path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(df) if size <= BROADCAST_BYTES and df.count() <= rows else df
 
 
 def two_hashes(col, names=("h1", "h2")):

@@ -167,7 +167,7 @@ def store(docs: DataFrame, cuts: Cuts = Cuts()) -> tuple[DataFrame, DataFrame]:
     foreign = owned.groupBy("id", "thash").agg(places(~mine).alias("foreign"), places(mine).alias("lent"), F.min(F.when(~mine, F.col("_held"))).alias("fewest"))
     foreign = stash(foreign.withColumnsRenamed({"id": "fid", "thash": "fhash"}), "foreign")
     unstash(some)
-    marked = rows.join(small(foreign, 500_000), F.col("id").eqNullSafe(F.col("fid")) & (F.col("thash") == F.col("fhash")), "left")
+    marked = rows.join(small(foreign, rows=500_000), F.col("id").eqNullSafe(F.col("fid")) & (F.col("thash") == F.col("fhash")), "left")
     kept = stash(marked.select("id", "thash", "text", "foreign", "lent", "fewest").mapInArrow(_store(cuts), STORE), "media-store")
     unstash(foreign)
     return kept, owners.select("owner.id", "owner.thash", "owner.place", "digest", "n")

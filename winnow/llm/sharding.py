@@ -93,7 +93,7 @@ def balance(groups: DataFrame, shards: int = 16, fan: int = 1024) -> DataFrame:
         parents = -(-parents // fan)
         placed = stash(_level(nodes, parents, shards), "shard-level")
         step = placed.select(F.col("k1").alias("_node"), F.col("slot").alias("_slot"), F.col("to").alias("_to"), F.col("parent").alias("_parent"))
-        found = found.join(small(step), (F.col("parent") == F.col("_node")) & (F.col("shard") == F.col("_slot"))).select(
+        found = found.join(small(step, placed), (F.col("parent") == F.col("_node")) & (F.col("shard") == F.col("_slot"))).select(
             "h1", "h2", F.col("_parent").alias("parent"), F.col("_to").alias("shard")
         )
         sums = placed.join(nodes, ["k1", "k2", "slot"])
