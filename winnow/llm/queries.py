@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import ann, chat, langid, linededup, lm, media, neardup, packing, pieces, sharding
+from winnow.llm import ann, chat, langid, linededup, lm, media, neardup, packing, pieces, repair, sharding, simhash, trie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,9 +140,121 @@ def op10_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs)
 
 
+def op11_segment_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), ngram=3)
+
+
+def op12_repair_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repairs(repair.damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
+def sql_crc32(text: str) -> str:
+    """crc32 of an ASCII string, four bits at a time."""
+    steps = []
+    for x in range(16):
+        for _ in range(4):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        steps.append(x)
+    half = lambda x: f"xor(({steps})[({x} & 15) + 1], {x} >> 4)"
+    return f"xor(list_reduce(list_concat([4294967295], list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: {half(half('xor(c, b)'))}), 4294967295)"
+
+
+def _op12_sql() -> str:
+    """The cheapest repair from every place and state, from the last row to the first, as (cost, audit, text)."""
+    role = {0: "user", 1: "user", 2: "assistant", 3: "user"}
+    to = {0: 2, 1: 2, 2: 3, 3: 2}
+    edit = lambda p, cost, letter, said: f"{{'c': b.s{p}.c + {cost}, 'a': '{letter}' || b.s{p}.a, 't': {said}b.s{p}.t}}"
+    raw = []
+    for q in range(4):
+        options = [edit(q, 2, "D", ""), f"CASE WHEN r.fault < 2 THEN {edit(to[q], '1 + 5 * r.fault', 'R', f'chr(10) || {chr(39)}{role[q]}:{chr(39)} || r.text || ')} END"]
+        for x, p in (("s", 1), ("u", 2)) if q == 0 else (("a", 3),) if q == 2 else (("u", 2),):
+            said = "chr(10) || r.role || ':' || r.text || "
+            options.append(f"CASE WHEN r.fault < 2 AND r.x = '{x}' THEN {edit(p, '5 * r.fault', 'K', said)} END")
+        raw.append(f"list_min([{', '.join(options)}]) AS s{q}")
+    inserted = ", ".join(f"list_min([b.s{q}, {edit(to[q], 5, 'I', f'chr(10) || {chr(39)}{role[q]}:{chr(39)} || ')}]) AS s{q}" for q in range(4))
+    close = lambda rows: f"(SELECT b.conv_id, b.i, {inserted} FROM {rows} AS b)"
+    start = "(SELECT conv_id, n + 1 AS i, {'c': CAST(0 AS BIGINT), 'a': '', 't': ''} AS s0, {'c': CAST(99 AS BIGINT), 'a': '', 't': ''} AS s1, {'c': CAST(99 AS BIGINT), 'a': '', 't': ''} AS s2, {'c': CAST(0 AS BIGINT), 'a': '', 't': ''} AS s3 FROM sizes)"
+    step = f"(SELECT b.conv_id, b.i - 1 AS i, {', '.join(raw)} FROM b JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i - 1)"
+    return f"""
+WITH RECURSIVE dice AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {sql_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS d
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM dice JOIN (VALUES (1), (2)) AS twice(copy) ON copy = 1 OR d = 3 WHERE d <> 0
+), ordered AS (
+  SELECT *, left(role, 1) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(x) OVER (PARTITION BY conv_id ORDER BY i) AS x0 FROM ordered
+), r AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 3 WHEN again THEN 2 WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 0 ELSE 1 END AS fault FROM seen
+), sizes AS (
+  SELECT conv_id, max(i) AS n, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (WHERE fault = 3) AS blank,
+    count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 1) AS truncated,
+    count(*) FILTER (WHERE i > 1 AND x0 || x NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv_id
+), b AS (
+  SELECT * FROM {close(close(close(start)))} AS z
+  UNION ALL SELECT * FROM {close(close(close(step)))} AS z
+), ids AS (
+  SELECT DISTINCT conv_id FROM conversations
+)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(b.s0.c, 0) AS cost, coalesce(b.s0.a, '') AS audit, sha256(substr(coalesce(b.s0.t, ''), 2)) AS repaired_sha256
+FROM ids LEFT JOIN sizes ON sizes.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM ids.conv_id AND b.i = 1
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_family_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+OP13_SQL = f"""
+WITH t AS (
+  SELECT conv_id, list({{'h': md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))), 'b': CAST(strlen(coalesce(text, '')) AS BIGINT)}}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT *, {sql_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM t
+), r AS (
+  SELECT h.conv_id, list_concat(coalesce(base.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns
+  FROM h LEFT JOIN t AS base ON base.conv_id = h.conv_id - h.conv_id % 5
+), p AS (
+  SELECT conv_id, len(turns) AS len, d, md5(array_to_string(list_transform(turns[1:d], lambda x: x.h), '')) AS node,
+    CASE WHEN d > 0 THEN md5(array_to_string(list_transform(turns[1:d - 1], lambda x: x.h), '')) END AS parent,
+    CASE WHEN d > 0 THEN turns[d].b ELSE 0 END AS bytes
+  FROM r, unnest(range(0, len(turns) + 1)) AS depths(d)
+), n AS (
+  SELECT node, any_value(parent) AS parent, CAST(any_value(d) AS BIGINT) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = len), '')) AS ends_sha256
+  FROM p GROUP BY node
+), c AS (
+  SELECT parent, count(*) AS n_children FROM n GROUP BY parent
+), k AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON c.parent = n.node
+), s AS (
+  SELECT above.node, count(*) FILTER (WHERE k.n_children = 0) AS n_leaves, CAST(sum((k.n_convs - 1) * k.bytes) AS BIGINT) AS saved_tokens
+  FROM k JOIN p AS above ON above.conv_id = k.conv_id AND above.d <= k.depth GROUP BY above.node
+)
+SELECT k.conv_id, k.depth, up.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves, s.saved_tokens, k.ends_sha256
+FROM k JOIN s USING (node) LEFT JOIN k AS up ON up.node = k.parent
+"""
+
+
+OPERATORS = (
+    op1_rotated_bits, op2_chat_format, op3_language_id, op4_minhash_hamming, op5_line_dedup, op6_shard_balance, op7_streaming_pieces, op8_pack_windows,
+    op9_media_chunks, op10_suffix_tree_score, op11_segment_popcount, op12_repair_layers, op13_family_trie,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rotated_bits, op2_chat_format, op3_language_id, op4_minhash_hamming, op5_line_dedup, op6_shard_balance, op7_streaming_pieces, op8_pack_windows, op9_media_chunks, op10_suffix_tree_score)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op4_minhash_hamming": OP4_SQL, "op5_line_dedup": OP5_SQL}
+    return {"op2_chat_format": OP2_SQL, "op4_minhash_hamming": OP4_SQL, "op5_line_dedup": OP5_SQL, "op12_repair_layers": OP12_SQL, "op13_family_trie": OP13_SQL}
