@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -57,9 +59,13 @@ def decode_response(response: Column) -> Column:
     return F.filter(F.from_json(body, kind), lambda x: x.id.isNotNull() & x.score.try_cast("int").isNotNull())
 
 
+#: Fixed: what a provider says that won't answer again in the run, and what passes by waiting.
+DEAD, PASSING = r"\b40[123]\b|insufficient_quota|payment_required", r"\b(?:429|50[0234])\b|rate_limit"
+
+
 def error_class(message: Column) -> Column:
-    """dead: this provider won't answer again in the run; retry: it may; other."""
-    return F.when(message.rlike(r"\b40[123]\b"), "dead").when(message.rlike(r"\b(?:429|5\d\d)\b"), "retry").otherwise("other")
+    """dead: this provider won't answer again in the run; retry: it may after a pause; other: the next one is asked."""
+    return F.when(message.rlike(DEAD), "dead").when(message.rlike(f"(?i){PASSING}"), "retry").otherwise("other")
 
 
 def zero_cause(c: Callable[[str], Column] = F.col) -> Column:
@@ -85,37 +91,53 @@ class Provider:
     has_key: bool = True
 
 
+def in_order(registry: dict[str, Provider], names: str) -> list[Provider]:
+    """The providers of a comma-separated order that are known and have a key."""
+    return [registry[n] for n in (x.strip() for x in names.split(",")) if n in registry and registry[n].has_key]
+
+
 class PermanentError(Exception):
     pass
 
 
 @dataclass
 class Failover:
-    """Providers in order. One that is dead isn't asked again in the run; without an answer the next is asked."""
+    """Providers in order. One that is dead isn't asked again; one that is busy is asked `retries` times after pauses of
+    `wait` seconds, twice that and so on; without an answer that can be read, the next one is asked."""
 
     providers: Sequence[Provider]
     retries: int = 3
+    wait: float = 20.0
+    sleep: Callable[[float], None] = time.sleep
     dead: set[str] = field(default_factory=set)
     counters: dict[str, int] = field(default_factory=lambda: {"batches": 0, "failed_batches": 0, "unscored": 0, "switched": 0})
     provider: str | None = None
+    asked: list[tuple[str, str, float]] = field(default_factory=list)
+
+    def _try(self, p: Provider, batch: list[dict]) -> str | None:
+        for attempt in range(1, self.retries + 1):
+            waited = 0.0
+            try:
+                answer = p.ask(batch)
+                kind = "answer" if readable(answer) else "unreadable"
+            except Exception as e:  # noqa: BLE001  a provider may fail in any way
+                answer, kind = None, "dead" if isinstance(e, PermanentError) or re.search(DEAD, str(e)) else "retry" if re.search(PASSING, str(e).lower()) else "other"
+            if kind == "retry" and attempt < self.retries:
+                waited = self.wait * attempt
+                self.sleep(waited)
+            self.asked.append((p.name, kind, waited))
+            if kind == "dead":
+                self.dead.add(p.name)
+                self.counters["switched"] = 1
+            if kind != "retry":
+                return answer if kind == "answer" else None
+        return None
 
     def ask(self, batch: list[dict]) -> tuple[str, str] | None:
         """(provider, answer) or None; the batch stays unscored then and comes up again in the next run."""
         self.counters["batches"] += 1
-        usable = [p for p in self.providers if p.has_key]
-        for i, p in enumerate(usable):
-            if p.name in self.dead:
-                continue
-            for _ in range(self.retries):
-                try:
-                    answer = p.ask(batch)
-                except PermanentError:
-                    self.dead.add(p.name)
-                    break
-                except Exception:  # noqa: BLE001  a provider may fail in any way; the next try or provider follows
-                    continue
-                if i > 0:
-                    self.counters["switched"] = 1
+        for p in self.providers:
+            if p.has_key and p.name not in self.dead and (answer := self._try(p, batch)) is not None:
                 self.provider = p.name
                 return p.name, answer
         self.counters["failed_batches"] += 1
@@ -123,27 +145,43 @@ class Failover:
         return None
 
 
+def readable(answer: str | None) -> bool:
+    """Whether the text from the first [ to the last ] is a JSON array."""
+    try:
+        return isinstance(json.loads(answer[answer.index("[") : answer.rindex("]") + 1]), list)
+    except (ValueError, AttributeError):
+        return False
+
+
 def offline_scorer(batch: list[dict]) -> str:
     """A deterministic stand-in for a hosted model: the score is the pre-filter's."""
     return json.dumps([{"id": r["id"], "score": r.get("score", 0), "why_fits": [], "watch_out": [], "recommendation": ""} for r in batch])
 
 
-def scored_by(batched: DataFrame, providers: Sequence[Provider]) -> DataFrame:
-    """batched (id, record, score, batch) -> one row per batch with the provider and its answer (null if none).
+ANSWERS = "batch long, size int, ids array<string>, provider string, answer string, dead array<string>, asked array<struct<provider:string,kind:string,waited:double>>"
+
+
+def grouped(batched: DataFrame) -> DataFrame:
+    """batched (id, record, score, batch) -> a row per batch."""
+    rows = batched.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("id", "score", "record"))).alias("r"))
+    return rows.select("batch", F.col("r.id").alias("ids"), F.col("r.score").alias("scores"), F.col("r.record").alias("records"))
+
 
-    Every task has its own failover state over its batches, which are whole within a task.
-    """
+def scored_by(batches: DataFrame, providers: Sequence[Provider], dead: Sequence[str] = (), wait: float = 20.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """A row per batch -> also its provider, its answer (null if none), the providers found dead and all that was asked.
+    Providers known to be dead aren't asked; a task that finds one dead doesn't ask it again."""
 
     def run(pdfs: Iterator) -> Iterator:
         import pandas as pd
 
-        state = Failover(providers)
+        state = Failover(providers, wait=wait, sleep=sleep, dead=set(dead))
         for pdf in pdfs:
             rows = []
             for batch, ids, scores, records in zip(pdf.batch, pdf.ids, pdf.scores, pdf.records, strict=True):
+                state.asked = []
                 got = state.ask([{"id": i, "score": int(s), "record": r} for i, s, r in zip(ids, scores, records, strict=True)])
-                rows.append((batch, len(ids), *(got or (None, None))))
-            yield pd.DataFrame(rows, columns=["batch", "size", "provider", "answer"])
+                asked = [dict(zip(("provider", "kind", "waited"), x, strict=True)) for x in state.asked]
+                rows.append((batch, len(ids), list(ids), *(got or (None, None)), sorted(state.dead), asked))
+            yield pd.DataFrame(rows, columns=["batch", "size", "ids", "provider", "answer", "dead", "asked"])
 
-    grouped = batched.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("id", "score", "record"))).alias("r"))
-    return grouped.select("batch", F.col("r.id").alias("ids"), F.col("r.score").alias("scores"), F.col("r.record").alias("records")).mapInPandas(run, "batch long, size int, provider string, answer string")
+    return batches.mapInPandas(run, ANSWERS)

@@ -1,12 +1,10 @@
-"""Keyed state: seen postings with versions, the score cache, the application tracker. Upserts are joins; tables
-are Parquet directories of which a new version is written and then pointed to.
+"""Keyed state: seen postings with versions, the score cache, the application tracker. Upserts of whole tables are joins;
+the logs of log.py write deltas.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,37 +92,3 @@ def application_stats(applications: DataFrame, now: Column, stale_days: int = 14
         F.count("*").alias("total"), F.count_if(at >= now - F.expr("INTERVAL 7 DAYS")).alias("last7"),
         F.count_if((F.col("status") == "applied") & (at < now - F.make_dt_interval(F.lit(stale_days)))).alias("stale"),
     ).withColumn("stale_days", F.lit(stale_days))
-
-
-class StateTable:
-    """A table of versioned Parquet directories. A commit writes a new directory and then a one-row pointer file;
-    readers follow the newest pointer, so a failed commit leaves the former version in place."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def _versions(self) -> list[str]:
-        if not self.fs.exists(self._path("")):
-            return []
-        names = [s.getPath().getName() for s in self.fs.listStatus(self._path(""))]
-        return sorted(n.removesuffix(".done") for n in names if n.endswith(".done"))
-
-    def read(self) -> DataFrame:
-        """The current version; columns that it lacks are null (older schemas)."""
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], self.schema)
-        return conform(self.spark.read.parquet(f"{self.path}/{versions[-1]}"), self.schema)
-
-    def commit(self, rows: DataFrame, keep: int = 2) -> None:
-        versions = self._versions()
-        name = f"v{int(versions[-1][1:9]) + 1 if versions else 1:08d}-{uuid.uuid4().hex[:8]}"
-        conform(rows, self.schema).write.parquet(f"{self.path}/{name}")
-        self.fs.create(self._path(f"{name}.done")).close()
-        for old in versions[: max(0, len(versions) + 1 - keep)]:
-            self.fs.delete(self._path(f"{old}.done"), False)
-            self.fs.delete(self._path(old), True)

@@ -73,12 +73,12 @@ def sql_count(col: str, ts: list[str]) -> str:
     return "(" + " + ".join(f"CAST({sql_matches(col, t)} AS INT)" for t in ts) + ")" if ts else "0"
 
 
-POSTINGS_SQL = """p AS (
-  SELECT CAST(doc_id AS VARCHAR) AS id, string_split(text, chr(10))[1] AS title, source AS company, text AS description, lang AS source FROM documents
-), b AS (
+BLOBS_SQL = """, b AS (
   SELECT *, lower(title) AS t, lower(title) || ' ' || lower(description) AS blob,
     regexp_extract_all(lower(title), '[\\p{L}\\p{N}\\p{M}_\\-]+') AS tokens FROM p
 )"""
+POSTINGS_SQL = "p AS (SELECT CAST(doc_id AS VARCHAR) AS id, string_split(text, chr(10))[1] AS title, source AS company, text AS description, lang AS source FROM documents)" + BLOBS_SQL
+TURNS_SQL = "p AS (SELECT conv_id || '_' || turn AS id, string_split(text, chr(10))[1] AS title, role AS company, text AS description, role AS source FROM conversations)" + BLOBS_SQL
 
 
 def _role_sql(role, pack: RulePack, order: int) -> str:
@@ -108,10 +108,10 @@ def _role_sql(role, pack: RulePack, order: int) -> str:
     return f"SELECT id, company, source, {_lit(role.name)} AS role, {order} AS ord, {role.threshold} AS threshold, {reason} AS reason, {' + '.join(points)} AS points FROM b"
 
 
-def pack_sql(pack: RulePack) -> str:
+def pack_sql(pack: RulePack, postings_sql: str = POSTINGS_SQL) -> str:
     """CTEs up to v (a verdict per posting and role) and best."""
     roles = "\n  UNION ALL ".join(_role_sql(r, pack, i) for i, r in enumerate(pack.roles))
-    return f"""WITH {POSTINGS_SQL}, raw AS MATERIALIZED (
+    return f"""WITH {postings_sql}, raw AS MATERIALIZED (
   {roles}
 ), v AS (
   SELECT *, reason IS NULL AS passed_gate, CASE WHEN reason IS NULL THEN CAST(greatest(0, least(100, points)) AS INT) ELSE 0 END AS score FROM raw
@@ -174,6 +174,11 @@ def near_miss_top3(spark, sf_dir):
     return funnel_ops.near_misses(_best(spark, sf_dir), 20).select("id", "score")
 
 
+@query(RULES + "SELECT id, role, score, row_number() OVER (ORDER BY score DESC, id) AS place FROM best WHERE passed_gate")
+def gate_passers(spark, sf_dir):
+    return numbered(_best(spark, sf_dir).where("passed_gate").select("id", "role", "score"), [F.desc("score"), "id"], "place")
+
+
 @query(RULES + "SELECT id, role, score FROM best WHERE recommend")
 def recommend_threshold(spark, sf_dir):
     return _best(spark, sf_dir).where("recommend").select("id", "role", "score")
@@ -415,6 +420,24 @@ def upsert_reject(spark, sf_dir):
     return _told(state.mark_rejected(old, new, "v9", F.timestamp_seconds(F.lit(100))))
 
 
+@query("""SELECT doc_id AS id, CASE WHEN max(quality) = 1 THEN 'final' WHEN count(quality) > 0 THEN 'v2' ELSE 'v1' END AS version
+FROM documents LEFT JOIN labels USING (doc_id) GROUP BY doc_id HAVING coalesce(max(toxic), 0) = 0""")
+def seen_log(spark, sf_dir):
+    """Four commits to a log of deltas, read back: all rejected, some given verdicts, some rejected anew, some dropped."""
+    import uuid
+
+    from winnow.operators.log import SeenLog
+
+    log = SeenLog(spark, f"{shared_root(spark)}/seen-{uuid.uuid4().hex}")
+    rows = lambda name: table(spark, sf_dir, name).select(F.col("doc_id").cast("string").alias("id"), F.lit("s").alias("source"), F.lit("").alias("title"), F.lit("").alias("url"), "*")
+    labels, now = rows("labels"), F.timestamp_seconds(F.lit(1))
+    log.mark(None, rows("documents"), "v1", now)
+    log.mark(labels.where("quality = 1"), None, "v1", now)
+    log.mark(None, labels, "v2", now)
+    log.forget(labels.where("toxic = 1"))
+    return log.read().select(F.col("id").cast("long").alias("id"), F.coalesce("prefilter_version", F.lit("final")).alias("version"))
+
+
 @query("SELECT d.doc_id AS id, l.doc_id IS NOT NULL AS hit, coalesce(l.quality, -1) AS score FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND l.toxic = 0")
 def cache_split(spark, sf_dir):
     cache = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("job_id"), F.col("quality").alias("score"), F.col("toxic").cast("string").alias("scoring_version"))
@@ -580,12 +603,12 @@ def failover_matrix(spark, sf_dir):
     return _literal(spark, [(m,) for m, _ in ERRORS], "message string").select("message", funnel_ops.error_class(F.col("message")).alias("kind"))
 
 
-@query()
+@query(pack_sql(PACK, TURNS_SQL) + "SELECT id, role, score, passed_gate, recommend FROM best")
 def stream_funnel(spark, sf_dir):
     """Conversations as a stream of postings, triaged against state that grows; rows are the verdicts of all batches."""
     import uuid
 
-    from winnow.schema import SEEN
+    from winnow.operators.log import SeenLog
     from winnow.streaming import funnel_stream
 
     base = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
@@ -594,7 +617,7 @@ def stream_funnel(spark, sf_dir):
     posts = conform(rows.select(
         F.concat_ws("_", "conv_id", "turn").alias("id"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"), F.col("role").alias("company"), F.col("text").alias("description"), F.col("role").alias("source"),
     ))
-    funnel_stream.run(posts, PACK, state.StateTable(spark, f"{base}/seen", SEEN), f"{base}/out", f"{base}/offsets").awaitTermination()
+    funnel_stream.run(posts, PACK, SeenLog(spark, f"{base}/seen"), f"{base}/out", f"{base}/offsets").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("id", "role", "score", "passed_gate", "recommend")
 
 
