@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.functions import patterns, spans, terms
+from winnow.functions import html as hx
 from winnow.functions import text as tx
 from winnow.operators import cards, funnel_ops, gates, reports, score, state
 from winnow.plans.rules import RulePack, demo_pack
@@ -374,6 +375,22 @@ def rss_two_passes(spark, sf_dir):
     return pages.hh_feed(feed(rows.where("event_id % 64 < 20"), True).unionByName(feed(rows, False))).select("id", "title")
 
 
+def _as_vacancies(html):
+    """Pages whose article is a vacancy's element and whose paragraphs, some never closed, are elements of the same name."""
+    for old, new in (("<article>", '<div data-qa="vacancy-description">'), ("</article>", "</div>"), ("<p>", '<div class="p">'), ("</p>", "</div>")):
+        html = F.replace(html, F.lit(old), F.lit(new))
+    return html
+
+
+@query()
+def page_elements(spark, sf_dir):
+    """Of all pages: the vacancy's whole element and its text, and whole elements of three names; tested against a parser."""
+    html = _as_vacancies(F.col("html"))
+    rows = table(spark, sf_dir, "pages").withColumn("own", hx.first_with(html, hx.attribute_is("data-qa", "vacancy-description")))
+    told = [F.md5(F.array_join(hx.elements(html, name), "|")).alias(f"{name}_md5") for name in ("nav", "li", "div")]
+    return rows.select("page_id", F.md5("own").alias("own_md5"), F.length("own").cast("long").alias("own_chars"), F.md5(pages.full_text(html)).alias("text_md5"), *told)
+
+
 # --- state and joins ---
 
 STATE_SQL = "SELECT doc_id AS id, CASE WHEN toxic = 1 THEN NULL WHEN quality = 1 THEN 'v1' ELSE 'v2' END AS version FROM labels"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from winnow.functions import html as hx
 from winnow.functions import text as tx
 from winnow.operators.funnel_ops import keep_first
 from winnow.schema import conform
@@ -34,8 +35,8 @@ def link_board(payloads: DataFrame, prefix: str, site: str, base: str, holds: st
 
 def web3career(payloads: DataFrame, base: str = "https://web3.career") -> DataFrame:
     """Cards if a page has any, else its links to jobs."""
-    card = r"(?is)<(?:tr|div|article)\b[^>]*(?:job_seen_beacon|data-jobid|job-card|class=\"job\")[^>]*>.*?</(?:tr|div|article)>"
-    cards = F.regexp_extract_all("body", F.lit(card), F.lit(0))
+    mark = r"(?:job_seen_beacon|data-jobid|job-card|class=\"job\")"
+    cards = F.concat(*[hx.elements(F.col("body"), name, mark) for name in ("tr", "div", "article")])
     pick = lambda c, form: tx.plain(F.regexp_extract(c, form, 1))
     rows = payloads.withColumn("cards", cards)
     told = rows.select(F.explode("cards").alias("c"))
@@ -88,7 +89,7 @@ def habr(payloads: DataFrame, base: str = "https://career.habr.com") -> DataFram
     """Vacancy cards; the description is put together from title, skills and meta line."""
     c = F.col("c")
     rows = payloads.select(F.explode(after_first(F.split("body", r"class=\"(?:[^\"]* )?vacancy-card(?: [^\"]*)?\""))).alias("c"))
-    part = lambda name: tx.plain(F.regexp_extract(c, rf"(?is)vacancy-card__{name}\"[^>]*>(.*?)</div>", 1))
+    part = lambda name: tx.blank(tx.plain(hx.first_with(c, hx.class_is(f"vacancy-card__{name}"))))
     href = F.regexp_extract(c, r"(?is)vacancy-card__title\"[^>]*>.*?href=\"([^\"]*)", 1)
     rows = rows.select(
         F.regexp_extract(href, r"([^/]+)/*$", 1).alias("vid"), part("title").alias("title"), tx.plain(F.regexp_extract(c, r"(?is)(<a[^>]*href=\"[^\"]*/companies/[^\"]*\"[^>]*>.*?</a>)", 1)).alias("company"),
@@ -166,17 +167,18 @@ def channel_pages(payloads: DataFrame) -> DataFrame:
     """body (a channel's preview), channel -> posts for channel_posts."""
     m = F.col("m")
     rows = payloads.select("channel", F.explode(after_first(F.split("body", r"<div class=\"tgme_widget_message[ \"]"))).alias("m"))
-    raw = F.regexp_extract(m, r"(?is)tgme_widget_message_text[^>]*>(.*?)</div>", 1)
+    raw = tx.blank(hx.inner(hx.first_with(m, hx.class_is("tgme_widget_message_text"))))
     url = F.regexp_extract(m, r"(?is)<a[^>]*tgme_widget_message_date[^>]*href=\"([^\"]*)", 1)
     text = F.btrim(tx.unescape(F.regexp_replace(raw, r"(?:<[^>]+>)+", "\n")), F.lit(" \n"))
     return rows.select("channel", F.regexp_extract(url, r"([^/]+)/*$", 1).alias("post_id"), text.alias("text"), url.alias("url"), tx.moment(F.regexp_extract(m, r"datetime=\"([^\"]*)", 1)).alias("at")).where("text <> ''")
 
 
 def full_text(html: Column, least: int = 300) -> Column:
-    """The vacancy's own block of a page, else its body; null unless it has `least` characters."""
-    forms = (r"(?is)data-qa=\"vacancy-description\"[^>]*>(.*?)</div>", r"(?is)itemprop=\"description\"[^>]*>(.*?)</div>", r"(?is)<body[^>]*>(.*?)</body>")
-    found = [tx.plain(F.regexp_extract(html, form, 1)) for form in forms]
-    return F.coalesce(*[F.when(F.length(t) >= least, t) for t in found])
+    """The vacancy's own element of a page, the first of the known ones with `least` characters; null without one."""
+    section = hx.first_with(html, hx.attribute_is("data-qa", "vacancy-section"))
+    own = hx.class_is("vacancy-description")
+    found = [hx.first_with(html, hx.attribute_is("data-qa", "vacancy-description")), hx.first_with(section, own), hx.first_with(html, own)]
+    return F.coalesce(*[F.when(F.length(t) >= least, t) for t in map(tx.plain, found)])
 
 
 def probe(pages: DataFrame) -> DataFrame:
