@@ -302,14 +302,6 @@ def _sql_contains(col: str, words) -> str:
     return "(" + " OR ".join(f"contains({col}, {_lit(w)})" for w in words) + ")"
 
 
-@query(f"""WITH c AS (SELECT conv_id, turn, lower(text) AS low FROM conversations)
-SELECT conv_id, turn FROM c WHERE {_sql_contains('low', tx.POST_WORDS)}
-AND NOT ({_sql_contains('substr(low, 1, 80)', tx.RESUME_MARKS)} AND NOT {_sql_contains('substr(low, 1, 80)', tx.VACANCY_MARKS)})
-AND NOT ({_sql_contains('low', tx.PROMO_MARKS)} OR ({_sql_contains('substr(low, 1, 120)', tx.CHATTER)} AND NOT {_sql_contains('low', tx.VACANCY_MARKS)}))""")
-def post_filter(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where(tx.post_kept(F.col("text"))).select("conv_id", "turn")
-
-
 @query(r"SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, CAST(length(regexp_replace(html, '<[^>]+>', '', 'g')) AS INT) AS plain_chars FROM pages")
 def page_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.length(F.regexp_replace("html", r"<[^>]+>", "")).alias("plain_chars"))
@@ -538,63 +530,6 @@ def digest_topk(spark, sf_dir):
     return reports.digest(items, F.lit("2024-01-31").cast("timestamp")).select("link", F.col("when").alias("newest"))
 
 
-# --- literals ---
-
-
-def _literal(spark, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-def _values(rows: list[tuple], names: str) -> str:
-    cell = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else _lit(x)
-    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") t({names})"
-
-
-CAUSES = [(0, 0, 0, 0), (5, 0, 0, 0), (5, 3, 4, 4), (5, 3, 4, 1), (5, 3, 4, 0)]
-
-
-@query("SELECT *, CASE WHEN unseen = 0 THEN 'nothing new' WHEN prefiltered = 0 THEN 'all rejected by the filter' WHEN batches > 0 AND failed_batches >= batches THEN 'provider down' WHEN failed_batches > 0 THEN 'mixed' ELSE 'below threshold' END AS cause FROM " + _values(CAUSES, "unseen, prefiltered, batches, failed_batches"))
-def zero_cause(spark, sf_dir):
-    return _literal(spark, CAUSES, "unseen int, prefiltered int, batches int, failed_batches int").withColumn("cause", funnel_ops.zero_cause())
-
-
-REMOTE = [("", "", "Hybrid", True, False), ("", "", "Remote", False, True), ("Remote - EMEA", "", None, None, True), ("Malta", "remote troubleshooting", None, None, False), ("Malta", "a fully remote team", None, None, True), ("", "", None, True, True)]
-
-
-@query("SELECT place, text, expected FROM " + _values(REMOTE, "place, text, kind, flag, expected"))
-def remote_priority(spark, sf_dir):
-    rows = _literal(spark, REMOTE, "place string, text string, kind string, flag boolean, expected boolean")
-    return rows.select("place", "text", tx.is_remote(F.col("place"), F.col("text"), F.col("kind"), F.col("flag")).alias("expected"))
-
-
-SHIFTS = [("Night shift support engineer", "core"), ("1 night shift per month", "occasional"), ("график 2/2", "shift"), ("график работы 5/2", None), ("2/2 schedule, 2-4 night shifts per month", "occasional"), ("rotating shifts", "shift"), ("работа в ночную смену", "core")]
-
-
-@query("SELECT text, mode FROM " + _values(SHIFTS, "text, mode"))
-def shift_mode(spark, sf_dir):
-    return _literal(spark, [(t,) for t, _ in SHIFTS], "text string").select("text", gates.shift_mode(tx.normal(F.col("text"))).alias("mode"))
-
-
-PAY = [("от 3 000 до 5 000 $", 3000, 5000, "USD"), ("до 200 000 руб", 200000, None, "RUB"), ("2000 EUR", 2000, None, "EUR"), ("не указано", None, None, "RUB")]
-
-
-@query("SELECT text, CAST(low AS INT) AS low, CAST(high AS INT) AS high, currency FROM " + _values(PAY, "text, low, high, currency"))
-def salary_parse(spark, sf_dir):
-    return _literal(spark, [(p[0],) for p in PAY], "text string").select("text", tx.range_salary(F.col("text")).alias("s")).select("text", "s.*")
-
-
-MODES = [
-    ("Excellent command of spoken and written English is required.", "spoken"), ("Must-haves: Strong written English - clear, concise, and empathetic.", "written"), ("Fluent English is a must for this role.", "generic"),
-    ("English is a plus.", None), ("английский: С2", "level_c"), ("Английский В2", "level_b"),
-]
-
-
-@query("SELECT text, mode FROM " + _values(MODES, "text, mode"))
-def english_modality(spark, sf_dir):
-    rows = _literal(spark, [(t,) for t, _ in MODES], "text string")
-    return rows.select("text", gates.english_mode(tx.normal(F.col("text")), ["russian", "русск", "cis", "снг"]).alias("mode"))
-
-
 @query("SELECT doc_id, '<code>' || (quality * 60 + 35) || '/100</code>  ·  ' || lang AS foot, quality * 60 + 35 AS score FROM labels JOIN documents USING (doc_id)")
 def card_render(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").withColumn("score", F.col("quality") * 60 + 35)
@@ -605,21 +540,6 @@ def card_render(spark, sf_dir):
     return rows
 
 
-@query("SELECT id, score, why_fits FROM (VALUES ('a', 70, 'x,y'), ('b', 60, '')) t(id, score, why_fits)")
-def response_decode(spark, sf_dir):
-    answers = ['Sure: [{"id":"a","score":70,"why_fits":["x","y"]},{"id":"b","score":"60","why_fits":[]},{"score":5}] done', "no json"]
-    rows = _literal(spark, [(a,) for a in answers], "answer string").select(F.explode(funnel_ops.decode_response(F.col("answer"))).alias("x"))
-    return rows.select("x.id", F.col("x.score").cast("int").alias("score"), F.array_join("x.why_fits", ",").alias("why_fits"))
-
-
-ERRORS = [("HTTP 401 unauthorized", "dead"), ("status 429", "retry"), ("503 service", "retry"), ("timeout", "other")]
-
-
-@query("SELECT message, kind FROM " + _values(ERRORS, "message, kind"))
-def failover_matrix(spark, sf_dir):
-    return _literal(spark, [(m,) for m, _ in ERRORS], "message string").select("message", funnel_ops.error_class(F.col("message")).alias("kind"))
-
-
 @query(pack_sql(PACK, TURNS_SQL) + "SELECT id, role, score, passed_gate, recommend FROM best")
 def stream_funnel(spark, sf_dir):
     """Conversations as a stream of postings, triaged against state that grows; rows are the verdicts of all batches."""
@@ -641,3 +561,6 @@ def stream_funnel(spark, sf_dir):
 def _is_folder(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+from winnow import rule_queries  # noqa: E402, F401  registers its queries
