@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -57,3 +59,55 @@ def digest(items: DataFrame, now, days: int = 7, n: int = 8) -> DataFrame:
     # struct order puts a null date first; its maximum is the newest dated row
     one = fresh.groupBy("link").agg(F.max(F.struct("when", "feed", "title")).alias("x")).select("x.*", "link")
     return one.orderBy(F.desc_nulls_last("when"), "link").limit(n)
+
+
+# --- one scan for all reports of a verdict table ---
+
+#: Scores are whole numbers from 0 to 100.
+SCORES = 101
+
+
+def summary(best: DataFrame, reason: Column | None = None) -> DataFrame:
+    """Best verdicts -> a small table of counts by source, passed, recommended, score and first reason: one combining
+    aggregate, after which every report reads at most sources x reasons x SCORES rows. Tables of this form can be added up."""
+    first = F.when(~F.col("passed_gate"), F.get("reasons", F.lit(0))) if reason is None else reason
+    return best.groupBy("source", "passed_gate", "recommend", "score", first.alias("reason")).agg(F.count("*").alias("n"))
+
+
+def merged(*summaries: DataFrame) -> DataFrame:
+    """One summary of several, of runs or days."""
+    rows = reduce(DataFrame.unionByName, summaries)
+    return rows.groupBy("source", "passed_gate", "recommend", "score", "reason").agg(F.sum("n").alias("n"))
+
+
+def histogram(which: Column) -> Column:
+    """An aggregate: the counts of the scores from 0 on, as an array."""
+    return F.array(*[F.coalesce(F.sum(F.when(which & (F.col("score") == s), F.col("n"))), F.lit(0)) for s in range(SCORES)])
+
+
+def told(summed: DataFrame, levels: tuple[int, ...] = (55, 50, 45, 40)) -> DataFrame:
+    """One row of all reports: totals, exact least, median and most of the passed, cutoffs and counts by ten."""
+    n, passed = F.col("n"), F.col("passed_gate")
+    sums = summed.agg(
+        histogram(F.lit(True)).alias("all"), histogram(passed).alias("h"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+        F.coalesce(F.sum(F.when(passed, n)), F.lit(0)).alias("passed"), F.coalesce(F.sum(F.when(F.col("recommend"), n)), F.lit(0)).alias("recommended"),
+    )
+    # Scores come after one another: the k-th lowest is the first score whose running count reaches k.
+    upto = F.transform(F.sequence(F.lit(1), F.lit(SCORES)), lambda i: F.aggregate(F.slice("h", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x))
+    rows = sums.withColumn("_upto", upto)
+    nth = lambda k: F.array_position(F.transform("_upto", lambda x: x >= k), True) - 1
+    some = F.col("passed") > 0
+    low, high = nth(F.floor((F.col("passed") + 1) / 2)), nth(F.floor((F.col("passed") + 2) / 2))
+    above = lambda x: F.aggregate(F.slice("all", x + 1, SCORES), F.lit(0).cast("long"), lambda a, y: a + y)
+    band = lambda lo: F.aggregate(F.slice("all", lo + 1, 10), F.lit(0).cast("long"), lambda a, y: a + y)
+    return rows.select(
+        "total", "passed", "recommended", F.when(some, nth(F.lit(1))).cast("int").alias("least"), F.when(some, (low + high) / 2).alias("median"), F.when(some, nth(F.col("passed"))).cast("int").alias("most"),
+        *[above(x).alias(f"at_least_{x}") for x in levels], F.array(*[band(lo) for lo in range(0, SCORES, 10)]).alias("by_ten"),
+    )
+
+
+def observed(best: DataFrame, name: str = "funnel") -> tuple[DataFrame, Observation]:
+    """The table with counters that are filled by whatever writes it, without a scan of their own."""
+    o = Observation(name)
+    seen = best.observe(o, F.count(F.lit(1)).alias("total"), F.count_if("passed_gate").alias("passed"), F.count_if("recommend").alias("recommended"), F.max("score").alias("most"))
+    return seen, o

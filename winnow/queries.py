@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from winnow.functions import patterns, spans, terms
 from winnow.functions import html as hx
 from winnow.functions import text as tx
-from winnow.operators import cards, funnel_ops, gates, reports, score, state
+from winnow.operators import cards, catalog, funnel_ops, reports, score, state
 from winnow.plans.rules import RulePack, demo_pack
 from winnow.schema import conform
 from winnow.sources import boards, pages
@@ -205,6 +205,16 @@ def funnel_totals(spark, sf_dir):
     return reports.totals(_best(spark, sf_dir))
 
 
+@query(RULES + "SELECT count(*) AS total, count(*) FILTER (WHERE passed_gate) AS passed, count(*) FILTER (WHERE recommend) AS recommended, min(score) FILTER (WHERE passed_gate) AS least, median(score) FILTER (WHERE passed_gate) AS median, max(score) FILTER (WHERE passed_gate) AS most, "
+       + ", ".join(f"count(*) FILTER (WHERE score >= {x}) AS at_least_{x}" for x in (55, 50, 45, 40)) + ", concat_ws(',', " + ", ".join(f"count(*) FILTER (WHERE score // 10 = {x})" for x in range(11)) + ") AS by_ten FROM best")
+def one_scan_report(spark, sf_dir):
+    """All reports of scores from one scan; the summaries of two halves are added up on the way."""
+    best = _best(spark, sf_dir).select("id", "source", "passed_gate", "recommend", "score", "reasons")
+    half = F.col("id").cast("long") % 2
+    told = reports.told(reports.merged(reports.summary(best.where(half == 0)), reports.summary(best.where(half == 1))))
+    return told.withColumn("by_ten", F.array_join(F.transform("by_ten", lambda x: x.cast("string")), ","))
+
+
 @query(f"WITH {POSTINGS_SQL} SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE trim(coalesce(description, '')) = '') AS BIGINT) AS empty FROM p GROUP BY source")
 def per_source_counts(spark, sf_dir):
     return reports.per_source(postings(spark, sf_dir))
@@ -241,6 +251,36 @@ def hits_list(spark, sf_dir):
     return found.select("id", F.size("h").alias("n"), F.array_join("h", ",").alias("hits"))
 
 
+_TERMS_SQL = """w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) AS i FROM benchmark),
+g AS (SELECT word, lead(word) OVER o AS next, lead(word, 2) OVER o AS third FROM w WINDOW o AS (PARTITION BY item_id ORDER BY i)),
+terms AS (SELECT DISTINCT unnest([word, left(word, 4) || '*', word || ' ' || next, word || ' ' || next || ' ' || third, word || '.']) AS term FROM g),
+t AS MATERIALIZED (SELECT doc_id AS id, lower(text) AS text, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+')) AS words FROM documents),
+k AS (SELECT id, unnest(words) AS word FROM t),
+found AS (
+  SELECT id, term FROM k JOIN terms ON term = word
+  UNION SELECT id, term FROM k JOIN terms ON term = left(word, 4) || '*'
+  UNION SELECT id, term FROM k JOIN terms ON length(word) < 4 AND term = word || '*'
+  UNION SELECT id, term FROM k JOIN terms ON length(term) = 4 AND term = left(word, 3) || '*'
+  UNION SELECT id, term FROM k JOIN terms ON length(term) = 3 AND term = left(word, 2) || '*'
+  UNION SELECT id, term FROM k JOIN terms ON length(term) = 2 AND term = left(word, 1) || '*'
+  UNION SELECT id, term FROM t JOIN terms ON regexp_matches(term, '[ .]') AND contains(text, term)
+)"""
+
+
+@query(f"""WITH {_TERMS_SQL} SELECT t.id, CAST(count(term) AS BIGINT) AS n, md5(coalesce(string_agg(term, ',' ORDER BY term), '')) AS hits_md5
+FROM t LEFT JOIN found ON found.id = t.id GROUP BY t.id""")
+def term_catalogue(spark, sf_dir):
+    """All words, stems, pairs and triples of words and ends of sentences of the benchmark, some thousands, in all documents."""
+    words = F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda w: w)
+    rows = table(spark, sf_dir, "benchmark").select(words.alias("w")).select("w", F.posexplode("w").alias("i", "word"))
+    nxt, third = F.get("w", F.col("i") + 1), F.get("w", F.col("i") + 2)
+    forms = F.array(F.col("word"), F.concat(F.left("word", F.lit(4)), F.lit("*")), F.concat_ws(" ", "word", nxt), F.concat_ws(" ", "word", nxt, third), F.concat("word", F.lit(".")))
+    forms = F.array_compact(F.array(F.get(forms, 0), F.get(forms, 1), F.when(nxt.isNotNull(), F.get(forms, 2)), F.when(third.isNotNull(), F.get(forms, 3)), F.get(forms, 4)))
+    listed = rows.select(F.explode(forms).alias("term")).distinct().withColumn("ord", F.lit(0))
+    found = catalog.hits(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text")), listed)
+    return found.select("id", F.size("hits").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("hits"), ",")).alias("hits_md5"))
+
+
 @query(r"""WITH s AS (SELECT doc_id, text, regexp_extract_all(text, '\([0-9]+\)') AS m, regexp_split_to_array(text, '\([0-9]+\)') AS g FROM documents),
 x AS (SELECT doc_id, text, unnest(m) AS m1, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda q: length(q))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda q: length(q))), 0))) AS "at" FROM s WHERE len(m) > 0)
 SELECT doc_id, CAST("at" AS INT) AS "at", m1 AS number, substr(text, CAST(greatest("at" - 20, 0) AS BIGINT) + 1, CAST("at" + length(m1) + 20 - greatest("at" - 20, 0) AS BIGINT)) AS around FROM x""")
@@ -558,6 +598,20 @@ def stream_funnel(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").select("id", "role", "score", "passed_gate", "recommend")
 
 
+@query("SELECT DISTINCT CAST(user_id AS BIGINT) AS user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def stream_first_of_day(spark, sf_dir):
+    """Events as a stream: one of a user, kind and day, by keyed state that expires."""
+    import uuid
+
+    from winnow.streaming import expiring
+
+    base, source = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}", f"{sf_dir}/events.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source if _is_folder(spark, source) else f"{sf_dir}/events*.parquet")
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    expiring.run(rows, ["user_id", "event_type"], "ts", f"{base}/out", f"{base}/offsets").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(F.col("user_id").cast("long").alias("user_id"), "event_type", F.date_format("span_start", "yyyy-MM-dd").alias("day"))
+
+
 def _is_folder(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
