@@ -309,10 +309,10 @@ def across(members: DataFrame, sigs: DataFrame, comp: DataFrame, docs: DataFrame
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept, a row per row of docs."""
     prints = stash(fingerprints(docs, plan), "prints")
-    real = prints.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
-    sets = stash(real.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep")), "sets")
-    on = (real.n_shingles == sets.n_shingles) & (real.h1 == sets.h1) & (real.h2 == sets.h2)
-    copies = stash(real.join(sets, on).select("doc_id", "rep", "sig"), "copies")
+    real = prints.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "sig", F.struct("n_shingles", "h1", "h2").alias("set"))
+    # The sets of most copies are looked up apart, so that no task meets all copies of one text.
+    sets = stash(real.groupBy(F.col("set").alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")), "sets")
+    copies = stash(lookup(real, "set", sets).select("doc_id", F.col("_rep").alias("rep"), "sig"), "copies")
     reps = stash(copies.where("doc_id = rep").select("doc_id", "sig").dropDuplicates(["doc_id", "sig"]), "reps")
     # A doc_id of several texts links their sets.
     same_id = copies.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
