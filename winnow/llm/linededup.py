@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import stash, two_hashes
+from winnow.llm.common import lookup, stash, two_hashes
 
 #: Fixed: ASCII white space, \x20 and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -43,12 +43,14 @@ def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def repeated_keys(lines: DataFrame, min_docs: int) -> DataFrame:
-    """Hashes held by at least min_docs documents with the smallest doc_id; counts are combined before the shuffle."""
+    """Hashes held by at least min_docs documents (as key) with n, their lines or documents, and the smallest doc_id;
+    counts are combined before the shuffle."""
+    key = F.struct("h1", "h2").alias("key")
     if min_docs == 2:
-        found = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-        return found.where("first_doc < last_doc").drop("last_doc")
+        found = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+        return found.where("first_doc < last_doc").select(key, "n", "first_doc")
     pairs = lines.select("h1", "h2", "doc_id").distinct()
-    return pairs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where(F.col("n") >= min_docs).drop("n")
+    return pairs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where(F.col("n") >= min_docs).select(key, "n", "first_doc")
 
 
 def without(lines, drops):
@@ -68,11 +70,11 @@ def without(lines, drops):
 def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """docs with text cut as above, plus n_lines (before) and n_dropped, which replace columns of these names."""
     lines = stash(hashed_lines(docs, min_chars), "lines")
-    keys = repeated_keys(lines, min_docs)
+    keys = stash(repeated_keys(lines, min_docs), "line-keys")
     free = "_" * (2 + max(len(c) for c in docs.columns))  # before a name, it can't be a column of docs
     row, found, drops, split = (F.col(free + c) for c in ("row", "doc", "drops", "split"))
     dropped = (
-        lines.join(keys, ["h1", "h2"]).where(F.col("doc_id") > F.col("first_doc"))
+        lookup(lines.select("doc_id", "_row", "pos", F.struct("h1", "h2").alias("key")), "key", keys).where(F.col("doc_id") > F.col("_first_doc"))
         .groupBy(F.col("doc_id").alias(free + "doc"), F.col("_row").alias(free + "found")).agg(F.array_sort(F.collect_set("pos")).alias(free + "drops"))
     )
     rows = docs.withColumn(free + "row", F.xxhash64("text"))
