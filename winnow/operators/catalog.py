@@ -2,7 +2,7 @@
 
 Every term has an anchor: something that each text with that term has among its words (maximal runs of word characters).
 A whole-word term is its first word; a stem of one word is a prefix of a word; a phrase, which may begin and end inside of
-words, has a word of its own between two others, or a prefix of its last word, a suffix of its first one, or three
+words, has a word of its own between two others, or a prefix of its last word or a suffix of its first one, whichever is longer, or three
 characters of its only one. Texts give the words, and prefixes, suffixes and pieces of just the lengths that the index has;
 an equi-join finds candidates, and only those whose anchor leaves something open are verified, against their own pattern.
 
@@ -47,7 +47,7 @@ def index(terms: DataFrame) -> DataFrame:
         .when(bounded & (n == 1) & ends, F.when(F.col("word"), anchor("w", runs(0))).otherwise(anchor("p", runs(0))))
         .when(bounded | (~starts & ((n > 1) | ~ends)), anchor("w", runs(0)))
         .when((n > 2) | ((n == 2) & ~ends), anchor("w", runs(1)))
-        .when(n == 2, anchor("p", runs(1))).when(~starts, anchor("p", runs(0))).when(~ends, anchor("s", runs(0))).otherwise(anchor("g", F.left(runs(0), F.lit(GRAM)))),
+        .when((n == 2) & starts & (F.length(runs(0)) > F.length(runs(1))), anchor("s", runs(0))).when(n == 2, anchor("p", runs(1))).when(~starts, anchor("p", runs(0))).when(~ends, anchor("s", runs(0))).otherwise(anchor("g", F.left(runs(0), F.lit(GRAM)))),
     )
     sure = bounded & (n == 1) & starts & ends
     pattern = F.when(bounded, F.concat(F.lit(r"(?U)\b"), _quoted(F.col("body")), F.when(F.col("word"), r"\b").otherwise("")))
@@ -80,7 +80,9 @@ def hits(texts: DataFrame, terms: DataFrame, key: str = "id") -> DataFrame:
         raise ValueError(f"more than {ODD_TERMS} terms that no word can anchor")
 
     words = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(RUNS), F.lit(0)))
-    met = texts.select(key, F.explode(keys(words, lengths)).alias("_key")).join(anchored, "_key")
+    # A column of its own: named many times below, the words would else be looked for as often.
+    given = texts.select(key, words.alias("_words")).select(key, keys(F.col("_words"), lengths).alias("_keys"))
+    met = given.select(key, F.explode("_keys").alias("_key")).join(anchored, "_key")
     found = met.groupBy(key).agg(F.collect_set(F.struct("ord", "term", "sure", "pattern")).alias("_met"))
     rows = texts.select(key, "text").join(found, key, "left")
     text = F.col("text")

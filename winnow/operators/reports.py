@@ -67,17 +67,19 @@ def digest(items: DataFrame, now, days: int = 7, n: int = 8) -> DataFrame:
 SCORES = 101
 
 
-def summary(best: DataFrame, reason: Column | None = None) -> DataFrame:
-    """Best verdicts -> a small table of counts by source, passed, recommended, score and first reason: one combining
-    aggregate, after which every report reads at most sources x reasons x SCORES rows. Tables of this form can be added up."""
-    first = F.when(~F.col("passed_gate"), F.get("reasons", F.lit(0))) if reason is None else reason
-    return best.groupBy("source", "passed_gate", "recommend", "score", first.alias("reason")).agg(F.count("*").alias("n"))
+KEYS = ("source", "passed_gate", "recommend", "score")
+
+
+def summary(best: DataFrame) -> DataFrame:
+    """Best verdicts -> a small table of counts by source, passed, recommended and score: one combining aggregate, after
+    which every report reads at most sources x 2 x SCORES rows. Tables of this form can be added up."""
+    return best.groupBy(*KEYS).agg(F.count("*").alias("n"))
 
 
 def merged(*summaries: DataFrame) -> DataFrame:
     """One summary of several, of runs or days."""
     rows = reduce(DataFrame.unionByName, summaries)
-    return rows.groupBy("source", "passed_gate", "recommend", "score", "reason").agg(F.sum("n").alias("n"))
+    return rows.groupBy(*KEYS).agg(F.sum("n").alias("n"))
 
 
 def histogram(which: Column) -> Column:

@@ -208,10 +208,8 @@ def funnel_totals(spark, sf_dir):
 @query(RULES + "SELECT count(*) AS total, count(*) FILTER (WHERE passed_gate) AS passed, count(*) FILTER (WHERE recommend) AS recommended, min(score) FILTER (WHERE passed_gate) AS least, median(score) FILTER (WHERE passed_gate) AS median, max(score) FILTER (WHERE passed_gate) AS most, "
        + ", ".join(f"count(*) FILTER (WHERE score >= {x}) AS at_least_{x}" for x in (55, 50, 45, 40)) + ", concat_ws(',', " + ", ".join(f"count(*) FILTER (WHERE score // 10 = {x})" for x in range(11)) + ") AS by_ten FROM best")
 def one_scan_report(spark, sf_dir):
-    """All reports of scores from one scan; the summaries of two halves are added up on the way."""
-    best = _best(spark, sf_dir).select("id", "source", "passed_gate", "recommend", "score", "reasons")
-    half = F.col("id").cast("long") % 2
-    told = reports.told(reports.merged(reports.summary(best.where(half == 0)), reports.summary(best.where(half == 1))))
+    """All reports of scores from one scan."""
+    told = reports.told(reports.summary(_best(spark, sf_dir)))
     return told.withColumn("by_ten", F.array_join(F.transform("by_ten", lambda x: x.cast("string")), ","))
 
 
@@ -478,8 +476,8 @@ def seen_log(spark, sf_dir):
     from winnow.operators.log import SeenLog
 
     log = SeenLog(spark, f"{shared_root(spark)}/seen-{uuid.uuid4().hex}")
-    rows = lambda name: table(spark, sf_dir, name).select(F.col("doc_id").cast("string").alias("id"), F.lit("s").alias("source"), F.lit("").alias("title"), F.lit("").alias("url"), "*")
-    labels, now = rows("labels"), F.timestamp_seconds(F.lit(1))
+    rows = lambda name, *more: table(spark, sf_dir, name).select(F.col("doc_id").cast("string").alias("id"), F.lit("s").alias("source"), F.lit("").alias("title"), F.lit("").alias("url"), *more)
+    labels, now = rows("labels", "quality", "toxic"), F.timestamp_seconds(F.lit(1))
     log.mark(None, rows("documents"), "v1", now)
     log.mark(labels.where("quality = 1"), None, "v1", now)
     log.mark(None, labels, "v2", now)
