@@ -25,9 +25,9 @@ LANGUAGES = (
     "azerbaijani", "hebrew", "romanian", "bulgarian", "danish", "swedish", "norwegian", "finnish", "czech", "hungarian", "ukrainian", "belarusian",
 )
 LANGUAGE_STEMS = (
-    "польск", "немецк", "французск", "испанск", "китайск", "японск", "корейск", "арабск", "итальянск", "турецк", "греческ", "вьетнамск", "сербск", "индонезийск",
-    "тайск", "казахск", "грузинск", "армянск", "узбекск", "украинск", "белорусск", "азербайджанск", "иврит", "румынск", "болгарск", "датск", "шведск", "норвежск",
-    "финск", "чешск", "венгерск", "голландск", "нидерландск",
+    r"польск\w*", r"немецк\w*", r"французск\w*", r"испанск\w*", r"китайск\w*", r"японск\w*", r"корейск\w*", r"арабск\w*", r"итальянск\w*", r"турецк\w*", r"греческ\w*", r"вьетнамск\w*", r"сербск\w*", r"индонезийск\w*",
+    r"тайск\w*", r"казахск\w*", r"грузинск\w*", r"армянск\w*", r"узбекск\w*", r"украинск\w*", r"белорусск\w*", r"азербайджанск\w*", r"иврит\w*", r"румынск\w*", r"болгарск\w*", r"датск\w*", r"шведск\w*", r"норвежск\w*",
+    r"финск\w*", r"чешск\w*", r"венгерск\w*", r"голландск\w*", r"нидерландск\w*",
 )
 
 # Patterns.
@@ -128,4 +128,4 @@ def union(forms: tuple[str, ...] | str) -> str:
 
 
 def language() -> str:
-    return FLAGS + r"\b(?:" + "|".join([*LANGUAGES, *(s + r"\w*" for s in LANGUAGE_STEMS)]) + r")\b"
+    return FLAGS + r"\b(?:" + "|".join(LANGUAGES + LANGUAGE_STEMS) + r")\b"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from winnow.schema import DESCRIPTION_CHARS
 
 # Sampling lengths, marks, secret forms, remote words, formats of work, entities, headers, markers.
-HEAD_CHARS, TAIL_CHARS, MIDDLE = 700, 800, "\n[…middle left out…]\n"
+HEAD_CHARS, TAIL_CHARS, MIDDLE = 700, 800, "\n[…middle left out…]\n"  # the mark's wording is a choice of this library
 MASK = "***REDACTED***"
 SECRETS = (
     (r"/bot\d{6,}:[A-Za-z0-9_-]{20,}", "/bot" + MASK),

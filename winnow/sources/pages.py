@@ -1,4 +1,7 @@
-"""Sources in HTML and XML: cards and links by patterns, feeds by the XML functions."""
+"""Sources in HTML and XML: cards and links by patterns, feeds by the XML functions.
+
+Names of classes and attributes in the patterns are fixed values: they must be those of the sites' markup.
+"""
 
 from __future__ import annotations
 
