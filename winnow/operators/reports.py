@@ -82,18 +82,19 @@ def merged(*summaries: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.sum("n").alias("n"))
 
 
-def histogram(which: Column) -> Column:
-    """An aggregate: the counts of the scores from 0 on, as an array."""
-    return F.array(*[F.coalesce(F.sum(F.when(which & (F.col("score") == s), F.col("n"))), F.lit(0)) for s in range(SCORES)])
+def histogram(counts: Column) -> Column:
+    """The counts of the scores from 0 on, as an array, from a map of those that occur."""
+    return F.transform(F.sequence(F.lit(0), F.lit(SCORES - 1)), lambda s: F.coalesce(F.try_element_at(counts, s), F.lit(0).cast("long")))
 
 
 def told(summed: DataFrame, levels: tuple[int, ...] = (55, 50, 45, 40)) -> DataFrame:
     """One row of all reports: totals, exact least, median and most of the passed, cutoffs and counts by ten."""
     n, passed = F.col("n"), F.col("passed_gate")
-    sums = summed.agg(
-        histogram(F.lit(True)).alias("all"), histogram(passed).alias("h"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
-        F.coalesce(F.sum(F.when(passed, n)), F.lit(0)).alias("passed"), F.coalesce(F.sum(F.when(F.col("recommend"), n)), F.lit(0)).alias("recommended"),
-    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    each = summed.groupBy("score").agg(F.sum("n").alias("a"), total(F.when(passed, n)).alias("p"), total(F.when(F.col("recommend"), n)).alias("r"))
+    by_score = lambda c: F.map_from_entries(F.collect_list(F.struct("score", c)))  # noqa: E731  at most SCORES of them
+    sums = each.agg(by_score("a").alias("a_of"), by_score("p").alias("p_of"), total("a").alias("total"), total("p").alias("passed"), total("r").alias("recommended"))
+    sums = sums.withColumns({"all": histogram(F.col("a_of")), "h": histogram(F.col("p_of"))})
     # Scores come after one another: the k-th lowest is the first score whose running count reaches k.
     upto = F.transform(F.sequence(F.lit(1), F.lit(SCORES)), lambda i: F.aggregate(F.slice("h", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x))
     rows = sums.withColumn("_upto", upto)
