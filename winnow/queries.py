@@ -610,6 +610,39 @@ def stream_first_of_day(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").select(F.col("user_id").cast("long").alias("user_id"), "event_type", F.date_format("span_start", "yyyy-MM-dd").alias("day"))
 
 
+DUMP_SQL = """
+SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 7 <> 0 THEN length(text) END AS chars, CASE WHEN doc_id % 7 <> 0 THEN md5(text) END AS text_md5,
+  CASE WHEN doc_id % 7 = 0 THEN 'not JSON' END AS error, n AS read_by
+FROM documents, (SELECT unnest(['batch', 'stream']) AS n)
+"""
+
+
+@query(DUMP_SQL)
+def payload_lines(spark, sf_dir):
+    """All documents as a dump of JSON lines, every seventh torn, read back as payloads in batch and as a stream: torn ones are
+    rejects, of which the id is still told."""
+    import uuid
+
+    from winnow.sources import payloads, registry
+
+    base = f"{shared_root(spark)}/payloads-{uuid.uuid4().hex}"
+    text = F.coalesce("text", F.lit(""))
+    line = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), text.alias("description")))
+    torn = F.when(F.col("doc_id") % 7 == 0, F.left(line, F.length(line) - 1)).otherwise(line)
+    table(spark, sf_dir, "documents").select(torn.alias("value")).write.text(f"{base}/dump")
+
+    def told(rows: DataFrame, by: str) -> DataFrame:
+        good, bad = registry.lines(rows)
+        good = good.select("id", F.length("description").alias("chars"), F.md5("description").alias("text_md5"), F.lit(None).cast("string").alias("error"))
+        bad = bad.select(F.regexp_extract("body", r'^\{"id":"([^"]*)"', 1).alias("id"), F.lit(None).cast("int").alias("chars"), F.lit(None).cast("string").alias("text_md5"), F.left("error", F.lit(8)).alias("error"))
+        return good.unionByName(bad).withColumn("read_by", F.lit(by))
+
+    stream = payloads.payload_stream(spark, f"{base}/dump", f"{base}/index", form="lines", pieceBytes=32 << 20)
+    stream.writeStream.option("checkpointLocation", f"{base}/offsets").trigger(availableNow=True).start(f"{base}/streamed", format="parquet").awaitTermination()
+    batch = payloads.payloads(spark, f"{base}/dump", form="lines", pieceBytes=32 << 20)
+    return told(batch, "batch").unionByName(told(spark.read.parquet(f"{base}/streamed"), "stream"))
+
+
 def _is_folder(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()

@@ -8,9 +8,11 @@ from dataclasses import dataclass
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from winnow.schema import POSTING
+from winnow.schema import POSTING, conform
 from winnow.sources import boards, pages
+from winnow.sources.payloads import payloads as read_payloads
 
 log = logging.getLogger(__name__)
 
@@ -19,20 +21,26 @@ log = logging.getLogger(__name__)
 class Source:
     read: Callable[[DataFrame], DataFrame]
     enabled: bool = True
+    form: str = "html"
+    #: JSON path of the array that holds a payload's items.
+    items: str | None = None
 
 
+#: What a reader takes besides the body, from the `key=value` parts of a payload's path.
+ATTRIBUTES = {"company": "string", "channel": "string", "query": "string", "by_date": "boolean", "rank": "int", "page": "int"}
+
 SOURCES: dict[str, Source] = {
-    "hh": Source(pages.hh_feed), "remoteok": Source(boards.remoteok), "cryptojoblist": Source(boards.cryptojobslist), "laborx": Source(pages.laborx),
+    "hh": Source(pages.hh_feed, form="xml"), "remoteok": Source(boards.remoteok, form="json", items="$"), "cryptojoblist": Source(boards.cryptojobslist), "laborx": Source(pages.laborx),
     "remote3": Source(pages.remote3),
-    "greenhouse": Source(boards.greenhouse), "ashby": Source(boards.ashby), "lever": Source(boards.lever), "linkedin": Source(pages.linkedin), "habr": Source(pages.habr),
+    "greenhouse": Source(boards.greenhouse, form="json", items="$.jobs"), "ashby": Source(boards.ashby, form="json", items="$.jobs"), "lever": Source(boards.lever, form="json", items="$"), "linkedin": Source(pages.linkedin), "habr": Source(pages.habr),
     "telegram": Source(lambda p: pages.channel_posts(pages.channel_pages(p))), "web3career": Source(pages.web3career, False),
     "wellfound": Source(partial(pages.link_board, prefix="wf_", site="wellfound.com", base="https://wellfound.com", holds="/jobs/", least_title=6), False),
     "contra": Source(partial(pages.link_board, prefix="ctr_", site="contra.com", base="https://contra.com", holds="/opportunity/", least_title=6), False),
 }
 
 
-def register(name: str, read: Callable[[DataFrame], DataFrame], enabled: bool = True) -> None:
-    SOURCES[name] = Source(read, enabled)
+def register(name: str, read: Callable[[DataFrame], DataFrame], enabled: bool = True, form: str = "html", items: str | None = None) -> None:
+    SOURCES[name] = Source(read, enabled, form, items)
 
 
 def read_all(spark: SparkSession, payloads: dict[str, DataFrame], enabled: dict[str, bool] | None = None) -> DataFrame:
@@ -49,10 +57,30 @@ def read_all(spark: SparkSession, payloads: dict[str, DataFrame], enabled: dict[
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], POSTING)
 
 
+def read_folder(spark: SparkSession, folder: str, enabled: dict[str, bool] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings and rejects of `folder/source=<name>/[company=<key>/...]<payload>`: payloads that can't be decoded, or hold no
+    array of items where their source has one, are rejects (source, path, at, error, body)."""
+    told = {}
+    for name in (n for n, s in SOURCES.items() if (enabled or {}).get(n, s.enabled)):
+        rows = read_payloads(spark, f"{folder.rstrip('/')}/source={name}", form=SOURCES[name].form).withColumn("source", F.lit(name))
+        if items := SOURCES[name].items:
+            held = F.col("body") if items == "$" else F.get_json_object("body", items)
+            rows = rows.withColumn("error", F.coalesce("error", F.when(F.json_array_length(held).isNull(), F.lit(f"no array at {items}"))))
+        told[name] = rows
+    good = {n: r.where("error is null").select("body", *[F.col("attrs")[k].try_cast(t).alias(k) for k, t in ATTRIBUTES.items()]) for n, r in told.items()}
+    rejects = [r.where("error is not null").select("source", "path", "at", "error", "body") for r in told.values()]
+    none = spark.createDataFrame([], "source string, path string, at long, error string, body string")
+    return read_all(spark, good, enabled), reduce(DataFrame.unionByName, rejects, none)
+
+
+def lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Payload rows of JSON lines -> postings and rejects; takes a stream as well."""
+    j = F.from_json("body", "id string, title string, company string, description string, source string, url string")
+    return conform(rows.where("error is null").select(j.alias("j")).select("j.*")), rows.where("error is not null").select("path", "at", "error", "body")
+
+
 def jsonl(spark: SparkSession, path: str) -> DataFrame:
     """A dump of postings, one JSON object per line; only \\n ends a line."""
-    from winnow.schema import conform
-
     return conform(spark.read.schema("id string, title string, company string, description string, source string, url string").option("lineSep", "\n").json(path))
 
 
@@ -62,6 +90,4 @@ def dump(postings: DataFrame, path: str) -> None:
 
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     return spark.read.text(path).select(F.trim("value").alias("id")).where("id <> ''")
