@@ -67,13 +67,14 @@ def test_folder_of_sources(spark, tmp_path):
     put(tmp_path, "source=greenhouse/_tmp/e.json", "half")
     put(tmp_path, "source=lever/company=zed/a.json", json.dumps([{"id": "9", "text": "Lead"}]))
     put(tmp_path, "source=remote3/p.html", b"\xff\xfe")
+    put(tmp_path, "z.json", "{}")
     put(tmp_path, "source=contra/p.html", '<a href="/opportunity/a1">Great work</a>')
-    found, rejects = registry.read_folder(spark, f"file://{tmp_path}")
+    found, rejects = registry.read_folder(spark, f"file://{tmp_path}", f"file://{tmp_path}/_landed")
     assert sorted((r.id, r.company) for r in found.collect()) == [("gh_1", "acme"), ("lv_9", "zed")]  # contra is off by default
     bad = {(r.source, r.path.rsplit("/", 1)[-1]): r.error for r in rejects.collect()}
     assert bad.pop(("greenhouse", "b.json")).startswith("not JSON")
-    assert bad == {("greenhouse", "c.json"): "no array at $.jobs", ("remote3", "p.html"): "not UTF-8 at byte 0"}
-    assert registry.read_folder(spark, f"file://{tmp_path}/absent")[0].count() == 0
+    assert bad == {("greenhouse", "c.json"): "no array of items", ("", "z.json"): "unknown source", ("remote3", "p.html"): "not UTF-8 at byte 0"}
+    assert registry.read_folder(spark, f"file://{tmp_path}/absent", f"file://{tmp_path}/_none")[0].count() == 0
 
 
 def test_stream_reads_each_file_once(spark, tmp_path):

@@ -5,7 +5,7 @@ the path), body, and error, which is null for a payload that can be decoded. Not
 empty, isn't UTF-8 or isn't of its form is a row with an error, its body as far as it can be shown. Blank lines of JSON
 lines hold no payload.
 
-Options: `form` (json, lines, xml, html; else by the file's ending), `pieceBytes` (128 MB: files of lines are cut into pieces
+Options: `form` (json, lines, xml, html; else by the file's ending), `forms` (a JSON object: form by the path's `source`), `pieceBytes` (128 MB: files of lines are cut into pieces
 of this size, a line belongs to the piece in which it starts; small files share a task up to it, at most `pieceFiles` of
 them). Names that begin with `_` or `.` are left out, a folder that doesn't exist gives no row. Files are read where
 Spark runs, through the file systems of Arrow, so the folder must be one that all executors see; an error in reading
@@ -19,11 +19,13 @@ when it appears and must not change.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from xml.parsers import expat
 
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -57,8 +59,8 @@ def _listed(folder: str) -> list[tuple[str, int]]:
     return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and not hidden(f.path))
 
 
-def form_of(path: str, form: str | None) -> str:
-    return form or FORMS.get(path.rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower(), "html")
+def form_of(path: str, form: str | None, forms: dict[str, str]) -> str:
+    return forms.get(attributes(path).get("source")) or form or FORMS.get(path.rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower(), "html")
 
 
 def attributes(path: str) -> dict[str, str]:
@@ -121,7 +123,7 @@ def _payloads(system: fs.FileSystem, piece: Piece, form: str) -> Iterator[tuple[
 class _Reading:
     def __init__(self, options):
         self.folder = options["path"]
-        self.form = options.get("form")
+        self.form, self.forms = options.get("form"), json.loads(options.get("forms", "{}"))
         self.bytes, self.files = int(options.get("pieceBytes", 128 << 20)), int(options.get("pieceFiles", 1000))
 
     def dealt(self, files: list[tuple[str, int]]) -> list[Pieces]:
@@ -129,7 +131,7 @@ class _Reading:
         tasks: list[list[Piece]] = []
         room = 0
         for path, size in files:
-            step = self.bytes if form_of(path, self.form) == "lines" else max(size, 1)
+            step = self.bytes if form_of(path, self.form, self.forms) == "lines" else max(size, 1)
             for lo in range(0, max(size, 1), step):
                 piece = Piece(path, lo, min(lo + step, size))
                 if not tasks or piece.end - lo > room or len(tasks[-1]) == self.files:
@@ -142,7 +144,7 @@ class _Reading:
     def read(self, partition: Pieces) -> Iterator[tuple]:
         system, _ = _open(self.folder)
         for piece in partition.value:
-            form, attrs = form_of(piece.path, self.form), attributes(piece.path)
+            form, attrs = form_of(piece.path, self.form, self.forms), attributes(piece.path)
             for at, raw in _payloads(system, piece, form):
                 yield piece.path, at, attrs, raw.decode("utf-8", "replace"), fault(form, raw)
 
@@ -201,11 +203,18 @@ class PayloadSource(DataSource):
         return StreamReader(self.options)
 
 
-def payloads(spark: SparkSession, folder: str, **options) -> DataFrame:
+def _register(spark: SparkSession) -> None:
+    """The source goes to Spark's workers by value: the one that plans a stream doesn't get the session's code archives."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(PayloadSource)
+    cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
+
+
+def payloads(spark: SparkSession, folder: str, **options) -> DataFrame:
+    _register(spark)
     return spark.read.format("payloads").options(**options).load(folder)
 
 
 def payload_stream(spark: SparkSession, folder: str, index: str, **options) -> DataFrame:
-    spark.dataSource.register(PayloadSource)
+    _register(spark)
     return spark.readStream.format("payloads").options(index=index, **options).load(folder)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -57,20 +58,21 @@ def read_all(spark: SparkSession, payloads: dict[str, DataFrame], enabled: dict[
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], POSTING)
 
 
-def read_folder(spark: SparkSession, folder: str, enabled: dict[str, bool] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Postings and rejects of `folder/source=<name>/[company=<key>/...]<payload>`: payloads that can't be decoded, or hold no
-    array of items where their source has one, are rejects (source, path, at, error, body)."""
-    told = {}
-    for name in (n for n, s in SOURCES.items() if (enabled or {}).get(n, s.enabled)):
-        rows = read_payloads(spark, f"{folder.rstrip('/')}/source={name}", form=SOURCES[name].form).withColumn("source", F.lit(name))
-        if items := SOURCES[name].items:
-            held = F.col("body") if items == "$" else F.get_json_object("body", items)
-            rows = rows.withColumn("error", F.coalesce("error", F.when(F.json_array_length(held).isNull(), F.lit(f"no array at {items}"))))
-        told[name] = rows
-    good = {n: r.where("error is null").select("body", *[F.col("attrs")[k].try_cast(t).alias(k) for k, t in ATTRIBUTES.items()]) for n, r in told.items()}
-    rejects = [r.where("error is not null").select("source", "path", "at", "error", "body") for r in told.values()]
-    none = spark.createDataFrame([], "source string, path string, at long, error string, body string")
-    return read_all(spark, good, enabled), reduce(DataFrame.unionByName, rejects, none)
+def read_folder(spark: SparkSession, folder: str, landed: str, enabled: dict[str, bool] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings and rejects of `folder/source=<name>/[company=<key>/...]<payload>`.
+
+    Payloads are read once and land in the table `landed` by source, of which each reader takes its own part. Rejects (source,
+    path, at, error, body) are those that can't be decoded, hold no array of items where their source has one, or are of
+    no known source. Sources that are off land as well."""
+    rows = read_payloads(spark, folder, forms=json.dumps({n: s.form for n, s in SOURCES.items()})).withColumn("source", F.coalesce(F.col("attrs")["source"], F.lit("")))
+    held = F.coalesce(*[F.when(F.col("source") == n, F.json_array_length(F.col("body") if s.items == "$" else F.get_json_object("body", s.items))) for n, s in SOURCES.items() if s.items])
+    lost = F.when(~F.col("source").isin(*SOURCES), "unknown source").when(F.col("source").isin(*[n for n, s in SOURCES.items() if s.items]) & held.isNull(), "no array of items")
+    rows = rows.withColumn("error", F.coalesce("error", lost))
+    rows.write.mode("overwrite").partitionBy("source").parquet(landed)
+    rows = spark.read.schema(rows.schema).parquet(landed)
+    extra = [F.col("attrs")[k].try_cast(t).alias(k) for k, t in ATTRIBUTES.items()]
+    good = {n: rows.where((F.col("source") == n) & F.col("error").isNull()).select("body", *extra) for n in SOURCES}
+    return read_all(spark, good, enabled), rows.where("error is not null").select(F.coalesce("source", F.lit("")).alias("source"), "path", "at", "error", "body")
 
 
 def lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
