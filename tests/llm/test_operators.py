@@ -115,6 +115,73 @@ def test_op3_odd_docs(spark):
     assert langid.identify(empty, langid.fit(langid.training_rows(empty))).count() == 0
 
 
+def plain_scorer(train, least=2):
+    """Counts as dictionaries, one word at a time: known words, else the first order with a known n-gram, else nothing."""
+    import math
+    import re
+
+    words, grams, langs = Counter(), Counter(), sorted({lang for _, lang in train})
+    split = lambda text: re.findall(r"[^\W\d_]+", text.lower())
+    pieces = lambda w, k: [f"<{w}>"[i : i + k] for i in range(len(w) + 3 - k)]
+    for text, lang in train:
+        for w in split(text):
+            words[lang, w] += 1
+            grams.update((k, lang, g) for k in (5, 4, 3, 2, 1) for g in pieces(w, k))
+
+    def logs(counts):
+        known = {k: n for k, n in counts.items() if n >= least}
+        keys = {w for _, w in known}
+        totals = {x: sum(n for (lang, _), n in known.items() if lang == x) + 0.5 * len(keys) for x in langs}
+        return keys, lambda w, x: math.log((known.get((x, w), 0) + 0.5) / max(totals[x], 0.5))
+
+    word_logs = logs(words)
+    gram_logs = {k: logs({(lang, g): n for (size, lang, g), n in grams.items() if size == k}) for k in (5, 4, 3, 2, 1)}
+
+    def score(text):
+        total, n = dict.fromkeys(langs, 0.0), 0
+        for w in split(text or ""):
+            if not any(c.isalpha() for c in w):
+                continue
+            n += 1
+            if w in word_logs[0]:
+                told = {x: word_logs[1](w, x) for x in langs}
+            else:
+                for k in gram_logs:
+                    if hits := [g for g in pieces(w, k) if g in gram_logs[k][0]]:
+                        told = {x: sum(gram_logs[k][1](g, x) for g in hits) / len(hits) for x in langs}
+                        break
+                else:
+                    told = dict.fromkeys(langs, 0.0)
+            for x in langs:
+                total[x] += told[x]
+        if not n or not langs:
+            return "und", 0.0
+        best = max(langs, key=lambda x: total[x])
+        return best, 1 / sum(math.exp((total[x] - total[best]) / math.sqrt(n)) for x in langs)
+
+    return score
+
+
+def test_op3_by_brute_force(spark, sf, docs):
+    """Label and score of every document, by a plain scorer that learns from the same rows."""
+    learnt = docs[docs.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 != 2) & docs.lang.notna() & docs.text.notna()]
+    plain = plain_scorer(list(zip(learnt.text, learnt.lang, strict=True)))
+    found = queries.op3_language_id(spark, sf).toPandas().merge(docs[["doc_id", "text"]], on="doc_id")
+    assert len(found) == len(docs)
+    for r in found.itertuples():
+        lang, score = plain(r.text)
+        assert (r.lang_pred, r.score) == (lang, pytest.approx(score, rel=1e-6)), r.doc_id
+
+
+def test_op3_ties_and_clashing_names(spark):
+    """Equal evidence goes to the language that sorts first; words seen once back off; columns of the result's names go."""
+    rows = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("same words same words", "zz"), ("same words same words", "aa")])], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "same words", "x", 9), (2, "qqq 東", "x", 9)], "doc_id long, text string, lang_pred string, score int")
+    found = langid.identify(asked, langid.fit(rows)).collect()
+    assert found[0].asDict() == {"doc_id": 1, "text": "same words", "lang_pred": "aa", "score": 0.5}
+    assert (found[1].lang_pred, found[1].score) == ("aa", 0.5)
+
+
 def test_op3_many_languages(spark):
     """All of 300 languages are learnt, each of words of its own and one that all share."""
     word = lambda i, k: "".join(chr(97 + int(x)) for x in f"{i:03d}") + "klmnop"[k]

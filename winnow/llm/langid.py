@@ -5,10 +5,11 @@ frequency in each language. An unknown word backs off to its character n-grams,
 the first order with a known n-gram decides, with the mean log frequency of its known n-grams; a word
 without any adds nothing.
 
-The model is fitted on a bounded sample: about `docs_per_lang` labelled documents of each language, chosen by
-a hash of doc_id (whole texts), of which the `words` most frequent words and the `grams` most frequent
-n-grams of each order and language are kept. So its size grows with the number of languages only; every
-language is learnt, and of each word or n-gram only the languages in which it was seen are stored.
+The model is fitted on a bounded sample: about `docs_per_lang` labelled documents of each language and about
+`chars_per_lang` characters, chosen by a hash of doc_id (whole texts). All words and n-grams that a language's sample
+holds `least` times or more are known; there is no cap on their number, which the sample bounds. So the model grows with
+the number of languages only; every language is learnt, and of each word or n-gram only the languages in which it was
+seen so often are stored.
 
 The score is the posterior of the best language after dividing the log odds by the square root of the number
 of tokens, which keeps it below 1 for short texts.
@@ -30,7 +31,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,20 +107,19 @@ def _log_rows(counts: list[tuple[str, str, int]], langs: list[str]) -> tuple[dic
     return at, Rows(np.log(0.5 / total), np.searchsorted(key[order], np.arange(len(at) + 1)), lang[order], np.log((n[order] + 0.5) / 0.5))
 
 
-def fit(labelled: DataFrame, docs_per_lang: int = 1500, words: int = 10_000, grams: int = 3_000) -> Model:
-    """labelled: doc_id, text, lang without nulls. Two passes: rows per language, then the sample's counts."""
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def fit(labelled: DataFrame, docs_per_lang: int = 1500, chars_per_lang: int = 30_000_000, least: int = 2) -> Model:
+    """labelled: doc_id, text, lang without nulls. Two passes: rows and characters per language, then the sample's counts."""
+    sizes = {r.lang: max(r.n / docs_per_lang, r.chars / chars_per_lang) for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], {}, {}, None, {})
-    shares = labelled.sparkSession.createDataFrame([(x, min(1.0, docs_per_lang / n)) for x, n in sizes.items()], "lang string, share double")
+    shares = labelled.sparkSession.createDataFrame([(x, 1 / max(1.0, n)) for x, n in sizes.items()], "lang string, share double")
     picked = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     counted = picked.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long")
     counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).cache()
-    top = lambda df, part, key, k: df.withColumn("_r", F.row_number().over(W.partitionBy(*part).orderBy(F.desc("n"), key))).where(F.col("_r") <= k)
-    word_counts = [(r.lang, r.word, r.n) for r in top(counted, ["lang"], "word", words).collect()]
+    word_counts = [(r.lang, r.word, r.n) for r in counted.where(F.col("n") >= least).collect()]
     gram_counts = counted.mapInPandas(_count_grams, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    kept = [(r.lang, r.gram, r.n, r["size"]) for r in top(gram_counts, ["lang", "size"], "gram", grams).collect()]
+    kept = [(r.lang, r.gram, r.n, r["size"]) for r in gram_counts.where(F.col("n") >= least).collect()]
     counted.unpersist()
     at, rows = _log_rows(word_counts, langs)
     orders = {order: _log_rows([x[:3] for x in kept if x[3] == order], langs) for order in ORDERS}  # each has frequencies of its own
