@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions.text import band, blank, escape
@@ -54,3 +54,42 @@ def read_card(text: Column) -> Column:
 def summary(parsed: Column, sent: Column, sources: Column) -> Column:
     names = F.when(F.size(sources) > 0, F.array_join(sources, ", ")).otherwise("—")
     return F.concat(F.lit("📊 <b>Summary</b>\n\n🔍 Seen: <b>"), parsed.cast("string"), F.lit("</b>\n📨 Sent: <b>"), sent.cast("string"), F.lit("</b>\n📡 Sources: "), names)
+
+
+def applied_mark(text: Column, now: Column) -> Column:
+    """A card's text after its posting was applied for, with day and month."""
+    return F.concat(text, F.lit("\n\n✅ <b>Applied · "), F.date_format(now, "dd.MM"), F.lit("</b>"))
+
+
+def application_line(applied_at: Column, title: Column, company: Column, url: Column, score: Column) -> Column:
+    """Date, title as a link where there is one, then company and score where they are known."""
+    name = F.coalesce(F.nullif(escape(title), F.lit("")), F.lit("untitled"))
+    head = F.when(blank(url) != "", F.concat(F.lit('<a href="'), url, F.lit('">'), name, F.lit("</a>"))).otherwise(name)
+    firm, points = F.concat(F.lit(" — "), F.nullif(escape(company), F.lit(""))), F.concat(F.lit(" · "), score.cast("string"), F.lit("/100"))
+    return F.concat(F.lit("· "), blank(F.date_format(applied_at, "yyyy-MM-dd")), F.lit(" — "), head, blank(firm), blank(points))
+
+
+def _joined(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """One row with the array `lines` of a few rows' lines in order; no rows, an empty array."""
+    return rows.agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, "line"))), lambda x: x["line"]).alias("lines"))
+
+
+def applications_message(recent: DataFrame, stats: DataFrame) -> DataFrame:
+    """One row, `message`: totals, how many are stale if any, and a line for each of the few rows of `recent` (job_id, title,
+    company, url, score, applied_at), newest first; without rows, that there are none."""
+    told = recent.withColumn("line", application_line(*[F.col(c) for c in ("applied_at", "title", "company", "url", "score")]))
+    lines = _joined(told, [F.col("applied_at").isNull().alias("n"), (-F.unix_micros(F.col("applied_at").cast("timestamp"))).alias("a"), F.col("job_id")])
+    n = lambda c: F.col(c).cast("string")
+    head = F.concat(F.lit("📋 <b>Applications</b> — "), n("total"), F.lit(" in all, "), n("last7"), F.lit(" in 7 days"))
+    stale = F.when(F.col("stale") > 0, F.concat(F.lit("⏳ No answer for over "), n("stale_days"), F.lit(" days: <b>"), n("stale"), F.lit("</b>")))
+    rows = lines.crossJoin(stats)  # one row each
+    return rows.select(F.when(F.size("lines") == 0, F.lit("No applications yet.")).otherwise(F.concat_ws("\n", head, stale, F.lit("─" * 22), F.col("lines"))).alias("message"))
+
+
+def digest_message(items: DataFrame, title: str) -> DataFrame:
+    """One row, `message`: a title, a blank line and a line with day and month for each of a digest's items (when, title,
+    link), newest first, those without a date last; null without items."""
+    day = F.coalesce(F.date_format("when", "dd.MM"), F.lit("—"))
+    told = items.withColumn("line", F.concat(F.lit("• "), day, F.lit(' <a href="'), F.col("link"), F.lit('">'), F.col("title"), F.lit("</a>")))
+    lines = _joined(told, [F.col("when").isNull().alias("n"), (-F.unix_micros(F.col("when").cast("timestamp"))).alias("a"), F.col("link")])
+    return lines.select(F.when(F.size("lines") > 0, F.concat_ws("\n", F.lit(f"<b>{title}</b>"), F.lit(""), F.col("lines"))).alias("message"))

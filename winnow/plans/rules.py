@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import json
 import warnings
 from dataclasses import asdict, dataclass, field
+from functools import cache
 
 from winnow.functions import patterns, terms
 
-#: Goes into fingerprints; raise it when the code of gates or scores changes results.
-CODE_VERSION = 2
-
 
 @dataclass
 class Role:
@@ -78,9 +77,25 @@ class RulePack:
         with open(path, encoding="utf-8") as f:
             return cls.from_dict(yaml.safe_load(f), **more)
 
+    def canonical(self) -> str:
+        return json.dumps(asdict(self), sort_keys=True, ensure_ascii=False)
+
     def fingerprint(self) -> str:
-        """Twelve hex digits that change with the pack or the code's version; keys provisional state."""
-        return hashlib.md5((json.dumps(asdict(self), sort_keys=True, ensure_ascii=False) + str(CODE_VERSION)).encode()).hexdigest()[:12]
+        """Twelve hex digits that change with the pack or the code of gates and scores; keys provisional state."""
+        return hashlib.md5((self.canonical() + code_fingerprint()).encode()).hexdigest()[:12]
+
+    def scoring_version(self, instruction: str, profile: str) -> str:
+        """Twelve hex digits that change with what a scorer is told or with the pack; keys cached scores."""
+        return hashlib.md5("\0".join((instruction, profile, self.canonical())).encode()).hexdigest()[:12]
+
+
+@cache
+def code_fingerprint() -> str:
+    """A hash of the source of all modules that decide a verdict, so that changed code makes rejections provisional again."""
+    from winnow.functions import spans, text
+    from winnow.operators import gates, score
+
+    return hashlib.md5("\0".join(map(inspect.getsource, (gates, score, patterns, spans, terms, text))).encode()).hexdigest()
 
 
 def first_readable(paths: list[str], key: str) -> list[str]:

@@ -534,6 +534,37 @@ def recent_applications(spark, sf_dir):
     return state.applications_recent(_applications(spark, sf_dir)).select("job_id", "status")
 
 
+LINES_SQL = """(SELECT CAST(o_orderkey AS VARCHAR) AS job_id, o_orderdate AS applied_at, '· ' || strftime(o_orderdate, '%Y-%m-%d') || ' — '
+ || CASE WHEN o_custkey % 2 = 0 THEN '<a href="https://x/' || o_orderkey || '">' ELSE '' END
+ || CASE WHEN o_custkey % 5 = 0 THEN 'untitled' ELSE o_orderpriority || ' &amp; &lt;' || o_orderstatus || '&gt;' END || CASE WHEN o_custkey % 2 = 0 THEN '</a>' ELSE '' END
+ || CASE WHEN o_custkey % 3 = 0 THEN '' ELSE ' — Firm ' || o_custkey END || CASE WHEN o_custkey % 7 = 0 THEN '' ELSE ' · ' || (o_custkey % 101) || '/100' END AS line FROM orders)"""
+
+
+def _told_applications(spark, sf_dir) -> DataFrame:
+    key, text = F.col("o_custkey"), lambda c: F.col(c).cast("string")
+    return table(spark, sf_dir, "orders").select(
+        text("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("applied_at"), F.when(key % 2 == 0, F.concat(F.lit("https://x/"), text("o_orderkey"))).alias("url"),
+        F.when(key % 5 != 0, F.concat("o_orderpriority", F.lit(" & <"), "o_orderstatus", F.lit(">"))).alias("title"), F.when(key % 3 != 0, F.concat(F.lit("Firm "), text("o_custkey"))).alias("company"),
+        F.when(key % 7 != 0, key % 101).alias("score"), F.when(F.col("o_orderstatus") == "O", "applied").otherwise("closed").alias("status"),
+    )
+
+
+@query(f"SELECT job_id, line FROM {LINES_SQL}")
+def application_lines(spark, sf_dir):
+    line = cards.application_line(*[F.col(c) for c in ("applied_at", "title", "company", "url", "score")])
+    return _told_applications(spark, sf_dir).select("job_id", line.alias("line"))
+
+
+@query(f"""WITH s AS (SELECT count(*) AS total, count(*) FILTER (WHERE applied_at >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY) AS last7,
+ count(*) FILTER (WHERE status = 'applied' AND applied_at < TIMESTAMP '{NOW}' - INTERVAL 14 DAY) AS stale FROM {APPS_SQL}),
+r AS (SELECT * FROM {LINES_SQL} ORDER BY applied_at DESC, job_id LIMIT 15)
+SELECT concat_ws(chr(10), '📋 <b>Applications</b> — ' || total || ' in all, ' || last7 || ' in 7 days', CASE WHEN stale > 0 THEN '⏳ No answer for over 14 days: <b>' || stale || '</b>' END,
+ repeat('─', 22), (SELECT string_agg(line, chr(10) ORDER BY applied_at DESC, job_id) FROM r)) AS message FROM s""")
+def applications_message(spark, sf_dir):
+    rows = _told_applications(spark, sf_dir)
+    return cards.applications_message(state.applications_recent(rows, 15), state.application_stats(rows, F.lit(NOW).cast("timestamp")))
+
+
 @query(f"""SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE applied_at >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY) AS BIGINT) AS last7,
 CAST(count(*) FILTER (WHERE status = 'applied' AND applied_at < TIMESTAMP '{NOW}' - INTERVAL 14 DAY) AS BIGINT) AS stale, 14 AS stale_days FROM {APPS_SQL}""")
 def application_stats(spark, sf_dir):
@@ -568,6 +599,14 @@ def digest_topk(spark, sf_dir):
     return reports.digest(items, F.lit("2024-01-31").cast("timestamp")).select("link", F.col("when").alias("newest"))
 
 
+@query("""WITH e AS (SELECT ts, event_type, CAST(user_id AS VARCHAR) AS link, event_id FROM events WHERE ts >= TIMESTAMP '2024-01-24'),
+u AS (SELECT link, max(struct_pack(a := ts, b := event_type, c := CAST(event_id AS VARCHAR))) AS x FROM e GROUP BY link), k AS (SELECT link, x.a AS newest, x.c AS title FROM u ORDER BY newest DESC, link LIMIT 8)
+SELECT '<b>Of the week</b>' || chr(10) || chr(10) || string_agg('• ' || strftime(newest, '%d.%m') || ' <a href="' || link || '">' || title || '</a>', chr(10) ORDER BY newest DESC, link) AS message FROM k""")
+def digest_message(spark, sf_dir):
+    items = table(spark, sf_dir, "events").select(F.col("ts").alias("when"), F.col("event_type").alias("feed"), F.col("event_id").cast("string").alias("title"), F.col("user_id").cast("string").alias("link"))
+    return cards.digest_message(reports.digest(items, F.lit("2024-01-31").cast("timestamp")), "Of the week")
+
+
 @query("SELECT doc_id, '<code>' || (quality * 60 + 35) || '/100</code>  ·  ' || lang AS foot, quality * 60 + 35 AS score FROM labels JOIN documents USING (doc_id)")
 def card_render(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").withColumn("score", F.col("quality") * 60 + 35)
