@@ -11,8 +11,9 @@ leaves those that may occur more than once, and of each digest that does, the sm
 bytes. Rows of a frequent digest meet its owner by a broadcast of a fixed number of rows, never in one task. The store keeps a row per document: the ordered
 digests and lengths, the header, the bytes of the chunks that it owns, which of these it lends and how often the rarest
 that it borrows occurs. To read a document back, the most frequent borrowed chunks, of a fixed number of bytes at most,
-go to all readers; the rest is fetched by a join on the digest, and only documents that need a chunk of these move. Every chunk is checked against its digest and every
-file against its SHA-256, before the samples are read.
+go to all readers, so that no other digest holds more than about a thousandth of what is asked for; the rest is fetched by
+a join on the digest, and only documents that need a chunk of these move, each with its own bytes as one compressed
+piece, as they are stored. Every chunk is checked against its digest and every file against its SHA-256, before the samples are read.
 
 Defined cases: a null text counts as empty (64 zero bytes); rows that repeat a doc_id are separate texts;
 rows that repeat doc_id and text are stored and read alike, each with its bytes; a null doc_id owns and
@@ -35,10 +36,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import BROADCAST_BYTES, ENTRY_BYTES, bands_of, lookup, small, stash, threshold_of, unstash
+from winnow.llm.common import ENTRY_BYTES, bands_of, lookup, small, stash, threshold_of, unstash
 
-RATE, UNIT, HEADER = 8000, 64, 44
+RATE, UNIT, HEADER, DIGEST = 8000, 64, 44, 16
 FETCH = 512
+#: Bytes of the most frequent borrowed chunks that go to every reader, at every size of the input: about a thousand chunks.
+HOT_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -102,7 +105,7 @@ def _chunks(payload: bytes, cuts: Cuts) -> list[bytes]:
 
 
 def digest_of(chunk: bytes) -> bytes:
-    return hashlib.blake2b(chunk, digest_size=16).digest()
+    return hashlib.blake2b(chunk, digest_size=DIGEST).digest()
 
 
 def _digests(cuts: Cuts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -110,56 +113,94 @@ def _digests(cuts: Cuts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         for whole in batches:
             for lo in range(0, whole.num_rows, FETCH):
                 batch = whole.slice(lo, FETCH)
-                row, place, digest = [], [], []
+                row, place, size, digest = [], [], [], []
                 for i, t in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                     for j, c in enumerate(_chunks(payload_of(t), cuts)):
                         row.append(i)
                         place.append(j)
+                        size.append(len(c))
                         digest.append(digest_of(c))
                 at = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("thash").take(at), pa.array(place, pa.int32()), pa.array(digest, pa.binary())], names=["id", "thash", "place", "digest"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("thash").take(at), pa.array(place, pa.int32()), pa.array(size, pa.int32()), pa.array(digest, pa.binary())], names=["id", "thash", "place", "size", "digest"])
 
     return run
 
 
+#: The written form: digests, lengths and a bit a chunk (whether it is the document's own) end to end, and the own chunks'
+#: bytes as one compressed piece.
+PACKED = "id long, thash long, n_bytes long, media_sha256 string, header binary, digests binary, lengths binary, own binary, body binary, foreign array<int>, lent array<int>, fewest long"
+#: The same with its chunks apart.
+STORE = "id long, thash long, n_bytes long, media_sha256 string, header binary, digests array<binary>, lengths array<int>, chunks array<binary>, lent array<int>, fewest long"
+
+
 def _store(cuts: Cuts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
         for whole in batches:
             for lo in range(0, whole.num_rows, FETCH):
                 batch = whole.slice(lo, FETCH)
-                size, media_sha, headers, digests, lengths, bytes_ = [], [], [], [], [], []
+                size, media_sha, packed = [], [], {k: [] for k in ("header", "digests", "lengths", "own", "body")}
                 for t, foreign in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("foreign").to_pylist(), strict=True):
                     payload, other = payload_of(t), set(foreign or ())
                     parts = _chunks(payload, cuts)
                     size.append(len(t or b""))
                     media_sha.append(hashlib.sha256(wav(payload)).hexdigest())
-                    headers.append(header_of(payload))
-                    digests.append(list(map(digest_of, parts)))
-                    lengths.append(list(map(len, parts)))
-                    bytes_.append([None if j in other else c for j, c in enumerate(parts)])
+                    packed["header"].append(header_of(payload))
+                    packed["digests"].append(b"".join(map(digest_of, parts)))
+                    packed["lengths"].append(np.fromiter(map(len, parts), np.uint32, len(parts)).tobytes())
+                    packed["own"].append(np.packbits([j not in other for j in range(len(parts))]).tobytes())
+                    packed["body"].append(codec.compress(b"".join(c for j, c in enumerate(parts) if j not in other), asbytes=True))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), batch.column("thash"), pa.array(size, pa.int64()), pa.array(media_sha, pa.string()), pa.array(headers, pa.binary()), pa.array(digests, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int32())), pa.array(bytes_, pa.list_(pa.binary())), batch.column("lent"), batch.column("fewest")],
-                    names=["id", "thash", "n_bytes", "media_sha256", "header", "digests", "lengths", "chunks", "lent", "fewest"],
+                    [batch.column("id"), batch.column("thash"), pa.array(size, pa.int64()), pa.array(media_sha, pa.string()), *(pa.array(x, pa.binary()) for x in packed.values()), *(batch.column(c) for c in ("foreign", "lent", "fewest"))],
+                    names=["id", "thash", "n_bytes", "media_sha256", *packed, "foreign", "lent", "fewest"],
                 )
 
     return run
 
 
-STORE = "id long, thash long, n_bytes long, media_sha256 string, header binary, digests array<binary>, lengths array<int>, chunks array<binary>, lent array<int>, fewest long"
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[int], list[bytes | None]]]:
+    """Digests, lengths and own chunks (None for others') of packed documents."""
+    codec = pa.Codec("zstd")
+    for d, n, o, body in zip(*(batch.column(c).to_pylist() for c in ("digests", "lengths", "own", "body")), strict=True):
+        lengths = np.frombuffer(n, np.uint32).astype(np.int64)
+        own = np.unpackbits(np.frombuffer(o, np.uint8), count=len(lengths)).astype(bool)
+        ends = np.cumsum(np.where(own, lengths, 0)).tolist()
+        held = codec.decompress(body, ends[-1], asbytes=True) if ends[-1] else b""
+        chunks = [held[a:b] if mine else None for a, b, mine in zip([0, *ends], ends, own.tolist(), strict=False)]
+        yield [d[i : i + DIGEST] for i in range(0, len(d), DIGEST)], lengths.tolist(), chunks
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for lo in range(0, whole.num_rows, FETCH):
+            batch = whole.slice(lo, FETCH)
+            digests, lengths, chunks = zip(*_parts(batch), strict=True)
+            columns = {"digests": pa.array(digests, pa.list_(pa.binary())), "lengths": pa.array(lengths, pa.list_(pa.int32())), "chunks": pa.array(chunks, pa.list_(pa.binary()))}
+            names = [c.split()[0] for c in STORE.split(", ")]
+            yield pa.RecordBatch.from_arrays([columns[c] if c in columns else batch.column(c) for c in names], names=names)
+
+
+def _lent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks that documents lend."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, FETCH):
+            batch = whole.slice(lo, FETCH)
+            found = [(digests[i], chunks[i]) for (digests, _, chunks), lent in zip(_parts(batch), batch.column("lent").to_pylist(), strict=True) for i in lent]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["digest", "bytes"])
 
 
 def store(docs: DataFrame, cuts: Cuts = Cuts()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """docs (doc_id, text) -> the store (see STORE; chunks are null where another document owns them), and the
-    table of owners' shared chunks (id, thash, place, digest) with n, how often each occurs."""
+    """docs (doc_id, text) -> the store (see STORE; chunks are null where another document owns them; a view of
+    the table that is written, see PACKED), and the table of owners' shared chunks (id, thash, place, digest, size) with n, how often each occurs."""
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("thash"), "text")
-    seen = stash(rows.mapInArrow(_digests(cuts), "id long, thash long, place int, digest binary"), "digests")
+    seen = stash(rows.mapInArrow(_digests(cuts), "id long, thash long, place int, size int, digest binary"), "digests")
     hashed = seen.withColumn("head", F.xxhash64("digest"))
     repeated = stash(hashed.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head"), "repeated-heads")
     some = stash(hashed.join(small(repeated), "head", "left_semi").drop("head"), "repeated-digests")
     unstash(seen)
     unstash(repeated)
     # struct order: a null id stands before all others
-    owners = some.groupBy("digest").agg(F.min(F.struct("id", "thash", "place")).alias("owner"), F.count("*").alias("n")).where("n > 1")
+    owners = some.groupBy("digest").agg(F.min(F.struct("id", "thash", "place")).alias("owner"), F.count("*").alias("n"), F.max("size").alias("size")).where("n > 1")
     owners = stash(owners, "owners")
     owned = lookup(some, "digest", owners.select(F.col("digest").alias("key"), "n", "owner", F.col("n").alias("held"))).withColumnRenamed("_owner", "owner")
     mine = F.col("id").eqNullSafe(F.col("owner.id")) & (F.col("thash") == F.col("owner.thash")) & (F.col("place") == F.col("owner.place"))
@@ -168,9 +209,11 @@ def store(docs: DataFrame, cuts: Cuts = Cuts()) -> tuple[DataFrame, DataFrame]:
     foreign = stash(foreign.withColumnsRenamed({"id": "fid", "thash": "fhash"}), "foreign")
     unstash(some)
     marked = rows.join(small(foreign, rows=500_000), F.col("id").eqNullSafe(F.col("fid")) & (F.col("thash") == F.col("fhash")), "left")
-    kept = stash(marked.select("id", "thash", "text", "foreign", "lent", "fewest").mapInArrow(_store(cuts), STORE), "media-store")
+    kept = stash(marked.select("id", "thash", "text", "foreign", "lent", "fewest").mapInArrow(_store(cuts), PACKED), "media-store")
     unstash(foreign)
-    return kept, owners.select("owner.id", "owner.thash", "owner.place", "digest", "n")
+    view = kept.mapInArrow(_unpacked, STORE)
+    view._packed = kept
+    return view, owners.select("owner.id", "owner.thash", "owner.place", "digest", "size", "n")
 
 
 def feature_of(payload: np.ndarray) -> str:
@@ -202,39 +245,55 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _fill(frequent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+FILE = "id long, n_bytes long, media_sha256 string, header binary, digests array<binary>, chunks array<binary>"
+
+
+def _filled(frequent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Documents with what they borrow in its place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, FETCH):
                 batch = whole.slice(lo, FETCH)
-                chunks = batch.column("chunks").to_pylist()
-                for c, digests, got in zip(chunks, batch.column("digests").to_pylist(), batch.column("got").to_pylist(), strict=True):
-                    c[:] = [frequent.value.get(d) if x is None else x for x, d in zip(c, digests, strict=True)]
+                all_digests, all_chunks = [], []
+                for (digests, _, chunks), got in zip(_parts(batch), batch.column("got").to_pylist(), strict=True):
                     for x in got or ():
-                        c[x["place"]] = x["bytes"]
-                yield batch.set_column(batch.schema.get_field_index("chunks"), "chunks", pa.array(chunks, pa.list_(pa.binary()))).drop_columns(["got"])
+                        chunks[x["place"]] = x["bytes"]
+                    all_digests.append(digests)
+                    all_chunks.append([frequent.value.get(d) if c is None else c for c, d in zip(chunks, digests, strict=True)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c) for c in ("id", "n_bytes", "media_sha256", "header")] + [pa.array(x, pa.list_(pa.binary())) for x in (all_digests, all_chunks)],
+                    names=["id", "n_bytes", "media_sha256", "header", "digests", "chunks"],
+                )
 
     return run
 
 
-def whole_files(kept: DataFrame, owners: DataFrame, room: int = BROADCAST_BYTES) -> DataFrame:
-    """The store with all bytes in place. At most `room` bytes of the most frequent borrowed chunks are broadcast."""
-    offered = kept.select(F.explode(F.transform("lent", lambda i: F.struct(F.get("digests", i).alias("digest"), F.get("chunks", i).alias("bytes")))).alias("x")).select("x.*")
-    offered = stash(offered.groupBy("digest").agg(F.first("bytes").alias("bytes")).join(owners.select("digest", "n"), "digest"), "shared-chunks")
-    threshold = threshold_of(bands_of(offered, "n", F.sum(F.length("bytes") + ENTRY_BYTES)), room)
-    top = offered.where(F.col("n") >= threshold).select("digest", "bytes").toPandas()
+def whole_files(kept: DataFrame, owners: DataFrame, room: int = HOT_BYTES) -> DataFrame:
+    """The files of a store as store() gives it (see FILE), with all bytes in place. At most `room` bytes of the most
+    frequent borrowed chunks are broadcast."""
+    packed = kept.__dict__.get("_packed")
+    if packed is None:
+        raise TypeError("not a store: pass what store() gives")
+    threshold = threshold_of(bands_of(owners, "n", F.sum(F.col("size") + ENTRY_BYTES)), room)
+    hot = F.broadcast(owners.where(F.col("n") >= threshold).select("digest"))
+    lent = packed.where(F.size("lent") > 0).select("digests", "lengths", "own", "body", "lent").mapInArrow(_lent, "digest binary, bytes binary")
+    top = lent.join(hot, "digest").dropDuplicates(["digest"]).toPandas()
     frequent = kept.sparkSession.sparkContext.broadcast({bytes(d): bytes(c) for d, c in zip(top["digest"], top["bytes"], strict=True)})
-    few = kept.where(F.col("fewest") < threshold)
-    needs = few.select("id", "thash", F.posexplode(F.arrays_zip("digests", "chunks")).alias("place", "x")).where("x.chunks is null").select("id", "thash", "place", F.col("x.digests").alias("digest"))
+    # an id that may be null as two columns that aren't, so that grouping and joining share one shuffle
+    row = [F.coalesce("id", F.lit(0).cast("long")).alias("row"), F.col("id").isNull().alias("none"), F.col("thash").alias("hash")]
+    few = packed.where(F.col("fewest") < threshold)
+    needs = few.select(*row, "digests", F.explode("foreign").alias("place")).withColumn("digest", F.substr("digests", F.col("place") * DIGEST + 1, F.lit(DIGEST))).drop("digests")
     # fewer than `threshold` documents ask for any of these
-    got = needs.join(offered.where(F.col("n") < threshold).select("digest", "bytes"), "digest").groupBy("id", "thash").agg(F.collect_set(F.struct("place", "bytes")).alias("got"))
-    found = got.withColumnsRenamed({"id": "fid", "thash": "fhash"})
-    fetched = few.join(found, F.col("id").eqNullSafe(F.col("fid")) & (F.col("thash") == F.col("fhash")), "left").select(*kept.columns, "got")
-    near = kept.where(F.col("fewest") >= threshold).withColumn("got", F.lit(None).cast(got.schema["got"].dataType))
-    return kept.where("fewest is null").unionByName(near.unionByName(fetched).mapInArrow(_fill(frequent), STORE))
+    rest = lent.join(hot, "digest", "left_anti").dropDuplicates(["digest"])
+    got = needs.join(hot, "digest", "left_anti").join(rest, "digest").groupBy("row", "none", "hash").agg(F.collect_set(F.struct("place", "bytes")).alias("got"))
+    file = ["id", "n_bytes", "media_sha256", "header", "digests", "lengths", "own", "body"]
+    fetched = few.select(*row, *file).join(got, ["row", "none", "hash"], "left").select(*file, "got")
+    near = packed.where(F.col("fewest").isNull() | (F.col("fewest") >= threshold)).select(*file, F.lit(None).cast(got.schema["got"].dataType).alias("got"))
+    return near.unionByName(fetched).mapInArrow(_filled(frequent), FILE)
 
 
-def read_back(kept: DataFrame, owners: DataFrame, room: int = BROADCAST_BYTES) -> DataFrame:
+def read_back(kept: DataFrame, owners: DataFrame, room: int = HOT_BYTES) -> DataFrame:
     """Every document's digests and features, from the stored bytes."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return whole_files(kept, owners, room).select("id", "n_bytes", "media_sha256", "header", "digests", "chunks").mapInArrow(_read, schema)
+    return whole_files(kept, owners, room).mapInArrow(_read, schema)
