@@ -98,6 +98,17 @@ def test_op2_odd_turns(spark):
     assert chat.read_back(chat.expand(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
+def test_op2_long_texts_and_clashing_columns(spark):
+    rows = [(1, 0, "user", LONG), (1, 1, "assistant", LONG)] + [(2, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(300)]
+    table = spark.createDataFrame([(*r, "x", 1, "y", "z") for r in rows], "conv_id long, turn long, role string, text string, turns string, example int, formatted string, t string")
+    back = {r.conv_id: r for r in chat.read_back(chat.expand(table)).collect()}
+    for c in (1, 2):
+        turns = [r for r in rows if r[0] == c]
+        said = "".join(t for *_, role, t in turns if role == "assistant")
+        assert (back[c].n_turns, back[c].loss_chars) == (len(turns), len(said)) and back[c].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert back[c].turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for *_, role, t in turns).encode()).hexdigest()
+
+
 def test_op3_accuracy(spark, sf, docs):
     found = queries.op3_language_id(spark, sf).toPandas().merge(docs[["doc_id", "lang"]], on="doc_id")
     assert (found.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in found.doc_id]).all()
@@ -277,6 +288,26 @@ def test_op7_sums_like_the_library(tmp_path):
         assert sum(Toy.scores[i] for i in ids) == pytest.approx(best[10][0]) and len("".join(list(Toy.ids)[i] for i in ids)) == 10
 
 
+def test_op7_stream_commits_as_it_reads(docs):
+    """Whole texts by the stream alone: the library's ids, the first of them long before the end, in a bounded window."""
+    import sentencepiece
+
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    sp, enc, seen = sentencepiece.SentencePieceProcessor(model_file=path), pieces.encoder(path), []
+    text = " ".join(" ".join(docs.text.dropna().head(40)).split())[:40_000]
+    real = enc.ending
+    enc.ending = lambda text, end, last, score, base: (seen.append((end, end - base)), real(text, end, last, score, base))[1]
+    try:
+        ids, first = [], None
+        for n in enc.stream(pieces.MARK + text.replace(" ", pieces.MARK)):
+            first = first or seen[-1][0]
+            ids += np.frombuffer(enc.written[n], "<u4").tolist()
+    finally:
+        del enc.ending
+    assert ids == sp.encode(text)
+    assert first < 200 and max(window for _, window in seen) < 200
+
+
 def test_op6_differencing_is_the_plain_rule():
     """One node against largest differencing written out: the two largest spreads, oppositely ordered."""
     rng = np.random.default_rng(4)
@@ -416,6 +447,15 @@ def test_op9_odd_docs(spark):
     assert media.read_back(*media.store(no_docs(spark))).count() == 0
 
 
+def test_op9_null_ids_and_clashing_columns(spark):
+    rows = [(None, "x y z"), (None, "x y z"), (None, LONG), (3, LONG), (3, "x y z"), (None, None), (0, LONG + "!")]
+    table = spark.createDataFrame([(*r, "d", 1, "o") for r in rows], "doc_id long, text string, digest string, place int, got string").repartition(3)
+    for room in (0, media.HOT_BYTES):
+        found = media.read_back(*media.store(table), room).collect()
+        want = Counter((i, hashlib.sha256(media.payload_of((t or "").encode())).hexdigest()) for i, t in rows)
+        assert Counter((r.doc_id, r.payload_sha256) for r in found) == want
+
+
 def test_op9_shared_passages_are_stored_once(spark):
     """Near copies of other lengths, and passages of 100 words in pairs of texts that have nothing else in common."""
     rng = np.random.default_rng(3)
@@ -550,3 +590,31 @@ def test_pipeline(spark, sf):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.select("doc_id").collect()) == sorted(i for i in ids if root[i] == i)
 
     packed_right(pack(spark, left, sf).withColumn("ids_crc32", F.crc32("ids")).toPandas(), {r.doc_id: r.text or "" for r in left.collect()})
+
+
+def test_pipeline_odd_docs(spark, sf):
+    """Every stage on odd rows whose further columns have the stages' own names, and on an empty table."""
+    import corpus_pipeline as cp
+
+    (_, lang), (_, lines), (_, near), (_, pack) = cp.STAGES
+    clash = lambda df: df.withColumns({"lang_pred": F.lit("mine"), "Score": F.lit("mine"), "n_dropped": F.lit("mine"), "kept": F.lit("mine"), "_row": F.lit("mine")})
+    odd = clash(odd_docs(spark)).cache()
+    ids = lambda rows: sorted((r.doc_id for r in rows), key=lambda i: (i is None, i))
+    mine = lambda rows: all((r.lang_pred, r.Score, r.n_dropped, r["kept"], r["_row"]) == ("mine",) * 5 for r in rows)
+
+    got = lang(spark, odd, sf)
+    rows = got.collect()
+    assert got.columns == odd.columns and mine(rows) and not {1, 2, 6} & set(ids(rows))
+
+    got = lines(spark, odd, sf)
+    rows = got.collect()
+    assert got.columns == odd.columns and mine(rows) and ids(rows) == [1, 2, 3, 4, 4, 5, 6, 7, 8, None]
+    assert {r.doc_id: r.text for r in rows if r.doc_id in (1, 3, 5, 8)} == {1: None, 3: LONG, 5: "", 8: ""}
+
+    got = near(spark, odd, sf)
+    rows = got.collect()
+    assert got.columns == odd.columns and mine(rows) and ids(rows) == [1, 2, 3, 4, 4, 5, 6, 7, None]
+
+    assert pack(spark, odd, sf).where("start = 0").count() == odd.count()
+    for _, stage in cp.STAGES:
+        assert stage(spark, clash(no_docs(spark)), sf).count() == 0
