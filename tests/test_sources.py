@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from winnow.sources import SOURCES, pages
 
@@ -66,3 +68,18 @@ def test_channel_text_is_parted_at_every_tag(spark):
 def test_json_boards(spark, name, body, want):
     (r,) = read(spark, name, body, company="c")
     assert (r.id, r.title, r.description, r.is_remote) == want
+
+
+def test_hh_feed_keeps_every_id_of_a_feed_that_is_reordered(spark):
+    """A feed that gives its items in another order each time it is read, as a shuffle does that isn't sorted."""
+    item = "<item><title>job {0}</title><link>http://x/{0}</link><description>a</description><pubDate></pubDate></item>"
+
+    @F.udf("string")
+    def body(page, by_date):
+        ids = [page * 64 + i for i in range(20 if by_date else 64)]
+        random.SystemRandom().shuffle(ids)
+        return "<rss><channel>" + "".join(map(item.format, ids)) + "</channel></rss>"
+
+    asked = spark.range(12).select(F.col("id").alias("query"), F.explode(F.array(F.lit(True), F.lit(False))).alias("by_date"))
+    rows = pages.hh_feed(asked.select(body.asNondeterministic()("query", "by_date").alias("body"), "query", "by_date")).select("id", "title").collect()
+    assert sorted((r.id, r.title) for r in rows) == sorted((f"hh_{i}", f"job {i}") for i in range(12 * 64))

@@ -144,9 +144,12 @@ def hh_feed(payloads: DataFrame, cap: int = 20) -> DataFrame:
         F.concat(F.lit("hh_"), F.regexp_extract("link", r"([^/]+)/*$", 1)).alias("id"), tx.blank(F.col("title")).alias("title"), tx.blank(value(line("вакансия компании:"))).alias("company"),
         tx.description(F.col("_text")).alias("description"), tx.blank(F.col("link")).alias("url"), F.lit("hh.ru").alias("source"), F.col("_pay.low").alias("salary_min"), F.col("_pay.high").alias("salary_max"),
         F.coalesce("_pay.currency", F.lit("RUB")).alias("salary_currency"), F.col("_place").alias("location"),
-        tx.is_remote(F.col("_place"), F.col("_text"), F.lit(None).cast("string"), F.lit(None).cast("boolean")).alias("is_remote"), tx.moment(F.col("pubDate")).alias("published_at"), "by_date", "pos",
+        tx.is_remote(F.col("_place"), F.col("_text"), F.lit(None).cast("string"), F.lit(None).cast("boolean")).alias("is_remote"), tx.moment(F.col("pubDate")).alias("published_at"), "by_date", "pos", "query",
     )
-    return conform(keep_first(rows, F.col("id"), [~F.col("by_date"), "pos"]).dropDuplicates(["id"]))
+    # One aggregate and no join back: a feed whose items come in another order when it is read again would lose rows by one.
+    kept = [c for c in rows.columns if c not in ("id", "by_date", "pos", "query")]
+    one = rows.where("id is not null").groupBy("id").agg(F.min_by(F.struct(*kept), F.struct(~F.col("by_date"), "pos", "query")).alias("r"))
+    return conform(one.select("id", "r.*"))
 
 
 def news(payloads: DataFrame, keywords: tuple[str, ...], cutoff: Column) -> DataFrame:
