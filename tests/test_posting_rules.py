@@ -49,6 +49,15 @@ def test_shifts(spark, text, mode):
     assert value(spark, gates.shift_mode(F.lit(text))) == mode
 
 
+@pytest.mark.parametrize(("text", "asked"), [
+    ('token = "55cf1b56d3d000479a9bdb231e139ff0" ja.\nнемецкая компания', False), ("native speaker wanted.\nнемецкая компания\nlevel 3", False), ("м. белорусская", False),
+    ("знание немецкого языка", True), ("языки:\nнемецкий", True), ("языки: \nнемецкий", True), ("немецкий, уровень b2", True), ("german language required", True), ("german is a plus", False),
+])
+def test_foreign_language(spark, text, asked):
+    """A Russian name counts by the words of its own line, or of the header above it."""
+    assert value(spark, gates.foreign_language_asked(F.lit(text))) is asked
+
+
 def test_normal(spark):
     assert value(spark, tx.normal(F.lit("Английский С1 и выше"))) == "английский c1 и выше"
     assert value(spark, tx.normal(F.lit("артикул с12345"))) == "артикул с12345"
