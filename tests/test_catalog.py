@@ -33,3 +33,18 @@ def test_large_index_is_shuffled(spark, monkeypatch):
     listed = spark.range(5000).select(F.concat(F.lit("word"), "id").alias("term"), F.col("id").cast("int").alias("ord"))
     plan = catalog.hits(rows, listed)
     assert all(r.hits == [f"word{r.id}"] for r in plan.collect()) and catalog.hits(rows.where("false"), listed).count() == 0
+
+
+def test_a_small_index_shuffles_no_text(spark):
+    """Texts of which none, one or thousands of words meet the index stay in their tasks, in batches of any size."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(600).select("id", F.when(F.col("id") % 3 > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.col("id") % 97), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ")).alias("text"))
+        listed = spark.range(97).select(F.explode(F.array(F.concat(F.lit("w"), "id"), F.concat(F.lit("w"), "id", F.lit(" w"), F.col("id") + 1))).alias("term"), F.col("id").cast("int").alias("ord"))
+        plan = catalog.hits(rows, listed)
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+        got = {r.id: r.hits for r in plan.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = lambda i: [t for k in range(i % 97 + 1) for t in (f"w{k}", f"w{k} w{k + 1}") if k < i % 97 or " " not in t]
+    assert got == {i: want(i) if i % 3 else [] for i in range(600)}

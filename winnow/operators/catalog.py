@@ -4,16 +4,21 @@ Every term has an anchor: something that each text with that term has among its
 A whole-word term is its first word; a stem of one word is a prefix of a word; a phrase, which may begin and end inside of
 words, has a word of its own between two others, or a prefix of its last word or a suffix of its first one, whichever is longer, or three
 characters of its only one. Texts give the words, and prefixes, suffixes and pieces of just the lengths that the index has;
-an equi-join finds candidates, and only those whose anchor leaves something open are verified, against their own pattern.
+the index gives the candidates, and only those whose anchor leaves something open are verified, against their own pattern.
 
 Terms without a word character, and stems that begin with none, can't be anchored and are tested on every text; there are
-`ODD_TERMS` of them at most. The index is broadcast if it has at most `SMALL` rows, else joined by a shuffle.
+`ODD_TERMS` of them at most. An index of at most `SMALL` rows goes to all tasks, where each batch's distinct words are looked
+up, and nothing is shuffled; a larger one is joined by a shuffle.
 
 Defined cases: a term listed twice counts once, at its first place; an empty term never matches; a null text has no hits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +29,9 @@ SMALL, ODD_TERMS = 200_000, 1000
 RUNS = r"(?U)\w+"
 #: Characters that index a phrase which lies inside of one word.
 GRAM = 3
+MET = "array<struct<ord:int,term:string,sure:boolean,pattern:string>>"
+#: Texts looked up at once, and words remembered by a task.
+TEXTS, WORDS = 256, 200_000
 
 
 def _quoted(body: Column) -> Column:
@@ -66,31 +74,84 @@ def keys(words: Column, lengths: dict[str, list[int]]) -> Column:
     return F.array_distinct(F.concat(*found))
 
 
+def looked_up(known: list, lengths: dict[str, list[int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow: batches whose last columns are the text and its words -> the rows of the index that
+    they meet in the words' place, phrases only if the text holds them. known: rows of the index in the order of hits."""
+    by_key: dict[tuple[str, str], list[int]] = {}
+    for i, r in enumerate(known):
+        by_key.setdefault((r.kind, r.key), []).append(i)
+    names, plain = [r.term for r in known], np.array([not r.sure and r.pattern is None for r in known], bool)
+    cells = [[r.ord for r in known], names, [r.sure or r.pattern is None for r in known], [r.pattern for r in known]]
+
+    def of_word(w: str) -> np.ndarray:
+        keys = [("w", w), *(("p", w[:n]) for n in lengths.get("p", []) if len(w) >= n), *(("s", w[-n:]) for n in lengths.get("s", []) if len(w) >= n)]
+        keys += [("g", w[i : i + n]) for n in lengths.get("g", []) for i in range(len(w) - n + 1)]
+        return np.unique([i for k in keys for i in by_key.get(k, ())]).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.string(), pa.bool_(), pa.string()), strict=True)], ["ord", "term", "sure", "pattern"])
+        of: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for part in (batch.slice(at, TEXTS) for at in range(0, batch.num_rows, TEXTS)):
+                words = part.column(part.num_columns - 1)
+                coded = words.flatten().dictionary_encode()
+                if len(of) > WORDS:
+                    of.clear()
+                for w in coded.dictionary.to_pylist():
+                    if w not in of:
+                        of[w] = of_word(w)
+                met = [of[w] for w in coded.dictionary.to_pylist()]
+                # The rows that each word meets, behind one another; then every word of every text stands for its own.
+                codes, sizes = coded.indices.to_numpy(), np.array([len(m) for m in met], np.int64)
+                n, starts = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
+                at = np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
+                text = np.repeat(np.repeat(np.arange(part.num_rows), words.value_lengths().to_numpy()), n)
+                each = np.unique(text * len(known) + np.concatenate([*met, np.zeros(0, np.int64)])[at])  # once a text
+                texts, rows = part.column(part.num_columns - 2).to_pylist(), each % max(len(known), 1)
+                held = ~plain[rows]
+                held[~held] = [names[r] in texts[t] for t, r in zip((each[~held] // len(known)).tolist(), rows[~held].tolist(), strict=True)]
+                each = each[held]
+                ends = np.searchsorted(each, np.arange(part.num_rows + 1) * len(known)).astype(np.int32)
+                found = pa.ListArray.from_arrays(pa.array(ends), index.take(pa.array(each % max(len(known), 1))))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], [*part.schema.names[:-1], "_met"])
+
+    return run
+
+
+def met_by_join(texts: DataFrame, anchored: DataFrame, lengths: dict[str, list[int]], words: Column, key: str) -> DataFrame:
+    """The same by a shuffle, for an index that is too large for a task."""
+    rows = anchored.select(F.concat_ws(":", "kind", "key").alias("_key"), "term", "ord", "sure", "pattern")
+    # A column of its own: named many times below, the words would else be looked for as often.
+    given = texts.select(key, words.alias("_words")).select(key, keys(F.col("_words"), lengths).alias("_keys"))
+    found = given.select(key, F.explode("_keys").alias("_key")).join(rows, "_key").groupBy(key).agg(F.collect_set(F.struct("ord", "term", "sure", "pattern")).alias("_met"))
+    return texts.select(key, "text").join(found, key, "left").withColumn("_met", F.coalesce("_met", F.array().cast(MET)))
+
+
 def hits(texts: DataFrame, terms: DataFrame, key: str = "id") -> DataFrame:
     """texts (key, text in lower case; a key each) and terms (term, ord) -> key and hits, the terms found, by ord."""
     known = stash(index(terms), "term-index")
-    anchored = known.where("kind is not null").select(F.concat_ws(":", "kind", "key").alias("_key"), "term", "ord", "sure", "pattern")
+    anchored = known.where("kind is not null")
     lengths: dict[str, list[int]] = {}
     for r in known.where("kind in ('p', 's', 'g')").select("kind", F.length("key").alias("n")).distinct().collect():  # as many as a term is long
         lengths.setdefault(r.kind, []).append(r.n)
-    if known.where("kind is not null").count() <= SMALL:
-        anchored = F.broadcast(anchored)
     odd = [(r.term, r.ord, r.pattern) for r in known.where("kind is null").orderBy("ord").limit(ODD_TERMS + 1).collect()]
     if len(odd) > ODD_TERMS:
         raise ValueError(f"more than {ODD_TERMS} terms that no word can anchor")
 
     words = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(RUNS), F.lit(0)))
-    # A column of its own: named many times below, the words would else be looked for as often.
-    given = texts.select(key, words.alias("_words")).select(key, keys(F.col("_words"), lengths).alias("_keys"))
-    met = given.select(key, F.explode("_keys").alias("_key")).join(anchored, "_key")
-    found = met.groupBy(key).agg(F.collect_set(F.struct("ord", "term", "sure", "pattern")).alias("_met"))
-    rows = texts.select(key, "text").join(found, key, "left")
+    if anchored.count() <= SMALL:
+        few = sorted(anchored.collect(), key=lambda r: (r.ord, r.term))
+        rows = texts.select(key, "text", words.alias("_words"))
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+        rows = rows.mapInArrow(looked_up(few, lengths), f"{kinds}, _met {MET}")
+    else:
+        rows = met_by_join(texts, anchored, lengths, words, key)
     text = F.col("text")
 
     def holds(t: Column) -> Column:
         return t["sure"] | F.when(t["pattern"].isNull(), text.contains(t["term"])).otherwise(F.regexp_like(text, t["pattern"]))
 
-    sure = F.transform(F.filter(F.coalesce("_met", F.array().cast("array<struct<ord:int,term:string,sure:boolean,pattern:string>>")), holds), lambda t: F.struct(t["ord"].alias("ord"), t["term"].alias("term")))
+    sure = F.transform(F.filter("_met", holds), lambda t: F.struct(t["ord"].alias("ord"), t["term"].alias("term")))
     tested = [F.when(text.contains(t) if p is None else text.rlike(p), F.struct(F.lit(o).alias("ord"), F.lit(t).alias("term"))) for t, o, p in odd]
     found = F.concat(sure, F.array_compact(F.array(*tested))) if tested else sure
     return rows.select(key, F.transform(F.array_sort(found), lambda t: t["term"]).alias("hits"))
