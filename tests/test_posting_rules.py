@@ -86,3 +86,33 @@ def test_seen_state(spark):
     assert (left(final, "v1"), left(final, "v2")) == (0, 0)
     assert left(state.mark_verdict(rejected, row, at), "v2") == 0
     assert left(state.mark_rejected(final, row, "v1", at), "v2") == 0
+
+
+TOLD = ["ops", "full-stack", "re*", "on-*", "café", "команд*", "x_y", "c++", "of the", "la", "é*", "10", "-x", "a*"]
+SAID = ["opsgenie ops", "a full-stack team", "stack full", "rest", "more", "on-site", "cafés", "un café", "команда", "x_y z", "x y", "c++", "of  the", "of the", "blah la", "été", "10th", "v 10", "", "-x", "naïve ab", "ops\nla"]
+
+
+def test_words_tell_what_the_patterns_tell(spark):
+    rows = spark.createDataFrame([(s,) for s in SAID], "s string").withColumn("k", terms.spaced(terms.words(F.col("s"))))
+    for one in rows.select("s", terms.hits(F.col("s"), TOLD).alias("a"), terms.hits(F.col("s"), TOLD, F.col("k")).alias("b"), *[F.array(terms.any_of(F.col("s"), [t]), terms.any_of(F.col("s"), [t], F.col("k"))).alias(f"t{i}") for i, t in enumerate(TOLD)]).collect():
+        assert one.a == one.b and all(x == y for x, y in one[3:]), one
+
+
+def test_flags_with_and_without_words(spark):
+    from winnow.rule_queries import LINES
+
+    said = [f"prose before.\n{x.lower()}" for x in LINES] + ["we go and code in c++", "go code", "write go", "build in rust", "trust the code", "ci/cd required", "robot framework", "ukrainian", "ukrainians", "  " + "漢" * 60 + "a" * 150, "漢" * 30 + "a" * 180, "desirable:\ngerman", "desirable:\nx\nrequirements:\ngerman"]
+    rows = spark.createDataFrame([(s,) for s in said], "s string").withColumn("k", terms.words(F.col("s")))
+    s, k = F.col("s"), F.col("k")
+    plain, told = rows.select(gates.code_asked(s), gates.foreign_language_asked(s)).collect(), rows.select(gates.code_asked(s, k), gates.foreign_language_asked(s, k)).collect()
+    assert list(map(tuple, plain)) == list(map(tuple, told)) and 3 < sum(r[0] for r in plain) and 3 < sum(r[1] for r in plain)
+    far = rows.select("s", gates.unreadable(s).alias("u")).where("u").collect()
+    assert [r.s[:4] for r in far] == ["  漢漢"]
+
+
+def test_words_of_a_pack_are_not_looked_for_by_patterns(spark, sf):
+    """Each list's words were a scan of the text each, and what is shown was made for reports that don't show it."""
+    from winnow import queries as q
+
+    best = q._best(spark, sf)
+    assert "reasons" not in best.columns and "bthat" not in best._jdf.queryExecution().optimizedPlan().toString()

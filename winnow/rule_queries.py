@@ -154,21 +154,21 @@ def planted_reasons_top12(spark, sf_dir):
 
 @query(f"WITH {FLAGS_SQL} SELECT id, shift AS mode FROM b")
 def shift_mode(spark, sf_dir):
-    rows = planted(spark, sf_dir)
-    return rows.select("id", gates.shift_mode(tx.blob(F.col("title"), F.col("description"))).alias("mode"))
+    rows = planted(spark, sf_dir).select("id", tx.blob(F.col("title"), F.col("description")).alias("_blob"))
+    return rows.select("id", gates.shift_mode(F.col("_blob")).alias("mode"))
 
 
 @query(f"WITH {FLAGS_SQL} SELECT id, english AS mode FROM b")
 def english_modality(spark, sf_dir):
-    rows = planted(spark, sf_dir)
-    return rows.select("id", gates.english_mode(tx.blob(F.col("title"), F.col("description")), RULES.english_boost).alias("mode"))
+    rows = score.spread(planted(spark, sf_dir)).select("id", tx.blob(F.col("title"), F.col("description")).alias("_blob"))
+    return rows.select("id", gates.english_mode(F.col("_blob"), RULES.english_boost).alias("mode"))
 
 
 @query(f"WITH {FLAGS_SQL} SELECT id, years, citizen, code, other_language, unreadable FROM b")
 def planted_flags(spark, sf_dir):
-    blob = tx.blob(F.col("title"), F.col("description"))
+    rows = planted(spark, sf_dir).select("id", tx.blob(F.col("title"), F.col("description")).alias("_blob"))
     found = {"years": gates.years_asked, "citizen": gates.citizenship_asked, "code": gates.code_asked, "other_language": gates.foreign_language_asked, "unreadable": gates.unreadable}
-    return planted(spark, sf_dir).select("id", *[f(blob).alias(k) for k, f in found.items()])
+    return rows.select("id", *[f(F.col("_blob")).alias(k) for k, f in found.items()])
 
 
 # --- other rules ---
