@@ -289,3 +289,17 @@ def test_op13_odd_rows(spark):
     rows = [(None, 0, "user", "x"), (0, None, None, None), (0, 0, "user", "q"), (0, 0, "user", "q"), (3, 0, "user", LONG), (3, 1, "assistant", ""), (-7, 0, "user", "n"), (-5, 0, "user", "m"), (11, 0, "user", "absent base"), (12, 0, "", "")]
     assert as_dict(trie.trie(conversations(spark, rows))) == plain_trie(rows)
     assert trie.trie(conversations(spark, rows).where("false")).count() == 0
+
+
+def test_op8_plain_words_are_held_once():
+    """Words of letters, or of letters and then marks, were split by a pattern and held once more as pieces."""
+    from winnow.llm import packing, queries
+
+    coder = packing.WordIds(queries.tokenizer_file("word_bpe_49k.json"))
+    said = "Plain words, all of LETTERS. it's we'll' x1 b12c don't.. a-b (in) 'quoted' naïve, Étude x' y's. z_q __ ,, \"yes\"; 3.14 I'm\x00 \x7f tab\x01s word<|x ét 中文, \U0001f600!".split()
+    for word in said:
+        assert coder.of_word(word) == coder.of(word) == coder.encode(word), word
+    coder.renew()
+    for word in ("plain", "Letters", "words", "words,", "words.", "Other,", "été"):
+        assert coder.words[word] == coder.encode(word)
+    assert set(coder.pieces) == {",", "."} and {"words", "words,", "words.", "other"} <= set(coder.words)

@@ -38,8 +38,10 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 #: Texts that tell whether a file's own splitting is SPLIT's, between words and within them.
 PROBES = ("it's  we'll don't", "ab12.5--x_y %$ a\nb\tc", "\u00e9t\u00e9 \u4e2d\u6587 \U0001f600!", "I'm (you're) 100% sure...")
 FETCH = 4096
-#: Bytes of each of a task's two memos: the distinct words of some 16 MB of text.
-ROOM = 64 << 20
+#: Bytes of a task's memos of words, and of parts of words that are split: the distinct words of some 25 MB of text.
+WORD_ROOM, PIECE_ROOM = 96 << 20, 32 << 20
+#: Printable ASCII that is neither a letter nor a digit: a run of it after letters is one piece.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 def byte_letters() -> dict[int, int]:
@@ -70,19 +72,33 @@ class WordIds:
         return all(b"".join(map(self.of_word, t.lower().split())) == self.encode(t) for t in PROBES)
 
     def renew(self) -> None:
-        self.words, self.pieces = Memo(self.of_word, ROOM), Memo(self.of_piece, ROOM)
+        self.words, self.pieces = Memo(self.of_word, WORD_ROOM), Memo(self.of_piece, PIECE_ROOM)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def of_piece(self, piece: str) -> bytes:
         letters = piece.encode().decode("latin-1").translate(self.letters)
+        return self.of_letters(letters)
+
+    def of_letters(self, letters: str) -> bytes:
         return array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
 
     def of_word(self, word: str) -> bytes:
+        """Most words are letters, or letters and then marks: these need no splitting, and their letters no translation."""
         if "<|" in word:
             return self.encode(word)
-        return b"".join(map(self.pieces.__getitem__, SPLIT.findall(word.lower() if word.isascii() else self.normal(word))))
+        if word.isascii():
+            word = word.lower()
+            if word.isalpha():
+                return self.of_letters(word)
+            head = word.rstrip(MARKS)
+            if head.isalpha():
+                return self.words[head] + self.pieces[word[len(head) :]]
+            pieces = SPLIT.findall(word)
+        else:
+            pieces = SPLIT.findall(self.normal(word))
+        return self.of_piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
 
     def of(self, text: str) -> bytes:
         if not self.by_words or ODD.search(text):
