@@ -148,3 +148,33 @@ def test_rejections_are_those_of_the_verdicts(spark):
     whole = score.verdicts(rows, RULES).select("id", "role", "ord", "passed_gate", F.when(F.col("passed_gate"), F.array().cast("array<string>")).otherwise(F.col("reasons")).alias("reasons"))
     gates_alone = score.rejections(rows, RULES).select(*whole.columns)
     assert sorted(map(str, whole.collect())) == sorted(map(str, gates_alone.collect()))
+
+
+def test_english_is_looked_for_once_where_it_can_begin(spark):
+    """Each text was scanned twice, at every place for each of the forms."""
+    import re
+
+    from winnow import rule_queries as q
+
+    plan = q.english_modality(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"regexp_replace\(_blob#\d+, \(\?Ud\)\(\?=\[", plan)
+    assert re.search(r"Contains\(_blob#\d+, russian\)", plan)  # the test before a pattern of words
+
+
+def test_led_patterns_find_the_same(spark):
+    from winnow.functions import patterns as P
+    from winnow.functions import spans
+    from winnow.rule_queries import LINES
+
+    said = [x.lower() for x in LINES] + [
+        "affluent english b1 english c2+ english", "b2+ english level ab1 english", "english at level b2x english b2", "fluency in fluent and good english", "excellent strong written english fluency",
+        "communication skills (fluent english, b2", "effective communication in english.", "at ease in english", "уровень носителя, свободный английский - уровня c1", "отличное владение английским от b2+",
+        "strong\0fluent english\0 english c1", "\0", "", "native-level  english native english", "professional proficiency of fluent english",
+    ]
+    rows = spark.createDataFrame([(" ".join(said[i:] + said[:i]),) for i in range(len(said))] + [(x,) for x in [*said, None]], "s string")
+    s, plain = F.col("s"), P.union(P.ENGLISH)
+    of = lambda p: F.regexp_extract_all(s, F.lit(p), F.lit(0))
+    told = P.FLAGS + r"\b(?:" + "|".join(P.LANGUAGES + P.LANGUAGE_STEMS) + r")\b"
+    for r in rows.select("s", of(plain), of(P.led(P.ENGLISH)), of(told), of(P.language()), spans.finditer(s, plain), spans.finditer(s, P.led(P.ENGLISH))).collect():
+        assert r[1] == r[2] and r[3] == r[4] and r[5] == r[6], r.s
+        assert r[5] is None or [m.m for m in r[5]] == r[1] and all(r.s[m.start : m.end] == m.m for m in r[5]), r.s
