@@ -178,3 +178,18 @@ def test_led_patterns_find_the_same(spark):
     for r in rows.select("s", of(plain), of(P.led(P.ENGLISH)), of(told), of(P.language()), spans.finditer(s, plain), spans.finditer(s, P.led(P.ENGLISH))).collect():
         assert r[1] == r[2] and r[3] == r[4] and r[5] == r[6], r.s
         assert r[5] is None or [m.m for m in r[5]] == r[1] and all(r.s[m.start : m.end] == m.m for m in r[5]), r.s
+
+
+def test_words_and_scripts_cost_little(spark):
+    """What tells unreadable texts was found for all texts, and each letter was looked up in Unicode's tables."""
+    said = [*SAID, "éa b_é 10é", "x\u200dy", "\U00010400a \U0001d54f1", "a" * 5000 + "é", "_", "é_1", "  ", None, "\u3000" * 9 + "漢" * 60 + "a" * 150, "漢" * 199, "漢" * 50 + "a" * 150, "漢" * 49 + "a" * 151]
+    rows = spark.createDataFrame([(x,) for x in said], "s string")
+    s = F.col("s")
+    text = F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    plain = (F.length(text) >= 200) & (F.regexp_count(text, F.lit(r"(?U)[^\x00-\x7F\x{400}-\x{4FF}\s]")) / F.length(text) >= 0.25)
+    found = rows.select("s", terms.words(s), F.array_distinct(F.regexp_extract_all(s, F.lit(r"(?U)\w+"), F.lit(0))), gates.unreadable(s), plain)
+    got = found.collect()
+    assert all(r[1] == r[2] and r[3] == r[4] for r in got), got
+    assert sum(bool(r[3]) for r in got) == 2
+    plan = rows.select(terms.words(s), gates.unreadable(s))._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?=\\w)[a-z" in plan and plan.index("THEN false") < plan.index("regexp_replace")
