@@ -28,3 +28,21 @@ def test_counters_come_with_the_write(spark, tmp_path):
     seen, counters = reports.observed(best)
     seen.write.parquet(f"file://{tmp_path}/best")
     assert counters.get == {"total": 100, "passed": 34, "recommended": 17, "most": 99}
+
+
+def test_numbered_rows_are_made_once(spark):
+    """The sample for the ranges' bounds made all rows a first time."""
+    from pyspark.sql import functions as F
+
+    from winnow.tables import numbered
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def key(x):
+        made.add(1)
+        return x * 7 % 11
+
+    rows = numbered(spark.range(50).select("id", key("id").alias("k")), [F.desc("k"), "id"], "place").collect()
+    assert made.value == 50
+    assert [r.id for r in sorted(rows, key=lambda r: r.place)] == sorted(range(50), key=lambda x: (-(x * 7 % 11), x)) and sorted(r.place for r in rows) == list(range(1, 51))

@@ -56,8 +56,9 @@ def prefix_sums(parts: DataFrame, part: str, total: str, keys: tuple[str, ...] =
 
 def numbered(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """rows with their place by order, from 1, as column `name`: the place within a range of the order plus the rows of
-    the ranges before. The ranges are stashed, as their bounds come from a sample that another run needn't repeat."""
-    ranged = stash(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    the ranges before. Rows are stashed, as the sample for the ranges' bounds reads all of them; so are the ranges, whose
+    bounds another run needn't repeat."""
+    ranged = stash(stash(rows, "unranged").repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     base = prefix_sums(ranged.groupBy("_part").agg(F.count("*").alias("_rows")), "_part", "_rows")
     inner = ranged.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
     return inner.join(F.broadcast(base), "_part").withColumn(name, F.col("base") + F.col("_n")).select(*rows.columns, name)
