@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -553,6 +554,30 @@ def test_op10_tree_grows_with_the_input(spark, monkeypatch, room):
     assert found.score.to_numpy() == pytest.approx(np.array(want), rel=1e-9)
 
 
+def test_op10_lookups_by_slices_and_codes(spark, monkeypatch):
+    """One slice's lookups are on disk at a time, no tables stay but the slices' scores, and words with and without codes mix."""
+    monkeypatch.setattr(common, "ROOM", 20)
+    for name, value in (("ROOM", 20), ("CHUNK", 3000), ("PAIR_BYTES", 20_000), ("LOOKUP_BYTES", 20_000), ("SLICE_TOKENS", 1000), ("CODES", 60)):
+        monkeypatch.setattr(lm, name, value, raising=False)
+    made, put = [], lm.stash
+
+    def stash(df, name):
+        made.append((name, put(df, name)))
+        return made[-1][1]
+
+    monkeypatch.setattr(lm, "stash", stash)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(x)}" for x in np.minimum(rng.zipf(1.3, 40), 3000)) + f" a{i % 30} b{i % 3} c{i % 30}" for i in range(400)]
+    texts += ["", texts[0], texts[0]]
+    held = [i % 4 == 1 for i in range(len(texts))]
+    table = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(zip(texts, held, strict=True))], "doc_id long, text string, held_out boolean").repartition(3)
+    found = lm.score(table).toPandas().sort_values("doc_id")
+    assert found.doc_id.tolist() == list(range(len(texts)))
+    assert found.score.to_numpy() == pytest.approx(np.array(brute_tree_scores(texts, held, 3, 8)[0]), rel=1e-9)
+    there = [name for name, df in made if os.path.exists(df._stash_path.removeprefix("file://"))]
+    assert there == ["scores"] * 4
+
+
 def test_pipeline(spark, sf):
     """Each stage against a plain version of it on what its predecessor kept."""
     import corpus_pipeline as cp
