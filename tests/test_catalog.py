@@ -48,3 +48,22 @@ def test_a_small_index_shuffles_no_text(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = lambda i: [t for k in range(i % 97 + 1) for t in (f"w{k}", f"w{k} w{k + 1}") if k < i % 97 or " " not in t]
     assert got == {i: want(i) if i % 3 else [] for i in range(600)}
+
+
+def test_texts_are_scanned_whole(spark):
+    """Each text was cut into words, and every phrase of which one word was met was verified by itself."""
+    rows = spark.createDataFrame([(1, "one of the two"), (2, None), (3, "of the")], "id int, text string")
+    listed = spark.createDataFrame([("of the", 1), ("the two", 0), ("on", 2), ("on*", 3)], "term string, ord int")
+    plan = catalog.hits(rows, listed)
+    assert "regexp" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: r.hits for r in plan.collect()} == {1: ["the two", "of the", "on*"], 2: [], 3: ["of the"]}
+
+
+def test_parts_of_texts(spark, monkeypatch):
+    """Texts longer than a part, empty ones and many in a part."""
+    monkeypatch.setattr(catalog, "BYTES", 40)
+    monkeypatch.setattr(catalog, "TEXTS", 3)
+    texts = ["", "x" * 39 + " the cat", "the cat", "", "cat" * 30, "th", "e cat", "the c", "at", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    listed = spark.createDataFrame([("the cat", 0), ("cat", 1)], "term string, ord int")
+    assert [r.hits for r in catalog.hits(rows, listed).orderBy("id").collect()] == [[], ["the cat", "cat"], ["the cat", "cat"], [], [], [], ["cat"], [], [], [], []]

@@ -1,14 +1,16 @@
-"""Term hits by an inverted index of the terms, so that cost follows the texts and their hits, not the terms.
+"""Term hits, so that cost follows the texts and their hits, not the terms.
 
-Every term has an anchor: something that each text with that term has among its words (maximal runs of word characters).
+Up to `SMALL` terms go to all tasks, which find them by one scan of the texts' bytes (`functions/scan.py`): nothing is shuffled,
+no text is cut into words, and phrases of common words cost no more than others.
+
+More terms are joined by a shuffle, through an inverted index. There, every term has an anchor: something that each text with
+that term has among its words (maximal runs of word characters).
 A whole-word term is its first word; a stem of one word is a prefix of a word; a phrase, which may begin and end inside of
 words, has a word of its own between two others, or a prefix of its last word or a suffix of its first one, whichever is longer, or three
 characters of its only one. Texts give the words, and prefixes, suffixes and pieces of just the lengths that the index has;
 the index gives the candidates, and only those whose anchor leaves something open are verified, against their own pattern.
-
 Terms without a word character, and stems that begin with none, can't be anchored and are tested on every text; there are
-`ODD_TERMS` of them at most. An index of at most `SMALL` rows goes to all tasks, where each batch's distinct words are looked
-up, and nothing is shuffled; a larger one is joined by a shuffle.
+`ODD_TERMS` of them at most.
 
 Defined cases: a term listed twice counts once, at its first place; an empty term never matches; a null text has no hits.
 """
@@ -19,9 +21,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from winnow.functions import scan
 from winnow.functions import terms as tm
 from winnow.tables import stash
 
@@ -30,8 +34,6 @@ RUNS = r"(?U)\w+"
 #: Characters that index a phrase which lies inside of one word.
 GRAM = 3
 MET = "array<struct<ord:int,term:string,sure:boolean,pattern:string>>"
-#: Texts looked up at once, and words remembered by a task.
-TEXTS, WORDS = 256, 200_000
 
 
 def _quoted(body: Column) -> Column:
@@ -74,46 +76,49 @@ def keys(words: Column, lengths: dict[str, list[int]]) -> Column:
     return F.array_distinct(F.concat(*found))
 
 
-def looked_up(known: list, lengths: dict[str, list[int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow: batches whose last columns are the text and its words -> the rows of the index that
-    they meet in the words' place, phrases only if the text holds them. known: rows of the index in the order of hits."""
-    by_key: dict[tuple[str, str], list[int]] = {}
-    for i, r in enumerate(known):
-        by_key.setdefault((r.kind, r.key), []).append(i)
-    names, plain = [r.term for r in known], np.array([not r.sure and r.pattern is None for r in known], bool)
-    cells = [[r.ord for r in known], names, [r.sure or r.pattern is None for r in known], [r.pattern for r in known]]
+#: Texts and bytes that are scanned together, if it is more than one text, and cells of what they hold.
+TEXTS, BYTES, CELLS = 256, 1 << 22, 1 << 25
+_word_codes: list[np.ndarray] = []
+
+
+def word_codes(spark: SparkSession) -> np.ndarray:
+    """Whether each code is a word character, as the engine's patterns have it; they are asked once."""
+    if not _word_codes:
+        some = [chr(c) for c in range(scan.CODES) if not 0xD800 <= c < 0xE000]
+        rows = spark.createDataFrame([("".join(some[i : i + 8192]),) for i in range(0, len(some), 8192)], "s string")
+        out = np.zeros(scan.CODES, bool)
+        out[[ord(c) for r in rows.select(F.regexp_replace("s", r"(?U)\W", "")).collect() for c in r[0]]] = True
+        _word_codes.append(out)
+    return _word_codes[0]
+
 
-    def of_word(w: str) -> np.ndarray:
-        keys = [("w", w), *(("p", w[:n]) for n in lengths.get("p", []) if len(w) >= n), *(("s", w[-n:]) for n in lengths.get("s", []) if len(w) >= n)]
-        keys += [("g", w[i : i + n]) for n in lengths.get("g", []) for i in range(len(w) - n + 1)]
-        return np.unique([i for k in keys for i in by_key.get(k, ())]).astype(np.int64)
+def parts(ends: np.ndarray, texts: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts, of so many texts and BYTES at most, or one text; ends: where each text ends."""
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, min(at + texts, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, "right"))))
+        yield at, to
+        at = to
+
+
+def scanned(known: list[str], scanner: scan.Scanner) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow: batches whose last column is the text -> the terms that it holds in its place. known:
+    the scanner's terms in the order of hits."""
+    texts = max(1, min(TEXTS, CELLS // max(len(known), 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.string(), pa.bool_(), pa.string()), strict=True)], ["ord", "term", "sure", "pattern"])
-        of: dict[str, np.ndarray] = {}
+        names = pa.array(known, pa.string())
         for batch in batches:
-            for part in (batch.slice(at, TEXTS) for at in range(0, batch.num_rows, TEXTS)):
-                words = part.column(part.num_columns - 1)
-                coded = words.flatten().dictionary_encode()
-                if len(of) > WORDS:
-                    of.clear()
-                for w in coded.dictionary.to_pylist():
-                    if w not in of:
-                        of[w] = of_word(w)
-                met = [of[w] for w in coded.dictionary.to_pylist()]
-                # The rows that each word meets, behind one another; then every word of every text stands for its own.
-                codes, sizes = coded.indices.to_numpy(), np.array([len(m) for m in met], np.int64)
-                n, starts = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
-                at = np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
-                text = np.repeat(np.repeat(np.arange(part.num_rows), words.value_lengths().to_numpy()), n)
-                each = np.unique(text * len(known) + np.concatenate([*met, np.zeros(0, np.int64)])[at])  # once a text
-                texts, rows = part.column(part.num_columns - 2).to_pylist(), each % max(len(known), 1)
-                held = ~plain[rows]
-                held[~held] = [names[r] in texts[t] for t, r in zip((each[~held] // len(known)).tolist(), rows[~held].tolist(), strict=True)]
-                each = each[held]
-                ends = np.searchsorted(each, np.arange(part.num_rows + 1) * len(known)).astype(np.int32)
-                found = pa.ListArray.from_arrays(pa.array(ends), index.take(pa.array(each % max(len(known), 1))))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], [*part.schema.names[:-1], "_met"])
+            column = pc.fill_null(batch.column(batch.num_columns - 1).cast(pa.large_string()), "")
+            _, offsets, data = column.buffers()
+            offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+            data = np.frombuffer(data if data is not None else b"", np.uint8)[offsets[0] : offsets[-1]]
+            ends = offsets[1:] - offsets[0]
+            for at, to in parts(ends, texts):
+                begin = int(ends[at - 1]) if at else 0
+                row, term = np.nonzero(scanner.find(data[begin : ends[to - 1]], ends[at:to] - begin))
+                found = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(to - at + 1)).astype(np.int32)), names.take(pa.array(term)))
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[:-1]), found], [*batch.schema.names[:-1], "hits"])
 
     return run
 
@@ -130,6 +135,17 @@ def met_by_join(texts: DataFrame, anchored: DataFrame, lengths: dict[str, list[i
 def hits(texts: DataFrame, terms: DataFrame, key: str = "id") -> DataFrame:
     """texts (key, text in lower case; a key each) and terms (term, ord) -> key and hits, the terms found, by ord."""
     known = stash(index(terms), "term-index")
+    if known.count() > SMALL:
+        return hits_by_join(texts, known, key)
+    few = sorted((r.ord, r.term) for r in known.select("ord", "term").collect())
+    asked = [(t.removesuffix("*"), tm.mode(t) != "phrase", tm.mode(t) == "word") for _, t in few]
+    rows = texts.select(key, "text")
+    run = scanned([t for _, t in few], scan.Scanner(asked, word_codes(texts.sparkSession)))
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, hits array<string>")
+
+
+def hits_by_join(texts: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The same for an index that is too large for a task: words meet it by a shuffle."""
     anchored = known.where("kind is not null")
     lengths: dict[str, list[int]] = {}
     for r in known.where("kind in ('p', 's', 'g')").select("kind", F.length("key").alias("n")).distinct().collect():  # as many as a term is long
@@ -139,13 +155,7 @@ def hits(texts: DataFrame, terms: DataFrame, key: str = "id") -> DataFrame:
         raise ValueError(f"more than {ODD_TERMS} terms that no word can anchor")
 
     words = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(RUNS), F.lit(0)))
-    if anchored.count() <= SMALL:
-        few = sorted(anchored.collect(), key=lambda r: (r.ord, r.term))
-        rows = texts.select(key, "text", words.alias("_words"))
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-        rows = rows.mapInArrow(looked_up(few, lengths), f"{kinds}, _met {MET}")
-    else:
-        rows = met_by_join(texts, anchored, lengths, words, key)
+    rows = met_by_join(texts, anchored, lengths, words, key)
     text = F.col("text")
 
     def holds(t: Column) -> Column:
