@@ -116,7 +116,7 @@ def scanned(known: list[str], scanner: scan.Scanner) -> Callable[[Iterator[pa.Re
             ends = offsets[1:] - offsets[0]
             for at, to in parts(ends, texts):
                 begin = int(ends[at - 1]) if at else 0
-                row, term = np.nonzero(scanner.find(data[begin : ends[to - 1]], ends[at:to] - begin))
+                row, term = np.divmod(scanner.find(data[begin : ends[to - 1]], ends[at:to] - begin).reshape(-1).nonzero()[0], max(len(known), 1))
                 found = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(to - at + 1)).astype(np.int32)), names.take(pa.array(term)))
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[:-1]), found], [*batch.schema.names[:-1], "hits"])
 
